@@ -8,12 +8,48 @@ from pyspark.sql import functions as F
 from cinderlode.core import table
 from cinderlode.llm.leaks import decontaminated, leak_report, leaked_passages
 from cinderlode.llm.mixture import mixture
+from cinderlode.llm.neardup import groups, letters_of, near_duplicates
 from cinderlode.llm.pieces import limits_of, split_documents
+from cinderlode.llm.truncation import truncated, truncation_report
+from cinderlode.llm.vectors import nearest, recall
 
 #: Late weight for scarce sources that are worth most; the tilts are centred by the operator.
 TILTS = {"goldnotes": 0.6, "rfcnotes": 0.4, "vendorkb": 0.2, "changelogs": -0.3}
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncated(table(spark, folder, "arguments"), "row_id", "description", "feed").where("cut").select("row_id")
+
+
+def p1_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation_report(table(spark, folder, "arguments"), "row_id", "description", "feed")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    apps = near_duplicates(table(spark, folder, "apps"), "app_id", letters_of("name"), least_letters=6)
+    arguments = near_duplicates(table(spark, folder, "arguments"), "cmd_path", letters_of("cmd_path"), words="description")
+    return apps.select(F.lit("apps").alias("tbl"), "*").unionByName(arguments.select(F.lit("arguments").alias("tbl"), "*"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = p2_found(spark, folder)
+    return groups(pairs.select(F.concat("tbl", F.lit(":"), "key_a").alias("key_a"), F.concat("tbl", F.lit(":"), "key_b").alias("key_b")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = nearest(table(spark, folder, "commands_vec"), "cmd_path", "embedding", least_sim=0.90)
+    return found.select(F.least("key", "neighbour").alias("cmd_a"), F.greatest("key", "neighbour").alias("cmd_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "commands_vec"), "cmd_path", "embedding")
+
+
+def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "commands_vec")
+    return recall(vectors, "cmd_path", "embedding", nearest(vectors, "cmd_path", "embedding"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -54,8 +90,28 @@ dg as (select distinct doc_id, hash(w[i:i+11]) g from (select doc_id, w, unnest(
 l as (select distinct doc_id, item_id from dg join ig using (g))
 """
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
+_NEAR = """
+with a as (select distinct app_id k, regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '', 'g') t from apps where app_id is not null),
+g as (select distinct cmd_path k, regexp_replace(lower(cmd_path), '[^\\p{L}\\p{N}]+', '', 'g') t,
+  list_sort(list_filter(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) ws from arguments where cmd_path is not null),
+b as (select k, t, list_transform(ws, lambda w, i: w || '#' || (i - list_position(ws, w))::varchar) w from g where len(ws) > 0 and t <> '')
+select distinct 'apps' tbl, x.k key_a, y.k key_b from a x join a y on x.k < y.k and length(x.t) >= 6 and length(y.t) >= 6 and abs(length(x.t) - length(y.t)) <= 2 and levenshtein(x.t, y.t) <= 2
+union all
+select distinct 'arguments', x.k, y.k from b x join b y on x.k < y.k and abs(length(x.t) - length(y.t)) <= 2 and levenshtein(x.t, y.t) <= 2
+  and len(list_intersect(x.w, y.w)) >= 0.75 * greatest(len(x.w), len(y.w))
+"""
+_VECTORS = """
+with u as (select cmd_path k, embedding e from commands_vec where len(embedding) = 384 and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(embedding, lambda v: v <> 0)) > 0),
+v as (select k, list_transform(e, lambda z: z / sqrt(list_inner_product(e::double[], e::double[])))::float[384] e from u),
+s as (select x.k a, y.k b, array_inner_product(x.e, y.e) c from v x join v y on x.k <> y.k),
+r as (select a, b, c, row_number() over (partition by a order by c desc, b) r from s)
+select distinct least(a, b) cmd_a, greatest(a, b) cmd_b from r where r <= 10 and c >= 0.9
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_feeds": p1_feeds, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
 ORACLE = {
+    "p2_found": _NEAR,
+    "p4_found": _VECTORS,
     "p7_found": _LEAKS + "select doc_id, item_id from l",
     "p7_clean": _LEAKS + "select doc_id from documents where doc_id not in (select doc_id from l)",
 }
