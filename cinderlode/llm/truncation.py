@@ -23,15 +23,16 @@ WORD_END = r"[\p{L}\p{N}]$"
 
 
 def _limits(rows: DataFrame, least: int, factor: float) -> DataFrame:
-    """Lengths (source, size) of a source at which at least factor times as many different texts lie as at the lengths around."""
-    by_size = rows.select("source", "size", "text").distinct().groupBy("source", "size").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source").orderBy("size").rangeBetween(-6, 6)
+    """Lengths (source, unit, size) of a source, in letters or bytes, at which factor times as many different texts lie as around it."""
+    sizes = F.explode(F.array(F.struct(F.lit("letters").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size"))))
+    by_size = rows.select("source", "text").distinct().select("source", sizes.alias("s")).select("source", "s.*").groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-6, 6)
     around = (F.sum("n").over(w) - F.col("n")) / 12
-    return by_size.withColumn("around", around).where((F.col("n") >= least) & (F.col("n") >= factor * F.greatest("around", F.lit(1.0)))).select("source", "size", F.lit(True).alias("at_limit"))
+    return by_size.withColumn("around", around).where((F.col("n") >= least) & (F.col("n") >= factor * F.greatest("around", F.lit(1.0)))).select("source", "unit", "size")
 
 
 def truncated(
-    records: DataFrame, row_id: str, text: str, source: str, rare: float = 0.004, least_mass: int = 4, ends_at_limit: float = 0.5, ends_elsewhere: float = 0.02, spike: int = 12, spike_factor: float = 4.0,
+    records: DataFrame, row_id: str, text: str, source: str, rare: float = 0.004, least_mass: int = 4, ends_at_limit: float = 0.5, ends_elsewhere: float = 0.002, spike: int = 12, spike_factor: float = 4.0,
 ) -> DataFrame:
     """One row per record: row_id, source, cut, reason in mark, dangling, word, sentence, null where not cut.
 
@@ -42,12 +43,14 @@ def truncated(
     """
     rows = stage(
         records.select(F.col(row_id).alias("row_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-        .withColumn("size", F.length("text")).withColumn("t", trimmed(F.col("text")))
+        .withColumn("t", trimmed(F.col("text")))
         .withColumn("state", F.when(F.col("t").isNull() | ~F.col("t").rlike(r"[\p{L}\p{N}]"), "none").when(F.lower("t").rlike(LEFT_OUT), "mark").when(F.col("t").rlike(FULL_STOP), "whole")
                     .when(F.col("t").rlike(DANGLING) & F.col("t").rlike(r"\s"), "dangling").when(F.col("t").rlike(WORD_END), "open").otherwise("whole"))
     )
     at_limit = rows.where("state <> 'none'").transform(_limits, spike, spike_factor)
-    judged = rows.join(F.broadcast(at_limit.limit(100_000)), ["source", "size"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+    by_source = at_limit.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "letters", F.col("size"))).alias("in_letters"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("in_bytes"))
+    judged = rows.join(by_source, "source", "left").withColumn(
+        "at_limit", F.coalesce(F.array_contains("in_letters", F.length("text")) | F.array_contains("in_bytes", F.octet_length("text")), F.lit(False))).drop("in_letters", "in_bytes")
 
     # Each token with the two before it, and whether a sentence ends there: 1 yes, 0 no, null where the text stops without a stop.
     tokens = F.expr("regexp_extract_all(lower(t), pattern, 0)")
@@ -59,12 +62,10 @@ def truncated(
     words = listed.select("state", "at_limit", F.explode(step).alias("s")).select("state", "at_limit", "s.*")
     grams = stage(
         words.where(r"w rlike '[\\p{L}\\p{N}]'").withColumn("u", F.coalesce("u", F.lit("^"))).withColumn("v", F.coalesce("v", F.lit("^")))
-        .groupBy("u", "v", "w").agg(
-            F.sum(F.when(F.col("stops") == 1, 1).otherwise(0)).alias("e"), F.sum(F.when(F.col("stops") == 0, 1).otherwise(0)).alias("i"),
-            F.sum(F.when(F.col("stops").isNull() & (F.col("state") == "open") & ~F.col("at_limit"), 1).otherwise(0)).alias("open"))
+        .groupBy("u", "v", "w").agg(F.sum(F.when(F.col("stops") == 1, 1).otherwise(0)).alias("e"), F.sum(F.when(F.col("stops") == 0, 1).otherwise(0)).alias("i"))
     )
-    last = (
-        listed.where("state = 'open'").select("row_id", "source", "at_limit", F.expr("coalesce(get(tokens, size(tokens) - 3), '^')").alias("u"), F.expr("coalesce(get(tokens, size(tokens) - 2), '^')").alias("v"), F.expr("tokens[size(tokens) - 1]").alias("w"))
+    last = stage(
+        listed.where("state = 'open'").select("row_id", "source", "t", "at_limit", F.expr("coalesce(get(tokens, size(tokens) - 3), '^')").alias("u"), F.expr("coalesce(get(tokens, size(tokens) - 2), '^')").alias("v"), F.expr("tokens[size(tokens) - 1]").alias("w"))
     )
     kinds = stage(last.select("u", "v", "w").distinct())
     # The trie below the tokens in question: occurrences of longer words, alone and after the same word.
@@ -74,20 +75,31 @@ def truncated(
     asked = kinds.select("w").distinct()
     trie1 = single.where("length(w) > 1").select("n", F.explode(prefixes).alias("w")).join(asked, "w", "left_semi").groupBy("w").agg(F.sum("n").alias("mass1"))
     trie2 = spoken.where("length(w) > 1").select("v", "n", F.explode(prefixes).alias("w")).join(kinds.select("v", "w").distinct(), ["v", "w"], "left_semi").groupBy("v", "w").agg(F.sum("n").alias("mass2"))
-    one = grams.groupBy("w").agg(F.sum("e").alias("e1"), F.sum("i").alias("i1"), F.sum("open").alias("o1"))
-    two = grams.groupBy("v", "w").agg(F.sum("e").alias("e2"), F.sum("i").alias("i2"), F.sum("open").alias("o2"))
-    p1 = F.expr("(e1 + 0.5D * o1 + 0.05D) / (e1 + i1 + 0.5D * o1 + 1D)")
-    p2 = F.expr("(e2 + 0.5D * o2 + 2D * p1) / (e2 + i2 + 0.5D * o2 + 2D)")
-    p3 = F.expr("(e3 + 0.5D * o3 + 2D * p2) / (e3 + i3 + 0.5D * o3 + 2D)")
+    # Texts that stop without a stop and away from a limit count half as ends, each once a source and never for themselves.
+    opens = last.where("not at_limit").select("source", "t", "u", "v", "w").distinct().groupBy("u", "v", "w").agg(F.count("*").alias("o3"))
+    one = grams.groupBy("w").agg(F.sum("e").alias("e1"), F.sum("i").alias("i1"))
+    two = grams.groupBy("v", "w").agg(F.sum("e").alias("e2"), F.sum("i").alias("i2"))
+
+    def chance(others: str, weight: str):
+        o1, o2, o3 = (f"0.5D * greatest(o{k} - {others}, 0)" for k in (1, 2, 3))
+        p1 = f"(e1 + {o1} + 0.05D) / (e1 + i1 + {o1} + 1D)"
+        p2 = f"(e2 + {o2} + {weight} * {p1}) / (e2 + i2 + {o2} + {weight})"
+        return F.expr(f"(e3 + {o3} + {weight} * {p2}) / (e3 + i3 + {o3} + {weight})")
+
     verdict = (
-        kinds.join(one, "w", "left").join(two, ["v", "w"], "left").join(grams.selectExpr("u", "v", "w", "e as e3", "i as i3", "open as o3"), ["u", "v", "w"], "left")
+        kinds.join(one, "w", "left").join(two, ["v", "w"], "left").join(grams.selectExpr("u", "v", "w", "e as e3", "i as i3"), ["u", "v", "w"], "left")
+        .join(opens, ["u", "v", "w"], "left").join(opens.groupBy("v", "w").agg(F.sum("o3").alias("o2")), ["v", "w"], "left").join(opens.groupBy("w").agg(F.sum("o3").alias("o1")), "w", "left")
         .join(trie1, "w", "left").join(trie2, ["v", "w"], "left").na.fill(0)
-        .withColumn("p1", p1).withColumn("p2", p2).withColumn("p", p3)
-        .withColumn("fragment", F.expr(f"(mass1 >= {least_mass} and e1 + i1 <= {rare}D * mass1) or (mass2 >= {least_mass} and e2 + i2 + o2 <= {rare}D * mass2 and e1 + i1 <= 10 * mass2)"))
+        .withColumn("p_limit", chance("0", "2D")).withColumn("p_else", chance("1", "20D"))
+        .withColumn("fragment", F.expr(f"(mass1 >= {least_mass} and e1 + i1 <= {rare}D * mass1) or (mass2 >= {least_mass} and e2 + i2 + greatest(o2 - 1, 0) <= {rare}D * mass2 and e1 + i1 <= 10 * mass2)"))
     )
-    ended = last.join(verdict.select("u", "v", "w", "p", "fragment"), ["u", "v", "w"]).select("row_id", "source", "at_limit", "fragment", "p").withColumn(
-        "reason", F.when(F.col("fragment"), "word").when(F.col("p") < F.when(F.col("at_limit"), ends_at_limit).otherwise(ends_elsewhere), "sentence"))
+    ended = last.join(verdict.select("u", "v", "w", "p_limit", "p_else", "fragment"), ["u", "v", "w"]).withColumn(
+        "reason", F.when(F.col("fragment"), "word").when(F.when(F.col("at_limit"), F.col("p_limit") < ends_at_limit).otherwise(F.col("p_else") < ends_elsewhere), "sentence"))
     rest = judged.where("state <> 'open'").select("row_id", "source", F.when(F.col("state").isin("mark", "dangling"), F.col("state")).alias("reason"))
+    # Cuts in transfer fall inside words more often than between them: a source without any cut word or mark has no cuts between words either.
+    shows = ended.where("reason = 'word'").select("source").unionByName(rest.where("reason = 'mark'").select("source")).distinct().select(F.col("source").alias("told"), F.lit(True).alias("shows"))
+    ended = ended.join(shows, F.expr("source <=> told"), "left").withColumn(
+        "reason", F.when((F.col("reason") != "sentence") | F.col("at_limit") | F.col("shows"), F.col("reason")))
     return ended.select("row_id", "source", "reason").unionByName(rest).select("row_id", "source", F.col("reason").isNotNull().alias("cut"), "reason")
 
 
