@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlode.core import table
+from cinderlode.core import stage, table
+from cinderlode.llm.fusion import command_claims, posteriors, survivors
 from cinderlode.llm.leaks import decontaminated, leak_report, leaked_passages
 from cinderlode.llm.mixture import mixture
 from cinderlode.llm.neardup import groups, letters_of, near_duplicates
@@ -50,6 +51,19 @@ def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
     return recall(vectors, "cmd_path", "embedding", nearest(vectors, "cmd_path", "embedding"))
 
 
+def _fused(spark: SparkSession, folder: str, prior: str) -> DataFrame:
+    claimed = stage(command_claims(table(spark, folder, "arguments_raw"), table(spark, folder, "apps")))
+    return survivors(claimed, posteriors(claimed), prior)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _fused(spark, folder, "trust").select(F.col("grp").alias("canon_path"), F.col("field").alias("field_name"), F.col("record").alias("rec_id"))
+
+
+def p6_fused(spark: SparkSession, folder: str) -> DataFrame:
+    return _fused(spark, folder, "votes").select(F.col("grp").alias("canon_path"), F.col("field").alias("field_name"), F.col("record").alias("rec_id"), "value", F.round("posterior", 6).alias("posterior"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -100,6 +114,16 @@ union all
 select distinct 'arguments', x.k, y.k from b x join b y on x.k < y.k and abs(length(x.t) - length(y.t)) <= 2 and levenshtein(x.t, y.t) <= 2
   and len(list_intersect(x.w, y.w)) >= 0.75 * greatest(len(x.w), len(y.w))
 """
+_SURVIVORS = """
+with a as (select distinct lower(trim(app_id)) k from apps where trim(app_id) <> ''),
+r as (select *, lower(regexp_replace(provenance, '^\\s+|\\s+$', '', 'g')) p from arguments_raw where canon_path in (select canon_path from arguments_raw group by 1 having count(*) >= 2)),
+f as (select canon_path, 'app_id' field_name, rec_id, app_id v, p, loaded_at from r where lower(trim(app_id)) in (select k from a)
+  union all select canon_path, 'description', rec_id, description, p, loaded_at from r
+  union all select canon_path, 'example_template', rec_id, example_template, p, loaded_at from r),
+u as (select * from f where v is not null and lower(trim(v)) not in ('', '-', '???', 'n/a', 'none', 'null', 'tbd', 'todo', 'to be written', 'no description available.', '<example>'))
+select canon_path, field_name, rec_id from u qualify row_number() over (partition by canon_path, field_name
+  order by case p when 'probe' then 0 when 'manual' then 1 when 'inferred' then 2 else 3 end, loaded_at desc nulls last, rec_id) = 1
+"""
 _VECTORS = """
 with u as (select cmd_path k, embedding e from commands_vec where len(embedding) = 384 and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(embedding, lambda v: v <> 0)) > 0),
 v as (select k, list_transform(e, lambda z: z / sqrt(list_inner_product(e::double[], e::double[])))::float[384] e from u),
@@ -108,10 +132,11 @@ r as (select a, b, c, row_number() over (partition by a order by c desc, b) r fr
 select distinct least(a, b) cmd_a, greatest(a, b) cmd_b from r where r <= 10 and c >= 0.9
 """
 
-QUERIES = {"p1_found": p1_found, "p1_feeds": p1_feeds, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p1_feeds": p1_feeds, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p6_found": p6_found, "p6_fused": p6_fused, "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
 ORACLE = {
     "p2_found": _NEAR,
     "p4_found": _VECTORS,
+    "p6_found": _SURVIVORS,
     "p7_found": _LEAKS + "select doc_id, item_id from l",
     "p7_clean": _LEAKS + "select doc_id from documents where doc_id not in (select doc_id from l)",
 }
