@@ -1,7 +1,8 @@
 """All queries of the core library by name."""
 
-from cinderlode.plans import general_queries
+from cinderlode.plans import general_queries, search_queries
 
-QUERIES = {**general_queries.QUERIES}
-ORACLE = {**general_queries.ORACLE}
-FLAGSHIP = general_queries.p3_report
+_MODULES = (general_queries, search_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
+FLAGSHIP = search_queries.bm25_and_topk
