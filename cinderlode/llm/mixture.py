@@ -31,8 +31,9 @@ def token_counts(documents: DataFrame, doc_id: str = "doc_id", source: str = "so
 def plan_shares(sizes: DataFrame, targets: DataFrame, budget: int | None = None, tilts: dict[str, float] | None = None) -> DataFrame:
     """Per target source: share (of the sources that have documents), demand in tokens, tilt. One row a source of the target table.
 
-    Without a budget it is the largest at which every source reaches its share within max_repeats passes. With one, a source that
-    would need more passes is held at its cap, and the report shows the shortfall. Sources without documents have demand 0.
+    Without a budget it is the size of the usable sources together, or less where some source could not reach its share of that
+    within max_repeats passes. With one, a source that would need more passes is held at its cap, and the report shows the
+    shortfall. Sources without documents have demand 0.
     """
     given = F.create_map(*[x for k, v in (tilts or {}).items() for x in (F.lit(k), F.lit(float(v)))]) if tilts else None
     t = targets.select(key_of(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.greatest(F.col("max_repeats"), F.lit(0)).alias("max_repeats")).where("source is not null")
@@ -42,7 +43,7 @@ def plan_shares(sizes: DataFrame, targets: DataFrame, budget: int | None = None,
     return (
         t.join(sizes, "source", "left").withColumn("usable", usable)
         .withColumn("share", F.when(F.col("usable"), F.col("target_share") / F.sum(F.when(F.col("usable"), F.col("target_share"))).over(every)).otherwise(0.0))
-        .withColumn("budget", F.lit(float(budget)) if budget else F.floor(F.min(F.when(F.col("usable"), F.col("have") * F.col("max_repeats") / F.col("share"))).over(every)).cast("double"))
+        .withColumn("budget", F.lit(float(budget)) if budget else F.floor(F.least(F.min(F.when(F.col("usable"), F.col("have") * F.col("max_repeats") / F.col("share"))).over(every), F.sum(F.when(F.col("usable"), F.col("have"))).over(every))).cast("double"))
         .withColumn("demand", F.when(F.col("usable"), F.least(F.col("share") * F.col("budget"), (F.col("have") * F.col("max_repeats")).cast("double"))).otherwise(0.0))
         .withColumn("raw_tilt", F.coalesce(given[F.col("source")], F.lit(0.0)) if tilts else F.lit(0.0))
         .withColumn("tilt", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("raw_tilt") - F.sum(F.col("share") * F.col("raw_tilt")).over(every))))
@@ -54,8 +55,8 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None,
     """The mixture and its report.
 
     Mixture: position (the token at which the copy is due, of the whole budget), doc_id, source, repeat_no (from 1), n_tokens;
-    range-sorted by position. A copy belongs to the mixture if it begins before the source's demand is met, and no pass goes
-    beyond max_repeats, so a source exceeds its demand by less than one document. Ties are broken by doc_id and repeat_no.
+    range-sorted by position. A copy belongs to the mixture if at least half of it lies before the source's demand is met, and no
+    pass goes beyond max_repeats, so a source misses its demand by half a document at most. Ties are broken by doc_id and repeat_no.
     Report: one row per target source with target_share, share_reached, repeats_used, n_docs, n_copies, n_tokens, capped.
     Documents without text, id, or a source of the targets take no part. Documents delivered twice under two ids are two documents.
     """
@@ -73,7 +74,7 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None,
     begun = placed.withColumn("within", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(F.broadcast(heads), ["source", "slice"]).select("source", "doc_id", "n_tokens", (F.col("before") + F.col("within")).alias("begin"))
     copies = (
         begun.join(F.broadcast(plan.where("usable").select("source", "have", "share", "demand", "budget", "tilt", "max_repeats")), "source")
-        .withColumn("passes", F.least(F.ceil((F.col("demand") - F.col("begin")) / F.col("have")).cast("int"), F.col("max_repeats")))
+        .withColumn("passes", F.least(F.ceil((F.col("demand") - F.col("begin") - F.col("n_tokens") / 2) / F.col("have")).cast("int"), F.col("max_repeats")))
         .where("passes > 0").withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("passes"))))
         .withColumn("q", F.least((F.col("begin") + (F.col("repeat_no") - 1) * F.col("have")) / F.col("demand"), F.lit(1.0)))
     )
