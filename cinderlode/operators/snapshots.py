@@ -22,7 +22,7 @@ def map_value(column: str) -> Column:
     text = trimmed(F.col(column))
     parsed = F.from_json(text, "map<string,string>")
     entries = F.array_sort(F.transform(F.map_entries(parsed), lambda e: F.struct(trimmed(e["key"]).alias("key"), trimmed(e["value"]).alias("value"))))
-    return F.when(text.startswith("{") & parsed.isNotNull(), F.concat(F.lit("map:"), F.to_json(entries))).otherwise(F.concat(F.lit("text:"), text))
+    return F.when(text.startswith("{") & F.try_parse_json(text).isNotNull() & parsed.isNotNull(), F.concat(F.lit("map:"), F.to_json(entries))).otherwise(F.concat(F.lit("text:"), text))
 
 
 def chunked(rows: DataFrame, parts: int, mean_rows: int) -> DataFrame:
