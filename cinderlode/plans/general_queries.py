@@ -20,7 +20,7 @@ def _orphans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).select("ref_table", "row_key", "orphan_kind")
+    return _orphans(spark, folder).select("ref_table", "row_key", "orphan_kind").distinct()
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
