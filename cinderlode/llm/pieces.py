@@ -135,7 +135,7 @@ def split_documents(documents: DataFrame, limits: list[tuple[str, int, int]], do
                     columns, held = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    least = min(most for _, most, _ in limits)
+    least = min((most for _, most, _ in limits), default=2**31 - 1)
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(f"doc_id is not null and octet_length(text) > {least}")
     return source.mapInArrow(run, schema)
 

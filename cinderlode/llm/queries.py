@@ -19,7 +19,7 @@ TILTS = {"goldnotes": 0.6, "rfcnotes": 0.4, "vendorkb": 0.2, "changelogs": -0.3}
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return truncated(table(spark, folder, "arguments"), "row_id", "description", "feed").where("cut").select("row_id")
+    return truncated(table(spark, folder, "arguments"), "row_id", "description", "feed").where("cut and row_id is not null").select("row_id").distinct()
 
 
 def p1_feeds(spark: SparkSession, folder: str) -> DataFrame:

@@ -59,7 +59,8 @@ def truncated(
         " case when i < size(tokens) then int(tokens[i] in ('.', '!', '?', '。', '！', '？')) end as stops))"
     )
     listed = judged.where("state <> 'none'").withColumn("pattern", F.lit(TOKEN)).withColumn("tokens", tokens)
-    words = listed.select("state", "at_limit", F.explode(step).alias("s")).select("state", "at_limit", "s.*")
+    # Each text counts once a source, however often it is delivered.
+    words = listed.select("source", "t", "tokens").dropDuplicates(["source", "t"]).select(F.explode(step).alias("s")).select("s.*")
     grams = stage(
         words.where(r"w rlike '[\\p{L}\\p{N}]'").withColumn("u", F.coalesce("u", F.lit("^"))).withColumn("v", F.coalesce("v", F.lit("^")))
         .groupBy("u", "v", "w").agg(F.sum(F.when(F.col("stops") == 1, 1).otherwise(0)).alias("e"), F.sum(F.when(F.col("stops") == 0, 1).otherwise(0)).alias("i"))
