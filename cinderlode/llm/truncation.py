@@ -32,13 +32,13 @@ def _limits(rows: DataFrame, least: int, factor: float) -> DataFrame:
 
 
 def truncated(
-    records: DataFrame, row_id: str, text: str, source: str, rare: float = 0.004, least_mass: int = 4, ends_at_limit: float = 0.5, ends_elsewhere: float = 0.002, spike: int = 12, spike_factor: float = 4.0,
+    records: DataFrame, row_id: str, text: str, source: str, rare: float = 0.004, least_mass: int = 4, ends_at_limit: float = 0.5, ends_elsewhere: float = 0.002, spike: int = 12, spike_factor: float = 4.0, cut_words: float = 0.2,
 ) -> DataFrame:
     """One row per record: row_id, source, cut, reason in mark, dangling, word, sentence, null where not cut.
 
     rare: a final token with at most this share of the occurrences of longer words that begin with it is a fragment, if those are
     at least least_mass. ends_at_limit, ends_elsewhere: a final word after which sentences end with a smaller probability is inside
-    a sentence, for texts at a limit of their source and for others. Null, blank and stand-in texts (without any letter or digit) are not
+    a sentence, for texts at a limit of their source and for others. cut_words: the share of cut words that makes a spike a limit. Null, blank and stand-in texts (without any letter or digit) are not
     cut. A text is judged the same wherever it is repeated in a source, rows with a null id or source are judged too.
     """
     rows = stage(
@@ -94,7 +94,10 @@ def truncated(
         .withColumn("p_limit", chance("0", "2D")).withColumn("p_else", chance("1", "20D"))
         .withColumn("fragment", F.expr(f"(mass1 >= {least_mass} and e1 + i1 <= {rare}D * mass1) or (mass2 >= {least_mass} and e2 + i2 + greatest(o2 - 1, 0) <= {rare}D * mass2 and e1 + i1 <= 10 * mass2)"))
     )
-    ended = last.join(verdict.select("u", "v", "w", "p_limit", "p_else", "fragment"), ["u", "v", "w"]).withColumn(
+    ended = last.join(verdict.select("u", "v", "w", "p_limit", "p_else", "fragment"), ["u", "v", "w"])
+    # A spike is a limit only where many of its texts end inside words; texts of one make may share a length without being cut.
+    sure = ended.where("at_limit").groupBy(F.col("source").alias("limiting")).agg(F.avg(F.col("fragment").cast("double")).alias("f")).where(F.col("f") >= cut_words)
+    ended = ended.join(sure, F.expr("source <=> limiting"), "left").withColumn("at_limit", F.col("at_limit") & F.col("f").isNotNull()).withColumn(
         "reason", F.when(F.col("fragment"), "word").when(F.when(F.col("at_limit"), F.col("p_limit") < ends_at_limit).otherwise(F.col("p_else") < ends_elsewhere), "sentence"))
     rest = judged.where("state <> 'open'").select("row_id", "source", F.when(F.col("state").isin("mark", "dangling"), F.col("state")).alias("reason"))
     # Cuts in transfer fall inside words more often than between them: a source without any cut word or mark has no cuts between words either.
