@@ -93,31 +93,49 @@ def segment_keys(c: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate(keys, axis=1)
 
 
-def _banded(most: int):
+def _banded(most: int, parts: int):
+    """Table keys with the ids of their texts, packed as one row per batch of texts and part of the key space."""
+
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             by_length: dict[int, list[int]] = {}
             for i, t in enumerate(texts):
                 by_length.setdefault(len(t), []).append(i)
+            held, size = [], 0
+
+            def packed():
+                bands, owners = (np.concatenate(x) for x in zip(*held))
+                part = (bands.view(np.uint64) >> np.uint64(33)).astype(np.int64) % parts
+                order = np.argsort(part, kind="stable")
+                bands, owners, edges = bands[order], owners[order], np.searchsorted(part[order], np.arange(parts + 1))
+                rows = [(k, bands[a:b].tobytes(), owners[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "bands", "ids"])
+
             for n, rows in by_length.items():
-                step = max(1, 4_000_000 // (n * n // 2 + 100 if n <= LONG else 100 * n))
+                step = max(1, 1_000_000 // (n * n // 2 + 100 if n <= LONG else 100 * n))
                 for at in range(0, len(rows), step):
                     chosen = rows[at:at + step]
                     c = _mixed(np.array([[ord(x) for x in texts[i]] for i in chosen], np.int64).reshape(len(chosen), n))
                     for made in ([tensored_keys] if n <= LONG else []) + ([segment_keys] if n > LONG - most else []):
                         keys = made(c, most)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(ids[chosen], keys.shape[1]))], names=["band", "id"])
+                        held.append((keys.view(np.int64).ravel(), np.repeat(ids[chosen], keys.shape[1])))
+                        size += keys.size
+                    if size > 2_000_000:
+                        yield packed()
+                        held, size = [], 0
+            if held:
+                yield packed()
 
     return run
 
 
 def _collisions(batches):
-    """Distinct pairs of ids that meet under a key; a task's keys are whole, as rows are hash-parted by key."""
+    """Distinct pairs of ids that meet under a key; a task has all ids of its keys, as it has its part of the key space."""
     bands, ids = [], []
     for batch in batches:
-        bands.append(batch.column(0).to_numpy())
-        ids.append(batch.column(1).to_numpy())
+        bands += [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+        ids += [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
     band, idn = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (bands, ids))
     bands.clear(), ids.clear()
     order = np.argsort(band)
@@ -156,7 +174,7 @@ def close_texts(texts: DataFrame, column: str, max_edits: int = 2, keys_a_part:
     named = stage(texts.select(F.col(column).alias("text")).where("text <> ''").distinct().select(F.xxhash64("text").alias("id"), "text"))
     shape = named.agg(F.sum(F.when(F.length("text") <= LONG, F.length("text") * F.length("text") / 2 + F.length("text") + 1).otherwise(75)).alias("k")).first()
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(shape["k"] or 0) // keys_a_part))
-    found = named.mapInArrow(_banded(max_edits), "band long, id long").repartition(parts, "band").mapInArrow(_collisions, "id_a long, id_b long").distinct()
+    found = named.mapInArrow(_banded(max_edits, parts), "part int, bands binary, ids binary").repartitionById(parts, F.col("part")).mapInArrow(_collisions, "id_a long, id_b long").distinct()
     a, b = named.select(F.col("id").alias("id_a"), F.col("text").alias("a")), named.select(F.col("id").alias("id_b"), F.col("text").alias("b"))
     return (
         found.join(a, "id_a").join(b, "id_b").where(f"abs(length(a) - length(b)) <= {max_edits} and levenshtein(a, b, {max_edits}) >= 0")
