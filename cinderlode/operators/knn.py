@@ -35,16 +35,25 @@ def unpack(column: Column) -> Column:
     return run(column)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, dims: int, qid: str = "qid", query_vec: str = "vec", doc: str = "doc", vec: str = "embedding", block: int = 1024, queries_limit: int = 200_000) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, dims: int, qid: str = "qid", query_vec: str = "vec", doc: str = "doc", vec: str = "embedding", block: int = 1024, held: int = 20_000) -> DataFrame:
     """The k nearest documents of each query by Euclidean distance: qid, doc, distance, pos. Ties go to the smaller doc.
 
-    The query set reaches the executors in blocks (its size is checked against queries_limit); each batch of documents keeps its
-    own k best per query and only these are shuffled. Vectors with a null or non-finite component, and null vectors, are left out;
+    The query set reaches the executors in parts of about held queries, a scan each; each batch of documents keeps its own k best
+    per query and only these are shuffled. Vectors with a null or non-finite component, and null vectors, are left out;
     others are cut or filled to dims.
     """
-    rows = queries.select(F.col(qid).cast("string").alias("q"), fitted(F.col(query_vec), dims).alias("v")).where(f"{query_vec} is not null").limit(queries_limit + 1).toArrow()
-    if rows.num_rows > queries_limit:
-        raise ValueError(f"more than {queries_limit} queries: ask in several calls or raise queries_limit")
+    asked = queries.select(F.col(qid).cast("string").alias("q"), fitted(F.col(query_vec), dims).alias("v")).where(f"{query_vec} is not null")
+    source = vectors.select(F.col(doc).cast("string").alias("doc"), fitted(F.col(vec), dims).alias("v")).where(f"doc is not null and {vec} is not null")
+    rounds, found = max(1, -(-asked.count() // held)), None
+    for part in range(rounds):
+        some = _scan(asked.where(f"pmod(xxhash64(q), {rounds}) = {part}").toArrow(), source, k, dims, block)
+        found = some if found is None else found.unionByName(some)
+    w = Window.partitionBy("q").orderBy("distance", "doc")
+    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select(F.col("q").cast(dict(queries.dtypes)[qid]).alias("qid"), F.col("doc").cast(dict(vectors.dtypes)[doc]).alias("doc"), "distance", "pos")
+
+
+def _scan(rows: pa.Table, source: DataFrame, k: int, dims: int, block: int) -> DataFrame:
+    """The k nearest of each batch of source for a bounded table of queries."""
     x = np.array(rows.column(1).to_pylist(), np.float64).reshape(-1, dims) if rows.num_rows else np.zeros((0, dims))
     ok = np.isfinite(x).all(axis=1)
     names, x = [n for n, o in zip(rows.column(0).to_pylist(), ok) if o], x[ok]
@@ -67,10 +76,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, dims: int, qid: str = "q
                 d = np.sqrt(np.square(q[:, None, :] - y[top]).sum(axis=2)) if m * dims * len(q) < 3e7 else np.stack([np.sqrt(np.square(q[i] - y[top[i]]).sum(axis=1)) for i in range(len(q))])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names[at:at + block], object), m).tolist(), pa.string()), pa.array(docs[top.ravel()].tolist(), pa.string()), pa.array(d.ravel())], names=["q", "doc", "distance"])
 
-    source = vectors.select(F.col(doc).cast("string").alias("doc"), fitted(F.col(vec), dims).alias("v")).where(f"doc is not null and {vec} is not null")
-    found = source.mapInArrow(scan, "q string, doc string, distance double")
-    w = Window.partitionBy("q").orderBy("distance", "doc")
-    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select(F.col("q").cast(dict(queries.dtypes)[qid]).alias("qid"), F.col("doc").cast(dict(vectors.dtypes)[doc]).alias("doc"), "distance", "pos")
+    return source.mapInArrow(scan, "q string, doc string, distance double")
 
 
 def rrf(left: DataFrame, right: DataFrame, keys: list[str], k: int = 60) -> DataFrame:
