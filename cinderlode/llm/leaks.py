@@ -112,11 +112,11 @@ class ItemBlock:
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                    length: int = 12, shard_words: int = 1_500_000, item_block: int = 5_000, items_limit: int = 1_000_000) -> DataFrame:
+                    length: int = 12, shard_words: int = 1_500_000, item_block: int = 5_000, items_limit: int = 50_000, letters_limit: int = 50_000_000) -> DataFrame:
     """The longest passage of at least length words that each document shares with each item.
 
     Result: doc_id, item_id, words, doc_word, item_word (word offsets). Words are maximal runs of letters and digits, lower-cased.
-    The items are the stated query set: they reach the executors in blocks, after a check that there are no more than items_limit.
+    The items are the stated query set: they reach the executors in blocks, after a check that there are no more than items_limit of letters_limit letters together.
     Null or blank texts, and items of fewer words, match nothing; repeated documents each give their own rows (equal ids collapse
     into one row each); other columns are ignored. A shard is closed after shard_words words, so memory does not grow with the input.
     """
@@ -124,6 +124,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
     if len(listed) > items_limit:
         raise ValueError(f"more than {items_limit} evaluation items; raise items_limit or search them in several calls")
     pairs = [(r[0], r[1]) for r in listed if r[0] is not None]
+    if sum(len(t) for _, t in pairs) > letters_limit:
+        raise ValueError(f"evaluation items of more than {letters_limit} letters; search them in several calls")
     blocks = [pairs[i:i + item_block] for i in range(0, len(pairs), item_block)]
     schema = "doc_id long, item_id long, words int, doc_word int, item_word int"
 

@@ -51,7 +51,7 @@ def plan_shares(sizes: DataFrame, targets: DataFrame, budget: int | None = None,
     )
 
 
-def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None, tilts: dict[str, float] | None = None, seed: int = 20240, slices: int = 512, path: str = VOCABULARY, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None, tilts: dict[str, float] | None = None, seed: int = 20240, slices: int = 512, path: str = VOCABULARY, counts: DataFrame | None = None, targets_limit: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     Mixture: position (the token at which the copy is due, of the whole budget), doc_id, source, repeat_no (from 1), n_tokens;
@@ -60,7 +60,12 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None,
     Report: one row per target source with target_share, share_reached, repeats_used, n_docs, n_copies, n_tokens, capped.
     Documents without text, id, or a source of the targets take no part. Documents delivered twice under two ids are two documents.
     """
-    counted = stage(counts if counts is not None else token_counts(documents, path=path))
+    named = targets.select(key_of(F.col("source")).alias("target")).where("target is not null").distinct()
+    if named.limit(targets_limit + 1).count() > targets_limit:
+        raise ValueError(f"more than {targets_limit} target sources")
+    if counts is None:
+        counts = token_counts(documents.join(F.broadcast(named), key_of(F.col("source")) == F.col("target"), "left_semi"), path=path)
+    counted = stage(counts)
     sizes = counted.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("n_docs"))
     plan = stage(plan_shares(sizes, targets, budget, tilts))
     # Prefix sums in two steps: whole slices of each source first, then within a slice, so that no task holds a source.
