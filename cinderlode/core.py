@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the submitter's session is used as it is."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cpus}]").appName("cinderlode")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -25,6 +28,22 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8
     )
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the session's Python workers this package, once a session, wherever it was imported from."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        root = pathlib.Path(__file__).resolve().parent
+        folder = tempfile.TemporaryDirectory(prefix="cinderlode-code-", ignore_cleanup_errors=True)
+        atexit.register(folder.cleanup)
+        archive = f"{folder.name}/cinderlode.zip"  # the driver serves it to the executors
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, f"{root.name}/{path.relative_to(root)}")
+        context.addPyFile(archive)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
