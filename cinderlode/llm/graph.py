@@ -18,10 +18,16 @@ class Graph:
         self.entries = order[:min(self.n, 16)]
         done = min(self.n, 2 * degree)
         first = order[:done]
+        # What each point's search proposed when it was inserted; later points have proposed it in turn.
+        self.proposed, self.near = np.full((self.n, beam), -1, np.int32), np.full((self.n, beam), -np.inf, np.float32)
+        sims = x[first] @ x[first].T
+        best = np.argsort(-sims, axis=1)[:, :beam]
+        self.proposed[first, :best.shape[1]], self.near[first, :best.shape[1]] = first[best], np.take_along_axis(sims, best, 1)
         self.edges[first, :degree] = self._pruned(first, np.broadcast_to(first, (done, done)), x[first] @ x[first].T)
         while done < self.n:
             new = order[done:done + min(done, 2 * batch)]
             ids, sims = self.search(x[new], beam)
+            self.proposed[new], self.near[new] = ids, sims
             self.edges[new, :degree] = self._pruned(new, ids, sims)
             self._back(new)
             done += len(new)
@@ -90,6 +96,28 @@ class Graph:
             self.edges[points[h]] = -1
             self.edges[points[h], :self.degree] = self._pruned(points[h], ids, sims)
 
+    def in_neighbours(self, points: np.ndarray, near: np.ndarray, floor: np.ndarray, chunk: int = 40_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (a, b, similarity) of each point with the points that have an edge to one of its near ones (-1: none).
+
+        Points that few edges lead to are found this way by their twins. Only pairs above the floor of either side are returned.
+        """
+        src, dst = np.nonzero(self.edges >= 0)[0], self.edges[self.edges >= 0]
+        by = np.argsort(dst, kind="stable")
+        src, first = src[by], np.searchsorted(dst[by], np.arange(self.n + 1))
+        p, c = np.repeat(points, near.shape[1])[near.ravel() >= 0], near.ravel()[near.ravel() >= 0]
+        many = first[c + 1] - first[c]
+        other = src[np.repeat(first[c], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        p = np.repeat(p, many)
+        pair = np.unique(np.minimum(p, other).astype(np.int64) * self.n + np.maximum(p, other))
+        a, b = pair // self.n, pair % self.n
+        a, b = a[a != b], b[a != b]
+        sims = np.empty(len(a), np.float32)
+        for at in range(0, len(a), chunk):
+            s = slice(at, at + chunk)
+            sims[s] = np.einsum("nd,nd->n", self.x[a[s]], self.x[b[s]])
+        keep = sims > np.minimum(floor[a], floor[b])
+        return a[keep], b[keep], sims[keep]
+
     def search(self, queries: np.ndarray, beam: int, starts: np.ndarray | None = None, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """The beam most similar points found for each query: ids (-1 where fewer) and similarities, best first."""
         ids, sims = np.full((len(queries), beam), -1, np.int32), np.full((len(queries), beam), -np.inf, np.float32)

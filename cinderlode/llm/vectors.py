@@ -67,7 +67,7 @@ def cells_of(x: np.ndarray, c: np.ndarray, probes: int, margin: float) -> np.nda
     return np.where(near >= near[:, :1] - margin, top, -1)
 
 
-def _neighbours(k: int, beam: int, degree: int, build_beam: int, alpha: float, dims: int):
+def _neighbours(k: int, beam: int, degree: int, build_beam: int, alpha: float, dims: int, via: int = 4):
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         return np.concatenate([np.frombuffer(b"".join(c.to_pylist()), np.float32) for c in column.chunks] or [np.zeros(0, np.float32)]).reshape(-1, dims)
 
@@ -82,16 +82,27 @@ def _neighbours(k: int, beam: int, degree: int, build_beam: int, alpha: float, d
         out = []
         if len(member):
             graph = Graph(np.ascontiguousarray(x[member]), degree, build_beam, alpha)
-            groups = [(seeker, None)]
-            if (role[member] == 0).any():
-                own = np.flatnonzero(role[member] == 0).astype(np.int32)
-                groups.append((member[own], np.concatenate([graph.edges[own], own[:, None]], axis=1)))
-            for rows, starts in groups:
-                if len(rows):
-                    ids, sims = graph.search(x[rows], min(beam, len(member)) if len(member) < beam else beam, starts)
-                    a, b, s = np.repeat(rows, ids.shape[1]), member[np.maximum(ids, 0)].ravel(), sims.ravel()
-                    ok = (ids.ravel() >= 0) & (h[a] != h[b])
-                    out += [(a[ok], b[ok], s[ok]), (b[ok], a[ok], s[ok])]
+            if len(seeker):
+                ids, sims = graph.search(x[seeker], beam)
+                a, b, s = np.repeat(seeker, ids.shape[1]), member[np.maximum(ids, 0)].ravel(), sims.ravel()
+                ok = (ids.ravel() >= 0) & (h[a] != h[b])
+                out += [(a[ok], b[ok], s[ok]), (b[ok], a[ok], s[ok])]
+            if (role[member] == 0).any() and len(member) > 1:
+                # Members were searched when they were inserted; edges add what came later, in-neighbours what few edges lead to.
+                every = np.arange(len(member), dtype=np.int32)
+                after = np.where(graph.edges >= 0, np.einsum("ned,nd->ne", graph.x[graph.edges], graph.x), -np.inf) if len(member) * graph.edges.shape[1] * dims < 6e7 else np.stack([np.where(graph.edges[i] >= 0, graph.x[graph.edges[i]] @ graph.x[i], -np.inf) for i in every])
+                ids, sims = np.concatenate([graph.proposed, graph.edges], axis=1), np.concatenate([graph.near, after], axis=1)
+                sims = np.where((ids >= 0) & (ids != every[:, None]), sims, -np.inf).astype(np.float32)
+                order = np.argsort(-sims, axis=1)
+                ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+                ids = np.where(np.isfinite(sims), ids, -1)
+                sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+                floor = -np.sort(-sims, axis=1)[:, min(k, sims.shape[1]) - 1]
+                a, b, s = graph.in_neighbours(every, ids[:, :via], floor)
+                ok = np.isfinite(sims.ravel())
+                pa_, pb = np.repeat(every, ids.shape[1])[ok], ids.ravel()[ok]
+                for a_, b_, s_ in ((pa_, pb, sims.ravel()[ok]), (a, b, s)):
+                    out += [(member[a_], member[b_], s_), (member[b_], member[a_], s_)]
         if not out:
             return pa.table({"h": pa.array([], pa.binary()), "nh": pa.array([], pa.binary()), "sim": pa.array([], pa.float64())})
         a, b, s = (np.concatenate(v) for v in zip(*out))
@@ -110,7 +121,7 @@ def _neighbours(k: int, beam: int, degree: int, build_beam: int, alpha: float, d
 
 
 def nearest(
-    vectors: DataFrame, key: str, embedding: str, k: int = 10, dims: int = 384, least_sim: float | None = None, shard_rows: int = 4000, sample_rows: int = 20_000, probes: int = 3, margin: float = 0.15,
+    vectors: DataFrame, key: str, embedding: str, k: int = 10, dims: int = 384, least_sim: float | None = None, shard_rows: int = 3000, sample_rows: int = 20_000, probes: int = 3, margin: float = 0.15,
     degree: int = 24, build_beam: int = 40, beam: int = 48, alpha: float = 1.02, visitors: int = 20_000,
 ) -> DataFrame:
     """For every usable vector its k most similar others: key, neighbour, sim (cosine), rank from 1.
