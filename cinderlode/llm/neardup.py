@@ -24,10 +24,13 @@ def letters_of(column: str) -> Column:
     return F.lower(F.regexp_replace(F.col(column), r"[^\p{L}\p{N}]+", ""))
 
 
-def word_bag(column: str) -> Column:
-    """Lower-cased words, the k-th occurrence of a word told apart from the others, so that sets of them act as bags."""
-    words = F.array_sort(F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    return F.transform(words, lambda w, i: F.concat(w, F.lit("#"), (i + 1 - F.array_position(words, w)).cast("string")))
+def sorted_words(column: str) -> Column:
+    return F.array_sort(F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
+def bag_of(words: str) -> Column:
+    """A column of sorted words, the k-th occurrence of a word told apart from the others, so that sets of them act as bags."""
+    return F.transform(F.col(words), lambda w, i: F.concat(w, F.lit("#"), (i + 1 - F.array_position(words, w)).cast("string")))
 
 
 def _mixed(codes: np.ndarray) -> np.ndarray:
@@ -189,18 +192,18 @@ def near_duplicates(records: DataFrame, key: str, text: Column, max_edits: int =
     bags, in any order; a description without words shares nothing. A key that comes with several texts or descriptions links by
     any of them. Null keys, null texts and texts under least_letters are left out; rows delivered again add nothing.
     """
-    rows = records.select(F.col(key).alias("key"), text.alias("text"), *([word_bag(words).alias("bag")] if words else [])).where(f"key is not null and length(text) >= {least_letters}")
+    rows = records.select(F.col(key).alias("key"), text.alias("text"), *([sorted_words(words).alias("words")] if words else [])).where(f"key is not null and length(text) >= {least_letters}")
     if words:
-        rows = rows.where("size(bag) > 0")
+        rows = rows.where("size(words) > 0")
     rows = stage(rows.distinct())
     close = close_texts(rows, "text", max_edits)
     both = close.unionByName(rows.select(F.col("text").alias("text_a"), F.col("text").alias("text_b")).distinct())
-    extra = ["bag"] if words else []
-    left = rows.select(F.col("key").alias("k1"), F.col("text").alias("text_a"), *(F.col(c).alias("bag_a") for c in extra))
-    right = rows.select(F.col("key").alias("k2"), F.col("text").alias("text_b"), *(F.col(c).alias("bag_b") for c in extra))
+    extra = ["words"] if words else []
+    left = rows.select(F.col("key").alias("k1"), F.col("text").alias("text_a"), *(F.col(c).alias("words_a") for c in extra))
+    right = rows.select(F.col("key").alias("k2"), F.col("text").alias("text_b"), *(F.col(c).alias("words_b") for c in extra))
     pairs = both.join(left, "text_a").join(right, "text_b").where("k1 <> k2 and (text_a <> text_b or k1 < k2)")
     if words:
-        pairs = pairs.where(F.size(F.array_intersect("bag_a", "bag_b")) >= least_shared * F.greatest(F.size("bag_a"), F.size("bag_b")))
+        pairs = pairs.where(F.size(F.array_intersect(bag_of("words_a"), bag_of("words_b"))) >= least_shared * F.greatest(F.size("words_a"), F.size("words_b")))
     return pairs.select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b")).distinct()
 
 
