@@ -90,7 +90,7 @@ def _neighbours(k: int, beam: int, degree: int, build_beam: int, alpha: float, d
             if (role[member] == 0).any() and len(member) > 1:
                 # Members were searched when they were inserted; edges add what came later, in-neighbours what few edges lead to.
                 every = np.arange(len(member), dtype=np.int32)
-                after = np.where(graph.edges >= 0, np.einsum("ned,nd->ne", graph.x[graph.edges], graph.x), -np.inf) if len(member) * graph.edges.shape[1] * dims < 6e7 else np.stack([np.where(graph.edges[i] >= 0, graph.x[graph.edges[i]] @ graph.x[i], -np.inf) for i in every])
+                after = np.stack([np.where(graph.edges[i] >= 0, graph.x[graph.edges[i]] @ graph.x[i], -np.inf) for i in every])
                 ids, sims = np.concatenate([graph.proposed, graph.edges], axis=1), np.concatenate([graph.near, after], axis=1)
                 sims = np.where((ids >= 0) & (ids != every[:, None]), sims, -np.inf).astype(np.float32)
                 order = np.argsort(-sims, axis=1)
