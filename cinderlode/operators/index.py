@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlode.core import stage
+
 K1, B = 1.2, 0.75
 
 
@@ -27,11 +29,11 @@ def tokens(column: str):
 
 
 def build_index(docs: DataFrame, doc: str, name: str, text: str) -> Index:
-    """Postings, lengths and corpus statistics of two fields; documents without words count with length 0."""
+    """Postings, lengths and corpus statistics of two fields, stored as tables; documents without words count with length 0."""
     words = docs.select(F.col(doc).alias("doc"), tokens(name).alias("n"), tokens(text).alias("t"))
-    lengths = words.select("doc", (F.size("n") + F.size("t")).alias("size"))
+    lengths = stage(words.select("doc", (F.size("n") + F.size("t")).alias("size")))
     both = words.select("doc", F.explode("n").alias("term"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(words.select("doc", F.explode("t").alias("term"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    postings = both.groupBy("doc", "term").agg(F.sum("a").alias("in_name"), F.sum("b").alias("in_text"))
+    postings = stage(both.groupBy("doc", "term").agg(F.sum("a").alias("in_name"), F.sum("b").alias("in_text")))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
     return Index(postings, lengths, stats["n"], stats["mean"] or 1.0)
 
