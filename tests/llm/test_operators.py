@@ -214,6 +214,13 @@ def test_mixture_reaches_shares_within_repeats(spark):
     assert {r["source"] for r in capped.collect() if r["capped"]} == {"big", "small", "mid", "none"}
 
 
+def test_default_budget_is_the_largest_the_repeats_allow(spark):
+    docs = spark.createDataFrame([(i, "word " * 20, "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 4)], "source string, target_share double, max_repeats int")
+    report = mixture(docs, targets)[1].collect()
+    assert {(r["source"], r["n_copies"], r["repeats_used"], r["capped"]) for r in report} == {("a", 300, 3, False), ("b", 300, 3, False)}
+
+
 # 9: pieces
 TEXTS = {
     "paragraphs": "\n\n".join(" ".join(f"Sentence {i} of the paragraph tells a little." for i in range(j, j + 9)) for j in range(60)),
