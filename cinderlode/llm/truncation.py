@@ -100,10 +100,6 @@ def truncated(
     ended = ended.join(sure, F.expr("source <=> limiting"), "left").withColumn("at_limit", F.col("at_limit") & F.col("f").isNotNull()).withColumn(
         "reason", F.when(F.col("fragment"), "word").when(F.when(F.col("at_limit"), F.col("p_limit") < ends_at_limit).otherwise(F.col("p_else") < ends_elsewhere), "sentence"))
     rest = judged.where("state <> 'open'").select("row_id", "source", F.when(F.col("state").isin("mark", "dangling"), F.col("state")).alias("reason"))
-    # Cuts in transfer fall inside words more often than between them: a source without any cut word or mark has no cuts between words either.
-    shows = ended.where("reason = 'word'").select("source").unionByName(rest.where("reason = 'mark'").select("source")).distinct().select(F.col("source").alias("told"), F.lit(True).alias("shows"))
-    ended = ended.join(shows, F.expr("source <=> told"), "left").withColumn(
-        "reason", F.when((F.col("reason") != "sentence") | F.col("at_limit") | F.col("shows"), F.col("reason")))
     return ended.select("row_id", "source", "reason").unionByName(rest).select("row_id", "source", F.col("reason").isNotNull().alias("cut"), "reason")
 
 

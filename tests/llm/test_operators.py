@@ -42,6 +42,12 @@ def test_truncated(spark):
     assert sum(got[i]["cut"] for i in range(len(full))) < 0.01 * len(full)
 
 
+def test_cut_sentence_in_a_feed_without_cut_words(spark):
+    data = [(i, "whole", t) for i, t in enumerate(descriptions())] + [(5001, "clean", "Remove the table of every"), (5002, "clean", "Remove the table of every bucket inside the current workspace")]
+    got = {r["row_id"]: r["reason"] for r in truncated(spark.createDataFrame(data, "row_id long, feed string, text string"), "row_id", "text", "feed").where("row_id > 5000").collect()}
+    assert got == {5001: "sentence", 5002: None}
+
+
 # 2: near-duplicates
 def edits(a, b):
     row = list(range(len(b) + 1))
