@@ -9,6 +9,8 @@ length needs less other evidence.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +24,28 @@ DANGLING = r"[,;:(\[{“‘«–—→/&+=\-]$"
 WORD_END = r"[\p{L}\p{N}]$"
 
 
-def _limits(rows: DataFrame, least: int, factor: float) -> DataFrame:
-    """Lengths (source, unit, size) of a source, in letters or bytes, at which factor times as many different texts lie as around it."""
+def _limits(rows: DataFrame, chance: float, factor: float) -> DataFrame:
+    """Lengths (source, unit, size) of a source, in letters or bytes, at which factor times as many different texts lie as around it.
+
+    So many must also be unlikely (at most chance, by the Chernoff bound of a Poisson count) at the mean of the lengths around it.
+    """
     sizes = F.explode(F.array(F.struct(F.lit("letters").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size"))))
     by_size = rows.select("source", "text").distinct().select("source", sizes.alias("s")).select("source", "s.*").groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-6, 6)
-    around = (F.sum("n").over(w) - F.col("n")) / 12
-    return by_size.withColumn("around", around).where((F.col("n") >= least) & (F.col("n") >= factor * F.greatest("around", F.lit(1.0)))).select("source", "unit", "size")
+    around = (F.sum("n").over(w) - F.col("n") + 1) / 12  # one text more, so that a length without neighbours has a mean too
+    surprise = F.col("n") * F.log(F.col("n") / F.col("around")) - F.col("n") + F.col("around")
+    return by_size.withColumn("around", around).where((F.col("n") >= factor * F.col("around")) & (surprise >= -math.log(chance))).select("source", "unit", "size")
 
 
 def truncated(
-    records: DataFrame, row_id: str, text: str, source: str, rare: float = 0.004, least_mass: int = 4, ends_at_limit: float = 0.5, ends_elsewhere: float = 0.002, spike: int = 12, spike_factor: float = 4.0, cut_words: float = 0.2,
+    records: DataFrame, row_id: str, text: str, source: str, rare: float = 0.004, least_mass: int = 4, ends_at_limit: float = 0.5, ends_elsewhere: float = 0.002, spike: float = 1e-6, spike_factor: float = 4.0, cut_words: float = 0.2,
 ) -> DataFrame:
     """One row per record: row_id, source, cut, reason in mark, dangling, word, sentence, null where not cut.
 
     rare: a final token with at most this share of the occurrences of longer words that begin with it is a fragment, if those are
     at least least_mass. ends_at_limit, ends_elsewhere: a final word after which sentences end with a smaller probability is inside
-    a sentence, for texts at a limit of their source and for others. cut_words: the share of cut words that makes a spike a limit. Null, blank and stand-in texts (without any letter or digit) are not
+    a sentence, for texts at a limit of their source and for others. spike, spike_factor: a length is a spike where so many texts have
+    at most this probability beside the lengths around it, and are this many times as many. cut_words: the share of cut words that makes a spike a limit. Null, blank and stand-in texts (without any letter or digit) are not
     cut. A text is judged the same wherever it is repeated in a source, rows with a null id or source are judged too.
     """
     rows = stage(

@@ -1,5 +1,6 @@
 """The dealt operators against brute force, exact round trips and planted truth."""
 
+import inspect
 import itertools
 import random
 
@@ -16,7 +17,7 @@ from cinderlode.llm.mixture import mixture
 from cinderlode.llm.neardup import close_texts, groups, letters_of, near_duplicates
 from cinderlode.llm.pieces import split_documents, split_text
 from cinderlode.llm.tokens import VOCABULARY, encoding
-from cinderlode.llm.truncation import truncated
+from cinderlode.llm.truncation import _limits, truncated
 from cinderlode.llm.vectors import nearest, recall
 
 
@@ -48,6 +49,13 @@ def test_cut_sentence_in_a_feed_without_cut_words(spark):
     assert got == {5001: "sentence", 5002: None}
 
 
+def test_limit_of_a_small_feed(spark):
+    rows_ = [("small", f"{i:02d}" + "x" * 178) for i in range(7)] + [("small", "y" * n) for n in (150, 171, 176, 185, 190)] + [("even", f"{i}" + "z" * n) for n in range(60, 80) for i in range(7)]
+    given = inspect.signature(truncated).parameters
+    found = {(r["source"], r["unit"], r["size"]) for r in _limits(spark.createDataFrame(rows_, "source string, text string"), given["spike"].default, given["spike_factor"].default).collect()}
+    assert found == {("small", "letters", 180), ("small", "bytes", 180)}
+
+
 # 2: near-duplicates
 def edits(a, b):
     row = list(range(len(b) + 1))
