@@ -42,44 +42,47 @@ def boundary_kinds(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return kind
 
 
-def cuts(kinds: np.ndarray, limit: int, overlap: int, cells: int = 40, piece_cost: float = 4.0, balance: float = 20.0) -> np.ndarray:
+def cuts(kinds: np.ndarray, limit: int, overlap: int, piece_cost: float = 4.0, balance: float = 20.0) -> np.ndarray:
     """Token positions of the cuts, from 0 to the number of tokens; the span of a piece is at most limit - overlap - 3 new tokens.
 
-    Of each cell of limit / cells tokens the best boundary (the last on ties) is a candidate, so each window of a piece has
-    about that many candidates wherever the text has boundaries at all. 3 tokens are held back to start on a whole character.
+    Every boundary is a candidate. The costs of two piece beginnings differ by a linear function of where the piece ends, so from
+    some end on the later one is never worse; a queue holds the beginnings that are still the cheapest for some end to come, each
+    with the end from which it is, so the minimum is exact. 3 tokens are held back to start on a whole character.
     """
     total, room = len(kinds), limit - overlap - 3
     if room < 1:
         raise ValueError("the limit must exceed the overlap by more than 3 tokens")
-    cost = np.where(kinds < 0, np.inf, np.array([PENALTY[k] for k in KINDS])[np.maximum(kinds, 0)])
-    cell = max(1, min(limit // cells, room // 2))
-    width = -(-total // cell)
-    grid = np.full(width * cell, np.inf)
-    grid[:total] = cost
-    grid = grid.reshape(width, cell)
-    last = cell - 1 - grid[:, ::-1].argmin(axis=1)
-    places = np.arange(width) * cell + last + 1
-    best = grid[np.arange(width), last]
-    places, best = places[np.isfinite(best) & (places < total)], best[np.isfinite(best) & (places < total)]
-    places, best = np.concatenate([[0], places, [total]]), np.concatenate([[0.0], best, [0.0]])
+    places = np.flatnonzero(kinds[: total - 1] >= 0) + 1
+    best = np.array([PENALTY[k] for k in KINDS])[kinds[places - 1]] + piece_cost
+    places, best = [*places.tolist(), total], [*best.tolist(), piece_cost]
     share = total / max(1, -(-total // room))
-    reach, back = np.full(len(places), np.inf), np.zeros(len(places), np.int64)
-    reach[0] = 0.0
-    lows = np.searchsorted(places, places - room, "left")
-    for i in range(1, len(places)):
-        j = slice(lows[i], i)
-        off = (places[i] - places[j]) / share - 1.0
-        sums = reach[j] + balance * off * off
-        k = int(sums.argmin()) if lows[i] < i else -1
-        if k < 0 or not np.isfinite(sums[k]):
+    scale = balance / (share * share)
+    back = {}
+    begins, costs, since = [0], [0.0], [0.0]
+    head = 0
+    for x, c in zip(places, best):
+        while head + 1 < len(begins) and since[head + 1] <= x:
+            head += 1
+        p = begins[head]
+        if x - p > room:
             continue
-        reach[i], back[i] = sums[k] + best[i] + piece_cost, lows[i] + k
-    if not np.isfinite(reach[-1]):  # no character boundary within reach; cannot happen with whole characters of at most 4 tokens and room of 8
+        off = x - p - share
+        r = costs[head] + scale * off * off + c
+        back[x] = p
+        # A beginning gives way to this one where their costs cross, or where it falls out of reach.
+        while True:
+            q = begins[-1]
+            start = min(share + 0.5 * (q + x) - (costs[-1] - r) / (2.0 * scale * (x - q)), q + room + 1)
+            if len(begins) - head < 2 or start > since[-1]:
+                break
+            begins.pop(), costs.pop(), since.pop()
+        begins.append(x), costs.append(r), since.append(start)
+    if total not in back:  # no character boundary within reach; cannot happen with whole characters of at most 4 tokens and room of 8
         raise ValueError("no admissible sequence of cuts")
-    path = [len(places) - 1]
+    path = [total]
     while path[-1]:
-        path.append(int(back[path[-1]]))
-    return places[path[::-1]]
+        path.append(back[path[-1]])
+    return np.array(path[::-1])
 
 
 def split_text(body: str, max_tokens: int, overlap: int, path: str = VOCABULARY) -> list[tuple[int, int, int, int]]:

@@ -15,7 +15,7 @@ from cinderlode.llm.graph import Graph
 from cinderlode.llm.leaks import ItemBlock, leaked_passages, suffix_array, words_of
 from cinderlode.llm.mixture import mixture
 from cinderlode.llm.neardup import close_texts, groups, letters_of, near_duplicates
-from cinderlode.llm.pieces import split_documents, split_text
+from cinderlode.llm.pieces import KINDS, PENALTY, cuts, split_documents, split_text
 from cinderlode.llm.tokens import VOCABULARY, encoding
 from cinderlode.llm.truncation import _limits, truncated
 from cinderlode.llm.vectors import nearest, recall
@@ -270,6 +270,24 @@ def test_pieces_end_at_natural_boundaries():
     assert all(c == "." for c in ends)
 
 
+def test_cuts_have_the_least_cost():
+    rnd = np.random.default_rng(5)
+    for _ in range(60):
+        total, most = int(rnd.integers(100, 400)), int(rnd.integers(80, 120))
+        kinds = rnd.choice(5, total, p=[0.05, 0.05, 0.1, 0.4, 0.4])
+        room = most - 8 - 3
+        share = total / -(-total // room)
+
+        def step(a, b):
+            return 20 * ((b - a) / share - 1) ** 2 + 4 + (PENALTY[KINDS[kinds[b - 1]]] if b < total else 0)
+
+        least = [0.0]
+        for b in range(1, total + 1):
+            least.append(min(least[a] + step(a, b) for a in range(max(0, b - room), b)))
+        found = cuts(kinds, most, 8).tolist()
+        assert all(b - a <= room for a, b in zip(found, found[1:])) and abs(sum(map(step, found, found[1:])) - least[total]) < 1e-6
+
+
 def test_split_documents_rows(spark):
     df = spark.createDataFrame([(1, TEXTS["paragraphs"]), (2, "short"), (3, None), (4, ""), (None, TEXTS["chinese"]), (5, TEXTS["chinese"])], "doc_id long, text string")
     got = split_documents(df, [("a", 64, 8), ("b", 4000, 100)]).collect()
