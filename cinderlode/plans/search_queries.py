@@ -119,6 +119,7 @@ def path_match_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def confidence_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """Confidence labels of sampled embeddings. These have no texts: the text-match flags are synthetic (qid % 3 = 0), as in the SQL; `cascade_search` has real ones."""
     e = table(spark, folder, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
     others = knn(asked, e, 2, 64, doc="vec_id").where("doc <> qid").groupBy("qid").agg(F.min("distance").alias("distance"))
