@@ -1,9 +1,10 @@
 """The most similar vectors for every vector: robust-pruned graphs on shards, with beam search.
 
-Centroids are fitted on a bounded sample; every vector is a member of its nearest cell. Each cell's graph is searched by its own
-members and by vectors for which the cell's centroid is almost as near as their own (at most probes cells each). Cells above
-shard_rows are split by a hash of the vector and every query of the cell searches all its parts, so no link is lost to a split;
-parts with many visitors are built several times, each for a share of the visitors. Copies of a vector are one node.
+Centroids are fitted on bounded samples, in two levels where there are many; every vector is a member of its nearest cell. When a
+cell's graph is finished, it is searched by its own members and by vectors for which the cell's centroid is almost as near as their
+own (at most probes cells each). Cells half as large again as shard_rows are split by a hash of the vector and every query of the
+cell searches all its parts, so no link is lost to a split; parts with many visitors are built several times, each for a share of
+the visitors. Copies of a vector are one node.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,89 +61,127 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 3) -
     return c
 
 
-def cells_of(x: np.ndarray, c: np.ndarray, probes: int, margin: float) -> np.ndarray:
-    """Cells each vector searches, its own first, -1 where fewer."""
-    sims = x @ c.T
-    top = np.argsort(-sims, axis=1)[:, :probes]
-    near = np.take_along_axis(sims, top, 1)
-    return np.where(near >= near[:, :1] - margin, top, -1)
-
-
-def _neighbours(k: int, beam: int, degree: int, build_beam: int, alpha: float, dims: int, via: int = 4):
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return np.concatenate([np.frombuffer(b"".join(c.to_pylist()), np.float32) for c in column.chunks] or [np.zeros(0, np.float32)]).reshape(-1, dims)
-
-    def run(table: pa.Table) -> pa.Table:
-        h, role, x = np.array(table.column("h").to_pylist(), dtype=object), table.column("role").to_numpy(), matrix(table.column("vec"))
-        member = np.flatnonzero(role != 1)
-        names, first = np.unique(h[member].astype("S12") if len(member) else np.zeros(0, "S12"), return_index=True)
-        member = member[first]
-        seeker = np.flatnonzero(role == 1)
-        _, first = np.unique(h[seeker].astype("S12") if len(seeker) else np.zeros(0, "S12"), return_index=True)
-        seeker = seeker[first]
-        out = []
-        if len(member):
-            graph = Graph(np.ascontiguousarray(x[member]), degree, build_beam, alpha)
-            if len(seeker):
-                ids, sims = graph.search(x[seeker], beam)
-                a, b, s = np.repeat(seeker, ids.shape[1]), member[np.maximum(ids, 0)].ravel(), sims.ravel()
-                ok = (ids.ravel() >= 0) & (h[a] != h[b])
-                out += [(a[ok], b[ok], s[ok]), (b[ok], a[ok], s[ok])]
-            if (role[member] == 0).any() and len(member) > 1:
-                # Members were searched when they were inserted; edges add what came later, in-neighbours what few edges lead to.
-                every = np.arange(len(member), dtype=np.int32)
-                after = np.stack([np.where(graph.edges[i] >= 0, graph.x[graph.edges[i]] @ graph.x[i], -np.inf) for i in every])
-                ids, sims = np.concatenate([graph.proposed, graph.edges], axis=1), np.concatenate([graph.near, after], axis=1)
-                sims = np.where((ids >= 0) & (ids != every[:, None]), sims, -np.inf).astype(np.float32)
-                order = np.argsort(-sims, axis=1)
-                ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-                ids = np.where(np.isfinite(sims), ids, -1)
-                sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
-                floor = -np.sort(-sims, axis=1)[:, min(k, sims.shape[1]) - 1]
-                a, b, s = graph.in_neighbours(every, ids[:, :via], floor)
-                ok = np.isfinite(sims.ravel())
-                pa_, pb = np.repeat(every, ids.shape[1])[ok], ids.ravel()[ok]
-                for a_, b_, s_ in ((pa_, pb, sims.ravel()[ok]), (a, b, s)):
-                    out += [(member[a_], member[b_], s_), (member[b_], member[a_], s_)]
-        if not out:
-            return pa.table({"h": pa.array([], pa.binary()), "nh": pa.array([], pa.binary()), "sim": pa.array([], pa.float64())})
-        a, b, s = (np.concatenate(v) for v in zip(*out))
-        order = np.lexsort((b, -s, a))
-        a, b, s = a[order], b[order], s[order]
-        keep = np.ones(len(a), bool)
-        keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        a, b, s = a[keep], b[keep], s[keep]
-        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        rank = np.arange(len(a)) - np.repeat(start, np.diff(np.concatenate([start, [len(a)]])))
-        a, b = a[rank < k], b[rank < k]
-        exact = np.einsum("nd,nd->n", x[a].astype(np.float64), x[b].astype(np.float64)) if len(a) else np.zeros(0)
-        return pa.table({"h": pa.array(h[a].tolist(), pa.binary()), "nh": pa.array(h[b].tolist(), pa.binary()), "sim": pa.array(exact, pa.float64())})
-
-    return run
+class Cells:
+    """Centroids of one or two levels. children: for each first centroid the second ones below it, numbered through; none with one level."""
+
+    def __init__(self, first: np.ndarray, children: list[np.ndarray] | None = None):
+        self.first, self.children = first, children
+        self.base = np.cumsum([0, *(len(c) for c in children)]) if children else None
+
+    def of(self, x: np.ndarray, probes: int, margin: float) -> np.ndarray:
+        """Cells each vector searches, its own first, -1 where fewer."""
+        near = x @ self.first.T
+        top = np.argsort(-near, axis=1)[:, :probes]
+        sims = np.take_along_axis(near, top, 1)
+        if self.children:
+            above = top
+            top, sims = np.full((len(x), probes), -1, np.int64), np.full((len(x), probes), -np.inf, np.float32)
+            for g in np.unique(above):
+                rows = np.flatnonzero((above == g).any(axis=1))
+                near = np.concatenate([sims[rows], x[rows] @ self.children[g].T], axis=1)
+                ids = np.concatenate([top[rows], np.broadcast_to(self.base[g] + np.arange(len(self.children[g])), (len(rows), len(self.children[g])))], axis=1)
+                best = np.argsort(-near, axis=1)[:, :probes]
+                top[rows], sims[rows] = np.take_along_axis(ids, best, 1), np.take_along_axis(near, best, 1)
+        return np.where(sims >= sims[:, :1] - margin, top, -1)
+
+
+def fitted_cells(source: DataFrame, n: int, dims: int, shard_rows: int, sample_rows: int, fan: int) -> Cells:
+    """About n / shard_rows cells, fitted on samples of at most sample_rows vectors; two levels where there are more than fan.
+
+    The second level is fitted below each first centroid by a task of its own, on a sample of that cell. At most fan * fan
+    centroids reach the driver and the tasks (100 MB for fan 256 and 384 components).
+    """
+    sample = source.select("embedding").sample(min(1.0, 1.1 * sample_rows / max(1, n)), 11).limit(sample_rows).toArrow().column(0)
+    s = np.concatenate([usable(c, dims)[1] for c in sample.chunks] or [np.zeros((0, dims), np.float32)])
+    cells = max(1, min(-(-n // shard_rows), fan * fan, max(len(s), 1) // 8 if n <= sample_rows else n // 8))
+    if cells <= fan:
+        return Cells(centroids(s, cells))
+    first = centroids(s, min(fan, -(-len(s) // 8), int(cells ** 0.5) + 1))
+    share = np.bincount((s @ first.T).argmax(axis=1), minlength=len(first)) / max(1, len(s))
+    below = np.clip(np.round(cells * share), 1, fan * fan // len(first)).astype(int)
+    chance = np.minimum(1.0, np.minimum(64 * below, sample_rows) / np.maximum(1.0, n * share))
+
+    def draw(batches):
+        for number, batch in enumerate(batches):
+            _, x = usable(batch.column(0), dims)
+            cell = (x @ first.T).argmax(axis=1)
+            told = np.array([int.from_bytes(h[:6], "big") for h in digests(x)], np.float64) / 2.0 ** 48  # a vector's draw is its digest
+            kept = np.flatnonzero(told < chance[cell])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[kept].astype(np.int32)), pa.array([x[i].tobytes() for i in kept], pa.binary())], names=["cell", "vec"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        g = int(table.column("cell")[0].as_py())
+        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float32).reshape(-1, dims)[:2 * sample_rows]
+        c = centroids(x, int(min(below[g], -(-len(x) // 4))))
+        return pa.table({"cell": pa.array([g] * len(c), pa.int32()), "vec": pa.array([row.tobytes() for row in c], pa.binary())})
+
+    children = [first[g:g + 1] for g in range(len(first))]  # a cell whose sample is empty stands for itself
+    held: dict[int, list[bytes]] = {}
+    for r in source.select("embedding").mapInArrow(draw, "cell int, vec binary").groupBy("cell").applyInArrow(fit, "cell int, vec binary").collect():  # at most fan * fan rows
+        held.setdefault(r["cell"], []).append(bytes(r["vec"]))
+    for g, rows in held.items():
+        children[g] = np.frombuffer(b"".join(sorted(rows)), np.float32).reshape(-1, dims)
+    return Cells(first, children)
+
+
+def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b"".join(c.to_pylist()), np.float32) for c in column.chunks] or [np.zeros(0, np.float32)]).reshape(-1, dims)
+
+
+def _neighbours(table: pa.Table, k: int, beam: int, degree: int, build_beam: int, alpha: float, dims: int) -> pa.Table:
+    """Links (h, nh, sim) that one shard gives: its graph is searched by its members and by its visitors."""
+    h, role, x = np.array(table.column("h").to_pylist(), dtype="S12"), table.column("role").to_numpy(), _matrix(table.column("vec"), dims)
+    member, seeker = np.flatnonzero(role != 1), np.flatnonzero(role == 1)
+    member, seeker = (rows[np.unique(h[rows], return_index=True)[1]] for rows in (member, seeker))
+    found = []
+    if len(member):
+        graph = Graph(np.ascontiguousarray(x[member]), degree, build_beam, alpha)
+        seeks = [(seeker, None)] if len(seeker) else []
+        if (role[member] == 0).any() and len(member) > 1:
+            seeks.append((member, np.arange(len(member), dtype=np.int32)))
+        for who, among in seeks:
+            ids, sims = graph.search(x[who], beam, among=among)
+            ids, sims = ids[:, :2 * k + 1], sims[:, :2 * k + 1]
+            a, b, s = np.repeat(who, ids.shape[1]), member[np.maximum(ids, 0)].ravel(), sims.ravel()
+            ok = (ids.ravel() >= 0) & (a != b) & (h[a] != h[b])
+            found += [(a[ok], b[ok], s[ok]), (b[ok], a[ok], s[ok])]
+    if not found:
+        return pa.table({"h": pa.array([], pa.binary()), "nh": pa.array([], pa.binary()), "sim": pa.array([], pa.float64())})
+    a, b, s = (np.concatenate(v) for v in zip(*found))
+    order = np.lexsort((b, -s, a))
+    a, b = a[order], b[order]
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b = a[keep], b[keep]
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.concatenate([start, [len(a)]])))
+    a, b = a[rank < k], b[rank < k]
+    exact = np.empty(len(a))
+    for at in range(0, len(a), 8192):
+        p = slice(at, at + 8192)
+        exact[p] = np.einsum("nd,nd->n", x[a[p]].astype(np.float64), x[b[p]].astype(np.float64))
+    digest = np.array(table.column("h").to_pylist(), dtype=object)
+    return pa.table({"h": pa.array(digest[a].tolist(), pa.binary()), "nh": pa.array(digest[b].tolist(), pa.binary()), "sim": pa.array(exact, pa.float64())})
 
 
 def nearest(
-    vectors: DataFrame, key: str, embedding: str, k: int = 10, dims: int = 384, least_sim: float | None = None, shard_rows: int = 3000, sample_rows: int = 20_000, probes: int = 3, margin: float = 0.15,
-    degree: int = 24, build_beam: int = 40, beam: int = 48, alpha: float = 1.02, visitors: int = 20_000,
+    vectors: DataFrame, key: str, embedding: str, k: int = 10, dims: int = 384, least_sim: float | None = None, shard_rows: int = 25_000, sample_rows: int = 20_000, fan: int = 256,
+    probes: int = 3, margin: float = 0.1, degree: int = 16, build_beam: int = 40, beam: int = 48, alpha: float = 1.2, visitors: int = 50_000,
 ) -> DataFrame:
     """For every usable vector its k most similar others: key, neighbour, sim (cosine), rank from 1.
 
     Usable are embeddings of dims finite components that are not all zero; others, and rows with a null key, are left out and are
     nobody's neighbour. Ties are ordered by the neighbour's key; rows delivered again under one key count once, a key with several
     vectors stands for each of them and keeps the nearest k of all. least_sim drops pairs below it after ranking. Centroids are
-    fitted on at most sample_rows vectors; every vector is indexed and searched.
+    fitted on samples of at most sample_rows vectors a level; every vector is indexed and searched.
     """
-    spark = vectors.sparkSession
     source = vectors.select(F.col(key).cast("string").alias("key"), F.col(embedding).cast("array<float>").alias("embedding")).where("key is not null and embedding is not null")
-    n = vectors.count()
-    sample = source.select("embedding").sample(min(1.0, 1.1 * sample_rows / max(1, n)), 11).limit(sample_rows).toArrow().column(0)
-    s = np.concatenate([usable(c, dims)[1] for c in sample.chunks] or [np.zeros((0, dims), np.float32)])
-    c = centroids(s, max(1, min(-(-n // shard_rows), len(s) // 8)))
+    tree = fitted_cells(source, vectors.count(), dims, shard_rows, sample_rows, fan)
 
     def name(batches):
         for batch in batches:
             rows, x = usable(batch.column(1), dims)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(digests(x), pa.binary()), pa.array(cells_of(x, c, probes, margin).tolist(), pa.list_(pa.int32()))], names=["key", "h", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(digests(x), pa.binary()), pa.array(tree.of(x, probes, margin).tolist(), pa.list_(pa.int32()))], names=["key", "h", "cells"])
 
     named = stage(source.mapInArrow(name, "key string, h binary, cells array<int>"))
     distinct = named.select("h", "cells").dropDuplicates(["h"])
@@ -159,7 +199,7 @@ def nearest(
             hs = digests(x)
             once = list({h: i for i, h in enumerate(hs)}.values())
             to, role, who = [], [], []
-            for i, cells in zip(once, cells_of(x[once], c, probes, margin).tolist()):
+            for i, cells in zip(once, tree.of(x[once], probes, margin).tolist()):
                 number = int.from_bytes(hs[i][:6], "big")
                 for place, cell in enumerate(cells):
                     if cell < 0 or cell not in base:
@@ -171,10 +211,17 @@ def nearest(
                             to.append(at + r), role.append((0 if r == 0 else 2) if own else 1), who.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(role, pa.int32()), pa.array([hs[i] for i in who], pa.binary()), pa.array([x[i].tobytes() for i in who], pa.binary())], names=["task", "role", "h", "vec"])
 
-    links = (
-        source.mapInArrow(send, "task int, role int, h binary, vec binary").repartition(max(1, min(total, max(total // 2, int(spark.conf.get("spark.sql.shuffle.partitions"))))), "task")
-        .groupBy("task").applyInArrow(_neighbours(k, beam, degree, build_beam, alpha, dims), "h binary, nh binary, sim double")
-    )
+    def shard(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        for task in np.unique(rows.column("task").to_numpy()):  # one a partition
+            one = rows.filter(pc.equal(rows.column("task"), int(task)))
+            yield from _neighbours(one, k, beam, degree, build_beam, alpha, dims).to_batches(max_chunksize=100_000)
+
+    links = source.mapInArrow(send, "task int, role int, h binary, vec binary").repartitionById(max(1, total), F.col("task")).mapInArrow(shard, "h binary, nh binary, sim double")
     if least_sim is not None:
         # Neighbours below least_sim never count and never displace a nearer one.
         links = links.where(F.col("sim") >= least_sim)

@@ -120,7 +120,7 @@ def test_graph_recall():
         assert set(Graph(x[:n]).search(x[:n], 8)[0][0].tolist()) - {-1} == set(range(n)) or n > 8
 
 
-@pytest.mark.parametrize("kw", [{}, {"shard_rows": 150, "visitors": 90}, {"shard_rows": 60, "probes": 4, "visitors": 40}])
+@pytest.mark.parametrize("kw", [{}, {"shard_rows": 150, "visitors": 90}, {"shard_rows": 60, "probes": 4, "visitors": 40}, {"shard_rows": 60, "fan": 5, "probes": 4, "margin": 0.3}])
 def test_nearest_vectors(spark, kw):
     x = clustered()
     data = [(f"k{i:04}", [float(v) for v in row]) for i, row in enumerate(x)]
