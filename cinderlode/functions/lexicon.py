@@ -62,6 +62,7 @@ REPOSITORY_PREFIXES = [
 ]
 BAD_DESCRIPTIONS = ["a tool", "a cli", "a command", "a utility", "todo", "placeholder", "unknown", "n/a", "none", "example", "test"]
 SHELL_OPERATORS = ["|", "&&", "||", ";", ">", "<", ">>", "2>"]
+RISKS = ["safe", "medium", "dangerous"]
 #: Ranking constants.
 RRF_K, POOL_FTS, POOL_FTS_SCOPED, POOL_VEC, POOL_VEC_SCOPED = 60, 300, 100, 200, 100
 APPS_KEPT, APPS_INJECTED, APPS_CAP, POOL_LEAST, PER_APP = 5, 5, 8, 30, 3

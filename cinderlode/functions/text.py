@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cinderlode.core import trimmed
 from cinderlode.functions import lexicon as L
 
 SPLIT = r"[^\p{L}\p{N}_]+"
@@ -46,9 +47,10 @@ def expanded_terms(text: Column) -> Column:
 
 
 def alias_terms(text: Column) -> Column:
-    """Tool names that any word of the text stands for; stop words are not removed first."""
+    """Tool names that any word of the text stands for and that are not among its words; stop words are not removed first."""
     words = F.filter(F.split(F.lower(text), SPLIT), lambda w: w != "")
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.coalesce(literal_lists(L.TOOL_ALIASES)[w], F.array().cast("array<string>")))))
+    named = F.array_distinct(F.flatten(F.transform(words, lambda w: F.coalesce(literal_lists(L.TOOL_ALIASES)[w], F.array().cast("array<string>")))))
+    return F.array_except(named, words)
 
 
 def content_tokens(text: Column) -> Column:
@@ -93,8 +95,13 @@ def root(path: Column) -> Column:
     return F.substring_index(path, ".", 1)
 
 
+def below(parts: Column) -> Column:
+    """All entries but the first."""
+    return F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
+
+
 def is_noise(path: Column) -> Column:
-    deeper = F.slice(F.split(path, r"\."), 2, 1000)
+    deeper = below(F.split(path, r"\."))
     return F.contains(path, F.lit(".")) & (F.lower(leaf(path)).isin(*L.NOISE_LEAVES) | F.arrays_overlap(deeper, strings(["completion", "completions"])))
 
 
@@ -106,7 +113,7 @@ def canonical_tool(name: Column) -> Column:
 
 def canonical_path(path: Column) -> Column:
     lower = F.lower(path)
-    first, rest = F.substring_index(lower, ".", 1), F.slice(F.split(lower, r"\."), 2, 1000)
+    first, rest = F.substring_index(lower, ".", 1), below(F.split(lower, r"\."))
     tool = canonical_tool(first)
     fused = F.when(tool != first, F.array(F.substring(first, F.length(tool) + 2, F.length(first)))).otherwise(F.array().cast("array<string>"))
     stems = F.transform(F.concat(fused, rest), lambda w: F.when(w.endswith("s") & (F.length(w) > 3), F.regexp_replace(w, "s$", "")).otherwise(w))
@@ -118,12 +125,21 @@ def path_words(path: Column) -> Column:
 
 
 def embed_text(path: Column, description: Column, topics: Column) -> Column:
-    return F.trim(F.concat(path_words(path), F.lit(". "), F.coalesce(description, F.lit("")), F.lit(" "), F.coalesce(topics, F.lit(""))))
+    """Path words, description and topics; underscores of the path stay."""
+    return trimmed(F.concat(F.translate(path, ".-", "  "), F.lit(". "), F.coalesce(description, F.lit("")), F.lit(" "), F.coalesce(topics, F.lit(""))))
 
 
-def index_name(app_id: Column, binary: Column) -> Column:
+def index_name(app_id: Column, name: Column) -> Column:
+    """The app's name (its id where it has none), with the last part of the id where the name does not contain that."""
     alias = F.substring_index(app_id, ".", -1)
-    return F.when(alias.isNull() | (alias == "") | F.contains(F.lower(binary), F.lower(alias)), binary).otherwise(F.concat_ws(" ", binary, alias))
+    name = F.coalesce(name, app_id, F.lit(""))
+    apart = F.contains(app_id, F.lit(".")) & ~F.contains(name, alias)
+    return F.when(F.coalesce(apart, F.lit(False)), F.concat_ws(" ", name, alias)).otherwise(name)
+
+
+def index_text(path: Column, description: Column, topics: Column) -> Column:
+    """The field of capabilities: path words, description, topics."""
+    return F.concat_ws(" ", F.translate(path, ".-", "  "), F.coalesce(description, F.lit("")), F.coalesce(topics, F.lit("")))
 
 
 def risk(path: Column, description: Column, existing: Column) -> Column:
@@ -138,19 +154,25 @@ def risk(path: Column, description: Column, existing: Column) -> Column:
 def example_fault(path: Column, example: Column) -> Column:
     """binary, subcommand or null: whether an example calls another binary or strays from the path's own words."""
     told = F.filter(F.split(F.trim(example), r"\s+"), lambda t: t != "")
-    tokens = F.when(F.get(told, F.lit(0)) == "sudo", F.slice(told, 2, 100000)).otherwise(told)
-    base, rest = F.lower(root(path)), F.slice(tokens, 2, 100000)
+    tokens = F.when(F.get(told, F.lit(0)) == "sudo", below(told)).otherwise(told)
+    base, rest = F.lower(root(path)), below(tokens)
     ends = F.transform(rest, lambda t: t.startswith("-") | F.contains(t, F.lit("{{")) | F.contains(t, F.lit("=")) | t.isin(*L.SHELL_OPERATORS))
     stop = F.array_position(ends, F.lit(True))
     bare = F.when(stop > 0, F.slice(rest, 1, (stop - 1).cast("int"))).otherwise(rest)
-    segments = F.slice(F.split(F.lower(path), r"\."), 2, 1000)
+    segments = below(F.split(F.lower(path), r"\."))
     strays = F.exists(F.transform(bare, lambda t, i: F.coalesce(F.get(segments, i) != F.lower(t), F.lit(True))), lambda b: b)
     first = F.lower(F.get(tokens, F.lit(0)))
     return F.when(F.size(tokens) <= 0, F.lit(None).cast("string")).when((first != base) & (first != F.concat(F.lit("./"), base)), "binary").when(F.contains(path, F.lit(".")) & strays, "subcommand")
 
 
 def topic_list(raw: Column, most: int = 15) -> Column:
-    return F.slice(F.array_distinct(F.filter(F.transform(F.split(raw, r"[,\s]+"), lambda t: F.lower(F.trim(t))), lambda t: t != "")), 1, most)
+    """Topics parted by commas or line ends, lower-cased, each once in order of appearance."""
+    return F.slice(F.array_distinct(F.filter(F.transform(F.split(raw, r"[,\n]"), lambda t: F.lower(trimmed(t))), lambda t: t != "")), 1, most)
+
+
+def topic_words(raw: Column) -> Column:
+    """The stored topics of a command as they are shown: split at white space."""
+    return F.filter(F.split(F.coalesce(raw, F.lit("")), r"\s+"), lambda t: t != "")
 
 
 def segments_of(path: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlode.functions import installs as I
 from cinderlode.functions import text as T
 
 
@@ -17,7 +18,7 @@ def shards(apps: DataFrame, arguments: DataFrame) -> DataFrame:
     tree = arguments.select("app_id", node.alias("node")).distinct().groupBy("app_id").agg(F.array_sort(F.collect_list("node")).alias("tree"))
     roots = arguments.where("instr(cmd_path, '.') = 0").groupBy("app_id").agg(F.min_by(F.struct("description", "topics"), "cmd_path").alias("root"))
     joined = apps.join(tree, "app_id", "left").join(roots, "app_id", "left")
-    doc = F.struct("app_id", "name", F.coalesce("root.description", F.lit("")).alias("description"), T.topic_list(F.coalesce("root.topics", F.lit(""))).alias("topics"), F.col("popularity").cast("decimal(10,6)").cast("string").alias("popularity"), F.coalesce("tree", F.array().cast("array<struct<cmd_path:string,node_type:string,description:string,risk_level:string,example_template:string>>")).alias("tree"))
+    doc = F.struct("app_id", "name", F.coalesce("root.description", F.lit("")).alias("description"), T.topic_words(F.col("root.topics")).alias("topics"), F.col("popularity").cast("decimal(10,6)").cast("string").alias("popularity"), F.coalesce("tree", F.array().cast("array<struct<cmd_path:string,node_type:string,description:string,risk_level:string,example_template:string>>")).alias("tree"))
     return joined.select("app_id", F.size(F.coalesce("tree", F.array().cast("array<struct<cmd_path:string,node_type:string,description:string,risk_level:string,example_template:string>>"))).alias("nodes"), F.to_json(doc).alias("shard"))
 
 
@@ -37,6 +38,29 @@ def sitemap(apps: DataFrame, per_file: int = 50_000) -> DataFrame:
     return ordered(apps).select("app_id", F.floor((F.col("place") - 1) / per_file).cast("int").alias("part"), entry.alias("entry"))
 
 
+def contract_presets(contracts: DataFrame, there: DataFrame, os: str, managers: list[str]) -> DataFrame:
+    """contracts with the columns minimal, usage and full: a result as JSON, with few, some and all of its fields.
+
+    contracts: app, name, path, node_type, description, risk, example_template, provenance, docker_image, script_url, source_url,
+    confidence, install_instructions, os_aliases. there: binary, the lower-cased binaries found on the machine. Absent examples and install
+    commands are null in the JSON, absent images and addresses are left out of it.
+    """
+    command = I.resolved(I.install_map(F.col("install_instructions")), F.lit(os), managers)
+    binary = F.lower(I.binary_name(F.col("os_aliases"), "macos" if os == "macos" else "windows" if os == "windows" else "linux", F.col("name")))
+    rows = contracts.withColumn("binary", binary).join(there.select("binary", F.lit(True).alias("found")).distinct(), "binary", "left")
+
+    def told(*fields):
+        return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+    p, e, c = F.col("path").alias("cmd_path"), F.col("example_template"), F.col("confidence")
+    always = told(
+        F.col("app").alias("app_id"), "name", p, "node_type", "description", F.col("risk").alias("risk_level"), e, F.when(F.col("found"), "installed").otherwise("not_installed").alias("status"),
+        command.alias("install_command"), F.coalesce(F.col("provenance") == "probe", F.lit(False)).alias("verified"))
+    known = F.to_json(F.struct("docker_image", "script_url", "source_url", c))
+    full = F.concat(F.substring(always, F.lit(1), F.length(always) - 1), F.lit(","), F.substring(known, F.lit(2), F.length(known)))
+    return rows.withColumn("minimal", told(p, c)).withColumn("usage", told(p, e, c)).withColumn("full", full)
+
+
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """table, rows and an order-free checksum of the contents of each table."""
     out = None

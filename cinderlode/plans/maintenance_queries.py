@@ -17,8 +17,7 @@ from cinderlode.operators import quality as V
 from cinderlode.operators import sync as S
 from cinderlode.operators.knn import knn
 from cinderlode.plans.curation_queries import _APPS, _ARGS, _arguments, _apps
-from cinderlode.plans.search_queries import _CATALOGUE, _EMB, _asked, _bm25_sql, _index, _phrases, _q, catalogue
-from cinderlode.operators.index import bm25, ranked
+from cinderlode.plans.search_queries import _CATALOGUE, _EMB, _asked, _bm25_sql, _index, _q, _ranking, catalogue
 from cinderlode.streaming.feed import apply_feed, windowed_counts
 
 
@@ -83,11 +82,8 @@ def tool_depth(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    commands = stage(catalogue(spark, folder))
-    asked = _asked(commands)
-    scores = bm25(_index(commands), _phrases(asked, "or", T.query_terms(F.col("text")))).withColumn("score", F.round("score", 6))
-    found = ranked(scores, ["score", "doc"], 20)
-    return asked, found.join(commands.select("doc", (F.coalesce("provenance", F.lit("")) == "probe").alias("verified"), "app"), "doc")
+    commands, found = _ranking(spark, folder, False, 5.0, 2.0, 20)
+    return _asked(spark, folder), found.join(commands.select("doc", (F.coalesce("provenance", F.lit("")) == "probe").alias("verified"), "app"), "doc")
 
 
 def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,7 +178,7 @@ sg as (select snap_no, trim(cmd_path) cmd_path, trim(app_id) app_id, trim(descri
 _DIFF = f"""with {_SNAP}, t as (select snap_no, app_id, string_agg(to_json([cmd_path, description, risk_level])::varchar, '' order by cmd_path) tree from sg group by 1, 2),
 f as (select coalesce(sa.snap_no, t.snap_no) snap_no, coalesce(sa.app_id, t.app_id) app_id, to_json(["name"])::varchar || '|' || coalesce(tree, '') || (sa.app_id is null)::varchar p from sa full outer join t on sa.snap_no = t.snap_no and sa.app_id = t.app_id),
 d as (select coalesce(o.app_id, n.app_id) app_id, case when o.app_id is null then 'added' when n.app_id is null then 'deleted' else 'changed' end change from (select * from f where snap_no = 3) o full outer join (select * from f where snap_no = 4) n on o.app_id = n.app_id where o.p is distinct from n.p)"""
-_VERDICT = f"""with rs as ({_bm25_sql(False, '5', '2', 20)}), ow as (select row_id qid, cmd_path own from (select row_id, cmd_path from arguments where cmd_path is not null qualify row_number() over (partition by cmd_path order by row_id) = 1) where row_id % 20 = 0),
+_VERDICT = f"""with rs as ({_bm25_sql(False, '5', '2', 20)}), ow as (select row_id qid, cmd_path own from arguments where cmd_path is not null and row_id % 20 = 0),
 vf as (select cmd_path doc, coalesce(lower(trim(provenance)), '') = 'probe' verified from arguments where cmd_path is not null qualify row_number() over (partition by cmd_path order by row_id) = 1),
 p as (select ow.qid, own target, min(case when rs.doc = own then pos end) rank, coalesce(sum((pos <= 5)::int), 0) shown, max((pos <= 5 and rs.doc <> own and split_part(rs.doc, '.', 1) = split_part(own, '.', 1))::int) sib, max((pos <= 5 and not verified)::int) unv, arg_min(rs.doc, case when pos <= 5 then pos end) blocker
   from ow left join rs on ow.qid = rs.qid left join vf on vf.doc = rs.doc group by all),
@@ -237,8 +233,8 @@ select row_id, array_to_string(list_filter(z, lambda x, i: list_position(z, x) =
     "shard_tree": f"""with {_ARGS}, {_APPS}, nd as (select distinct app_id, cmd_path, node_type, coalesce(description, '') d, coalesce(risk_level, 'safe') r, example_template e, {_NODE} js from g where app_id is not null),
 t as (select app_id, count(*) n, string_agg(js, ',' order by cmd_path, node_type, d, r, e nulls first) tr from nd group by 1),
 ro as (select app_id, coalesce(arg_min(struct_pack(x := description), cmd_path).x, '') d, coalesce(arg_min(struct_pack(x := topics), cmd_path).x, '') tp from g where position('.' in cmd_path) = 0 group by 1),
-tl as (select app_id, d, list_filter(list_transform(regexp_split_to_array(tp, '[,\\s]+'), lambda x: lower(trim(x))), lambda x: x <> '') z from ro)
-select a.app_id, coalesce(n, 0)::int nodes, '{{"app_id":' || to_json(a.app_id) || coalesce(',"name":' || to_json(a."name"), '') || ',"description":' || to_json(coalesce(tl.d, '')) || ',"topics":' || to_json(coalesce(list_filter(z, lambda x, i: list_position(z, x) = i)[:15], [])) || coalesce(',"popularity":"' || pop::decimal(10,6)::varchar || '"', '') || ',"tree":[' || coalesce(tr, '') || ']}}' shard
+tl as (select app_id, d, list_filter(regexp_split_to_array(tp, '\\s+'), lambda x: x <> '') z from ro)
+select a.app_id, coalesce(n, 0)::int nodes, '{{"app_id":' || to_json(a.app_id) || coalesce(',"name":' || to_json(a."name"), '') || ',"description":' || to_json(coalesce(tl.d, '')) || ',"topics":' || to_json(coalesce(z, [])) || coalesce(',"popularity":"' || pop::decimal(10,6)::varchar || '"', '') || ',"tree":[' || coalesce(tr, '') || ']}}' shard
 from a left join t using (app_id) left join tl using (app_id)""",
     "index_order": f"with {_APPS} select app_id, row_number() over (order by coalesce(pop, 0) desc, app_id) place from a",
     "sitemap_parts": f"with {_APPS}, o as (select *, row_number() over (order by coalesce(pop, 0) desc, app_id) place from a) select app_id, ((place - 1) // 50)::int part, '<url><loc>/' || app_id || '</loc><priority>' || format('{{:.1f}}', least(1, greatest(0, coalesce(pop, 0)))) || '</priority></url>' entry from o",

@@ -8,56 +8,66 @@ from pyspark.sql import functions as F
 from cinderlode.core import key_of, stage, table
 from cinderlode.functions import lexicon as L
 from cinderlode.functions import text as T
-from cinderlode.operators.cascade import Settings, confidence, search
-from cinderlode.operators.index import bm25, build_index, ranked, tokens
+from cinderlode.operators.cascade import Settings, confidence, search, with_skills
+from cinderlode.operators.export import contract_presets
+from cinderlode.operators.index import best_with_any, build_index, ranked, scored, shares, tokens, with_all
 from cinderlode.operators.knn import fitted, knn, rrf
 
 
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per cmd_path, the first delivered: doc, app, path, node_type, risk, provenance, name_text, cap_text, row_id."""
+    """One row per cmd_path, the first delivered, with the two fields that are indexed.
+
+    name_text is the app's name with its package alias, cap_text the path words, the description and the topics.
+    """
     rows = table(spark, folder, "arguments").where("cmd_path is not null")
     first = rows.groupBy("cmd_path").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "cmd_path"]), "row_id").alias("r")).select("cmd_path", "r.*")
-    return first.select(
-        F.col("cmd_path").alias("doc"), key_of(F.col("app_id")).alias("app"), F.col("cmd_path").alias("path"), T.node_type(F.col("cmd_path")).alias("node_type"), F.coalesce(F.lower(F.trim("risk_level")), F.lit("safe")).alias("risk"),
-        F.lower(F.trim("provenance")).alias("provenance"), T.path_words(F.col("cmd_path")).alias("name_text"), F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("topics", F.lit(""))).alias("cap_text"), "row_id")
+    named = first.withColumn("app", key_of(F.col("app_id"))).join(app_table(spark, folder).select("app", F.col("name").alias("app_name")), "app", "left")
+    p = F.col("cmd_path")
+    return named.select(
+        p.alias("doc"), "app", p.alias("path"), T.node_type(p).alias("node_type"), F.coalesce(F.lower(F.trim("risk_level")), F.lit("safe")).alias("risk"), F.lower(F.trim("provenance")).alias("provenance"),
+        T.index_name(F.col("app"), F.col("app_name")).alias("name_text"), T.index_text(p, F.col("description"), F.col("topics")).alias("cap_text"), "row_id",
+        "description", "example_template", "docker_image", "script_url", "source_url")
 
 
 def app_table(spark: SparkSession, folder: str) -> DataFrame:
     apps = table(spark, folder, "apps").withColumn("app", key_of(F.col("app_id"))).where("app is not null")
-    return apps.groupBy("app").agg(F.min("name").alias("name"), F.max("popularity").alias("pop"))
+    return apps.groupBy("app").agg(F.min("name").alias("name"), F.max("popularity").alias("pop"), F.min("install_instructions").alias("install_instructions"), F.min("os_aliases").alias("os_aliases"))
 
 
-def _asked(commands: DataFrame) -> DataFrame:
-    """The query set of a search: every row whose id is divisible by 20, asking for the words of its own path."""
-    after = F.regexp_extract("path", r"^[^.]*\.(.*)$", 1)
-    return commands.where("row_id % 20 = 0").select(F.col("row_id").alias("qid"), F.col("doc").alias("own"), T.path_words(F.when(after == "", F.col("path")).otherwise(after)).alias("text"))
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The query set of a search: every row of arguments whose id is divisible by 20, asking for the words of its own path."""
+    after = F.regexp_extract("cmd_path", r"^[^.]*\.(.*)$", 1)
+    rows = table(spark, folder, "arguments").where("cmd_path is not null and row_id % 20 = 0")
+    return rows.select(F.col("row_id").alias("qid"), F.col("cmd_path").alias("own"), F.translate(F.when(after == "", F.col("cmd_path")).otherwise(after), ".-", "  ").alias("text"))
 
 
-def _phrases(queries: DataFrame, group: str, terms) -> DataFrame:
-    return queries.select("qid", F.lit(group).alias("group"), F.explode(terms).alias("prefix")).distinct()
+def _phrases(queries: DataFrame, terms) -> DataFrame:
+    parts = F.array_join(F.filter(F.split("term", "_"), lambda w: w != ""), "_")
+    return queries.select("qid", F.explode(terms).alias("term")).select("qid", parts.alias("prefix")).where("prefix <> ''").distinct()
 
 
 def _index(commands: DataFrame):
     return build_index(commands, "doc", "name_text", "cap_text")
 
 
-def _ranking(spark, folder, group, name_weight, text_weight):
+def _ranking(spark, folder, every, name_weight, text_weight, most=10):
     commands = stage(catalogue(spark, folder))
-    asked = _phrases(_asked(commands), group, T.query_terms(F.col("text")))
-    found = bm25(_index(commands), asked, name_weight, text_weight).where("and_all" if group == "and" else "true")
-    return ranked(found.withColumn("score", F.round("score", 6)), ["score", "doc"], 10).select("qid", "doc", "score", "pos")
+    asked = stage(_phrases(_asked(spark, folder), T.query_terms(F.col("text"))))
+    parts = shares(_index(commands), asked, score=(name_weight, text_weight))
+    found = scored(parts, asked, with_all(parts, asked), "score") if every else best_with_any(parts, asked, most, "score")
+    return commands, ranked(found, ["score", "doc"], most).select("qid", "doc", "score", "pos")
 
 
 def bm25_and_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _ranking(spark, folder, "and", 5.0, 2.0)
+    return _ranking(spark, folder, True, 5.0, 2.0)[1]
 
 
 def bm25_or_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _ranking(spark, folder, "or", 5.0, 2.0)
+    return _ranking(spark, folder, False, 5.0, 2.0)[1]
 
 
 def bm25_weighted_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return _ranking(spark, folder, "and", 10.0, 1.0)
+    return _ranking(spark, folder, True, 10.0, 1.0)[1]
 
 
 def tokenize_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +90,7 @@ def query_terms(spark: SparkSession, folder: str) -> DataFrame:
 def exact_lookup(spark: SparkSession, folder: str) -> DataFrame:
     commands = catalogue(spark, folder)
     apps = app_table(spark, folder)
-    keys = commands.join(apps, "app", "left").select("doc", F.explode(F.array_distinct(F.array(F.lower("path"), F.when(F.col("node_type") == "root", F.lower("name"))))).alias("key")).where("key is not null")
+    keys = commands.join(apps, "app").select("doc", F.explode(F.array_distinct(F.array(F.lower("path"), F.when(F.col("node_type") == "root", F.lower("name"))))).alias("key")).where("key is not null")
     asked = apps.select(F.lower(F.trim("name")).alias("key")).where("key <> ''").distinct()
     return ranked(keys.join(asked, "key").distinct(), ["doc"], 5, partition="key").select("key", "doc", "pos")
 
@@ -104,11 +114,9 @@ def vec_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    commands = stage(catalogue(spark, folder))
-    asked = _asked(commands)
     vectors = table(spark, folder, "commands_vec").where("size(embedding) = 384")
-    text = ranked(bm25(_index(commands), _phrases(asked, "or", T.query_terms(F.col("text")))).withColumn("score", F.round("score", 6)), ["score", "doc"], 100)
-    near = knn(asked.join(vectors.withColumnRenamed("cmd_path", "own"), "own").select("qid", F.col("embedding").alias("vec")), vectors, 100, 384, doc="cmd_path")
+    text = _ranking(spark, folder, False, 5.0, 2.0, 100)[1]
+    near = knn(_asked(spark, folder).join(vectors.withColumnRenamed("cmd_path", "own"), "own").select("qid", F.col("embedding").alias("vec")), vectors, 100, 384, doc="cmd_path")
     fused = rrf(text, near, ["qid", "doc"]).withColumn("rrf", F.round("rrf", 8))
     return ranked(fused, [F.desc("rrf"), "doc"], 10).select("qid", "doc", "left_pos", "right_pos", "rrf", "pos")
 
@@ -141,14 +149,23 @@ def per_app_cap(spark: SparkSession, folder: str) -> DataFrame:
 def cascade_search(spark: SparkSession, folder: str) -> DataFrame:
     commands = stage(catalogue(spark, folder))
     vectors = table(spark, folder, "commands_vec").where("size(embedding) = 384").select(F.col("cmd_path").alias("doc"), "embedding")
-    asked = _asked(commands).join(vectors.select(F.col("doc").alias("own"), F.col("embedding").alias("vec")), "own", "left").select("qid", "text", "vec")
-    return search(asked, commands, app_table(spark, folder), vectors, _index(commands))
+    asked = _asked(spark, folder).join(vectors.select(F.col("doc").alias("own"), F.col("embedding").alias("vec")), "own", "left").select("qid", "text", "vec")
+    apps = app_table(spark, folder)
+    return search(asked, commands.join(apps.select("app"), "app", "left_semi"), apps, vectors, _index(commands))
+
+
+def search_with_skills(spark: SparkSession, folder: str) -> DataFrame:
+    """The text ranking of each query, filled up to ten by the matching skills: the manual raw records stand for a user's folder."""
+    raw = table(spark, folder, "arguments_raw").where("lower(trim(provenance)) = 'manual'")
+    skills = raw.select(F.col("cmd_path").alias("path"), T.leaf(F.col("cmd_path")).alias("name"), "description")
+    return with_skills(_ranking(spark, folder, True, 5.0, 2.0)[1], _asked(spark, folder), skills, 10)
 
 
 def presets(spark: SparkSession, folder: str) -> DataFrame:
-    """The minimal and usage presets of every command, as JSON."""
-    commands = table(spark, folder, "arguments").where("cmd_path is not null and description is not null")
-    return commands.select("row_id", F.to_json(F.struct("cmd_path", "description")).alias("minimal"), F.to_json(F.struct("cmd_path", "description", "example_template", "risk_level")).alias("usage"))
+    """The minimal, usage and full presets of every command of a listed app, as JSON; binaries of probed raw records count as installed."""
+    commands = catalogue(spark, folder).where("description is not null").join(app_table(spark, folder), "app").withColumn("confidence", F.lit("high"))
+    there = table(spark, folder, "arguments_raw").where("lower(trim(provenance)) = 'probe'").select(F.lower(T.root(F.col("cmd_path"))).alias("binary")).distinct()
+    return contract_presets(commands, there, "ubuntu", ["npm", "scoop"]).select("row_id", "minimal", "usage", "full")
 
 
 def _q(words):
@@ -159,26 +176,39 @@ def _m(values):
     return "map {" + ", ".join(f"'{k}': {v!r}" for k, v in values.items()) + "}"
 
 
-_CATALOGUE = """
-c as (select *, translate(cmd_path, '._-', '   ') nt, coalesce(description, '') || ' ' || coalesce(topics, '') ct from arguments where cmd_path is not null qualify row_number() over (partition by cmd_path order by row_id) = 1),
-aq as (select row_id qid, cmd_path own, case when position('.' in cmd_path) = 0 or regexp_extract(cmd_path, '^[^.]*\\.(.*)$', 1) = '' then nt else translate(regexp_extract(cmd_path, '^[^.]*\\.(.*)$', 1), '._-', '   ') end text from c where row_id % 20 = 0)
-"""
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 _SPLIT = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
 _TERMS = "list_filter(" + _SPLIT + ", lambda w: w not in " + _q(L.STOP_WORDS) + ")"
+_NORM = "array_to_string(list_filter(string_split({}, '_'), lambda w: w <> ''), '_')"
+_CATALOGUE = """
+ap as (select lower(trim(app_id)) app, min("name") nm, max(popularity) pop, min(install_instructions) ii, min(os_aliases) os from apps where trim(app_id) <> '' group by 1),
+c as (select z.*, coalesce(nm, app, '') || case when contains(app, '.') and not contains(coalesce(nm, app), split_part(app, '.', -1)) then ' ' || split_part(app, '.', -1) else '' end nt,
+  concat_ws(' ', translate(cmd_path, '.-', '  '), coalesce(description, ''), coalesce(topics, '')) ct
+  from (select *, nullif(lower(trim(app_id)), '') app from arguments where cmd_path is not null qualify row_number() over (partition by cmd_path order by row_id) = 1) z left join ap using (app)),
+aq as (select row_id qid, cmd_path own, translate(case when regexp_extract(cmd_path, '^[^.]*\\.(.*)$', 1) = '' then cmd_path else regexp_extract(cmd_path, '^[^.]*\\.(.*)$', 1) end, '.-', '  ') text from arguments where cmd_path is not null and row_id % 20 = 0)
+"""
+_PHRASE = "len(list_filter(range(0, len({f}) - len(p) + 1), lambda i: {f}[i + 1:i + len(p) - 1] = p[:len(p) - 1] and starts_with({f}[i + len(p)], p[-1])))"
 
 
-def _bm25_sql(every: bool, name_weight: str, text_weight: str, most: int = 10) -> str:
-    return f"""with {_CATALOGUE},
-t as (select cmd_path doc, unnest({_WORDS.format('nt')}) term, 1 a, 0 b from c union all select cmd_path, unnest({_WORDS.format('ct')}), 0, 1 from c),
-ln as (select cmd_path doc, len({_WORDS.format('nt')}) + len({_WORDS.format('ct')}) size from c),
+def _parts_sql(prefixes: str, **weights) -> str:
+    """CTEs from the catalogue to pt (prefix, doc and a share for each pair of weights) for a table of prefixes."""
+    shares_ = ", ".join(f"-greatest(ln((n - df + 0.5::double) / (df + 0.5::double)), 1e-6::double) * ({x}::double * a + {y}::double * b) * 2.2::double / ({x}::double * a + {y}::double * b + 1.2::double * (0.25::double + 0.75::double * size / mean)) {k}" for k, (x, y) in weights.items())
+    return f"""wd as (select cmd_path doc, {_WORDS.format('nt')} nw, {_WORDS.format('ct')} tw from c),
+t as (select doc, unnest(nw) term, 1 a, 0 b from wd union all select doc, unnest(tw), 0, 1 from wd),
+ln as (select doc, len(nw) + len(tw) size from wd),
 st as (select count(*)::double n, avg(size) mean from ln),
-qp as (select distinct qid, unnest({_TERMS.format('text')}) prefix from aq),
 po as (select doc, term, sum(a) a, sum(b) b from t group by all),
-h as (select p.prefix, po.doc, sum(po.a) a, sum(po.b) b from (select distinct prefix from qp) p join po on starts_with(po.term, p.prefix) group by all),
+up as (select distinct prefix, string_split(prefix, '_') p from {prefixes}),
+h as (select prefix, doc, sum(a) a, sum(b) b from up join po on starts_with(po.term, up.prefix) where not contains(prefix, '_') group by all
+  union all select * from (select prefix, doc, {_PHRASE.format(f='nw')} a, {_PHRASE.format(f='tw')} b from up, wd where contains(prefix, '_')) where a + b > 0),
 df as (select prefix, count(*)::double df from h group by 1),
-pt as (select h.prefix, h.doc, -greatest(ln((n - df + 0.5::double) / (df + 0.5::double)), 1e-6::double) * ({name_weight}::double * a + {text_weight}::double * b) * 2.2::double / ({name_weight}::double * a + {text_weight}::double * b + 1.2::double * (0.25::double + 0.75::double * size / mean)) part
-  from h join df using (prefix) join ln using (doc), st),
+pt as materialized (select h.prefix, h.doc, {shares_} from h join df using (prefix) join ln using (doc), st)"""
+
+
+def _bm25_sql(every: bool, name_weight: str, text_weight: str, most: int = 10) -> str:
+    return f"""with {_CATALOGUE},
+qp as (select distinct qid, {_NORM.format('w')} prefix from (select qid, unnest({_TERMS.format('text')}) w from aq) where {_NORM.format('w')} <> ''),
+{_parts_sql('qp', part=(name_weight, text_weight))},
 sc as (select qid, doc, round(sum(part), 6) score, count(*) have from qp join pt using (prefix) group by all),
 need as (select qid, count(*) need from qp group by 1),
 rk as (select qid, doc, score, row_number() over (partition by qid order by score, doc) pos from sc join need using (qid) {"where have = need" if every else ""})
@@ -189,7 +219,7 @@ _DISTANCE = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::d
 _EMB = f"select a.vec_id qid, b.vec_id, {_DISTANCE.format(a='a.embedding', b='b.embedding')} d from embeddings a, embeddings b where a.vec_id % 20 = 0"
 _RRF = f"""with tx as ({_bm25_sql(False, '5', '2', 100)}),
 u as (select cmd_path doc, embedding e from commands_vec where len(embedding) = 384 and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
-ve as (select a.row_id qid, x.e from (select row_id, cmd_path from arguments where cmd_path is not null qualify row_number() over (partition by cmd_path order by row_id) = 1) a join u x on x.doc = a.cmd_path where a.row_id % 20 = 0),
+ve as (select a.row_id qid, x.e from arguments a join u x on x.doc = a.cmd_path where a.row_id % 20 = 0),
 vn as (select qid, u.doc, row_number() over (partition by qid order by list_distance(ve.e::double[], u.e::double[]), u.doc) pos from ve, u),
 f as (select coalesce(tx.qid, v.qid) qid, coalesce(tx.doc, v.doc) doc, tx.pos left_pos, v.pos right_pos, round(coalesce(1.0::double / (60 + tx.pos), 0::double) + coalesce(1.0::double / (60 + v.pos), 0::double), 8) rrf
   from tx full outer join (select * from vn where pos <= 100) v on tx.qid = v.qid and tx.doc = v.doc)
@@ -204,23 +234,87 @@ def _kept(expr: str) -> str:
 
 
 _TERM_SQL = f"""with d as (select row_id, {_TERMS.format('description')} t, {_SPLIT.format('description')} w from arguments where description is not null),
-e as (select *, flatten(list_transform(t, lambda x: coalesce({_CONCEPTS}[x], []))) syn, flatten(list_transform(w, lambda x: coalesce({_m(L.TOOL_ALIASES)}[x], []))) al, list_filter(w, lambda x: x not in {_q(L.CONTENT_STOP_WORDS)}) co from d)
+e as (select *, flatten(list_transform(t, lambda x: coalesce({_CONCEPTS}[x], []))) syn, list_filter(flatten(list_transform(w, lambda x: coalesce({_m(L.TOOL_ALIASES)}[x], []))), lambda x: not list_contains(w, x)) al, list_filter(w, lambda x: x not in {_q(L.CONTENT_STOP_WORDS)}) co from d)
 select row_id, array_to_string(t, ' ') and_terms, array_to_string(list_concat(t, {_kept('list_filter(syn, lambda x: not list_contains(t, x))')}), ' ') or_terms,
  array_to_string({_kept('al')}, ' ') aliases, array_to_string({_kept('co')}, ' ') content from e"""
 _NEAR = "least(" + ", ".join(f"case when levenshtein(token, '{w}') <= 1 then levenshtein(token, '{w}') * 100 + {i} else 999 end" for i, w in enumerate(L.FAMOUS)) + ")"
 _CORRECTED = f"""with w as (select distinct unnest({_WORDS.format('description')}) token from arguments),
 n as (select token, {_NEAR} best from w)
 select token, coalesce({_m(L.TRANSLITERATED)}[token], {_m(L.TYPOS)}[token], case when strlen(token) > 3 and best < 999 then [{', '.join(repr(x) for x in L.FAMOUS)}][best % 100 + 1] else token end) corrected from n"""
+_LEAF_PATH = "regexp_extract({}, '^[^.]*\\.(.*)$', 1)"
 _STEM = "case when {w} like '%s' and strlen({w}) > 3 then {w}[:-2] else {w} end"
 _PATH_SCORE = f"""with d as (select row_id, cmd_path, list_filter({_SPLIT.format('description')}, lambda x: x not in {_q(L.CONTENT_STOP_WORDS)}) ct, {_SPLIT.format("regexp_extract(cmd_path, '^[^.]*\\.(.*)$', 1)")} pw from arguments where description is not null),
 e as (select *, list_concat(ct, list_transform(ct, lambda w: {_STEM.format(w='w')}), flatten(list_transform(ct, lambda w: coalesce({_CONCEPTS}[w], [])))) x from d),
 f as (select *, len(list_filter(pw, lambda w: list_contains(x, w) or list_contains(x, {_STEM.format(w='w')}))) hit from e)
 select row_id, case when cmd_path is not null and position('.' in cmd_path) > 0 then greatest(0, 3 * hit - (len(pw) - hit)) else 0 end score from f"""
 
+_CORRECT = f"coalesce({_m(L.TRANSLITERATED)}[token], {_m(L.TYPOS)}[token], case when strlen(token) > 3 and best < 999 then [{', '.join(repr(x) for x in L.FAMOUS)}][best % 100 + 1] else token end)"
+_CASCADE = f"""with {_CATALOGUE},
+rn as (select qid, unnest(z) r, generate_subscripts(z, 1) i from (select qid, regexp_extract_all(text, '([\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+)') z from aq)),
+tk as (select token, {_CORRECT} fixed from (select token, {_NEAR} best from (select distinct lower(r) token from rn))),
+rt as (select aq.qid, coalesce(t, '') t, lower(trim(text)) raw, own from aq left join (select qid, string_agg(case when fixed <> token then fixed else r end, '' order by i) t from rn join tk on token = lower(r) group by 1) using (qid)),
+te as (select qid, {_SPLIT.format('t')} w, {_TERMS.format('t')} s, list_distinct(list_filter({_SPLIT.format('t')}, lambda x: x not in {_q(L.CONTENT_STOP_WORDS)})) ct from rt),
+q as (select qid, w, s, ct, len(ct) nt, list_concat(ct, list_transform(ct, lambda x: {_STEM.format(w='x')}), flatten(list_transform(ct, lambda x: coalesce({_CONCEPTS}[x], [])))) x from te),
+ph as (select distinct qid, g, {_NORM.format('z')} prefix from (select qid, 'and' g, unnest(s) z from q union all select qid, 'or', unnest(list_concat(s, flatten(list_transform(s, lambda v: coalesce({_CONCEPTS}[v], []))))) from q
+  union all select qid, 'alias', unnest(list_filter(flatten(list_transform(w, lambda v: coalesce({_m(L.TOOL_ALIASES)}[v], []))), lambda v: not list_contains(w, v))) from q) where {_NORM.format('z')} <> ''),
+{_parts_sql('ph', wide=("5", "2"), narrow=("10", "1"))},
+hv as (select ph.qid, pt.doc, round(sum(wide), 6) wide, round(sum(narrow), 6) narrow, count(*) have from ph join pt using (prefix) where g = 'and' group by all),
+wh as materialized (select hv.* from hv join (select qid, count(*) need from ph where g = 'and' group by 1) nd on hv.qid = nd.qid and have = need),
+am as (select distinct qid from wh),
+su as materialized (select qid, doc, round(sum(wide), 6) wide, round(sum(narrow), 6) narrow, true sure from (select qid, doc, wide, narrow from wh
+  union all select ph.qid, pt.doc, sum(wide), sum(narrow) from ph join pt using (prefix) where g = 'alias' and ph.qid in (select qid from am) group by all) group by all
+  union all select ph.qid, pt.doc, round(sum(wide), 6), round(sum(narrow), 6), false from ph join pt using (prefix) where g = 'or' and ph.qid not in (select qid from am) group by all),
+m as (select c.cmd_path doc, app, case when position('.' in c.cmd_path) > 0 then 'sub' else 'root' end kind, coalesce(lower(trim(risk_level)), 'safe') risk, coalesce(lower(trim(provenance)), '') = 'probe' probed, coalesce(ap.nm, '') nm, coalesce(pop, 0) pop from c join ap using (app)),
+e as (select cmd_path doc, embedding v from commands_vec where len(embedding) = 384),
+f as (select * from e where len(list_filter(v, lambda z: z is null or not isfinite(z))) = 0),
+hq as (select rt.qid, e.v from rt join e on e.doc = own),
+kn as materialized (select qid, doc, d, pos from (select *, row_number() over (partition by qid order by d, doc) pos from (select hq.qid, f.doc, list_distance(hq.v::double[], f.v::double[]) d from hq join f on len(list_filter(hq.v, lambda z: z is null or not isfinite(z))) = 0)) where pos <= {L.POOL_VEC}),
+nr as (select kn.*, app, kind from kn join m using (doc)),
+t1 as (select * from (select qid, doc, row_number() over (partition by qid order by wide, doc) pos from su) where pos <= {L.POOL_FTS}),
+ex as (select * from (select *, row_number() over (partition by qid order by doc) o from (select distinct rt.qid, m.doc, app, risk from m join rt on lower(m.doc) = raw or (kind = 'root' and lower(nm) = raw))) where o <= 5 and risk in {_q(L.RISKS)}),
+bt as (select qid, app, min(pos) fts from t1 join m using (doc) group by all),
+bv as (select qid, app, min(r) vp from (select *, row_number() over (partition by qid order by d, doc) r from nr where kind = 'root') group by all),
+ra as (select app, min(risk) rr from m where kind = 'root' group by 1),
+fu as (select qid, app, a.nm, round(coalesce(1.0::double / (60 + fts), 0) + coalesce(1.0::double / (60 + vp), 0) + case when nt <= 1 then 0.05::double * pop0 else 0.015::double * pop0 * pop0 * pop0 end * case when rr = 'dangerous' then 0.75::double else 1 end, 9) s1
+  from bt full outer join bv using (qid, app) join (select app, coalesce(nm, '') nm, coalesce(pop, 0) pop0 from ap) a using (app) left join ra using (app) join q using (qid)),
+kp as (select qid, app, row_number() over (partition by qid order by s1 desc, app) pos from (select * from fu qualify row_number() over (partition by qid, nm order by s1 desc, app) = 1) qualify pos <= {L.APPS_KEPT}),
+ij as (select qid, app, 100 + row_number() over (partition by qid order by p, app) pos from (select qid, app, min(pos) p from t1 join m using (doc) where pos <= {L.POOL_FTS_SCOPED} group by all) qualify pos <= 100 + {L.APPS_INJECTED}),
+ch as (select qid, app from (select qid, app, min(pos) o from (select * from kp union all select * from ij where qid in (select qid from kp)) group by all) qualify row_number() over (partition by qid order by o) <= {L.APPS_CAP}),
+t2 as (select qid, doc, row_number() over (partition by qid order by narrow, doc) f from su where qid in (select qid from hq) qualify f <= {L.POOL_FTS_SCOPED}),
+v2 as (select qid, doc, pos v from nr where pos <= {L.POOL_VEC_SCOPED}),
+s2 as (select qid, doc, round(coalesce(1.0::double / (60 + f), 0) + coalesce(1.0::double / (60 + v), 0), 9) s2 from t2 full outer join v2 using (qid, doc) union all select qid, doc, -wide from su where qid not in (select qid from hq)),
+pl as (select *, row_number() over (partition by qid order by fst) i from (select s2.qid, m.*, row_number() over (partition by s2.qid order by s2 desc, doc) fst from s2 join m using (doc) join ch using (qid, app)) where fst <= {L.POOL_LEAST} and risk in {_q(L.RISKS)}),
+cp as (select qid, doc, app, i, case when nt >= 1 and n > 1 then n - (i - 1) + case when nt >= 2 then 4 else 1 end * case when position('.' in doc) > 0 then greatest(0, 3 * hit - (len(pw) - hit)) else 0 end + trunc(case when nt <= 1 then 15 else 3 end * pop)::int
+   + case when kind = 'root' and nt <= 1 then 20 else 0 end + case when probed then 12 else 0 end else n - (i - 1) end k
+  from (select *, len(list_filter(pw, lambda y: list_contains(x, y) or list_contains(x, {_STEM.format(w='y')}))) hit from (select pl.*, count(*) over (partition by pl.qid) n, q.nt, q.x, {_SPLIT.format(_LEAF_PATH.format('doc'))} pw from pl join q using (qid)))),
+mg as (select qid, doc, app, min(o) o from (select qid, doc, app, o from ex union all select qid, doc, app, 1000000 + row_number() over (partition by qid order by k desc, i) from cp) group by all),
+fi as (select qid, doc, app, row_number() over (partition by qid order by o) pos from (select * from mg qualify row_number() over (partition by qid, app order by o) <= {L.PER_APP}) qualify pos <= 5),
+nd as (select qid, min(d) d from nr where pos <= {L.POOL_VEC_SCOPED} group by 1)
+select fi.qid, pos, doc, app, case when fi.qid not in (select qid from hq) then 'high' when coalesce(d, 3.4e38) > {L.HARD_DISTANCE} and fi.qid not in (select qid from am) then 'none' when coalesce(d, 3.4e38) > {L.SOFT_DISTANCE} then 'low' else 'high' end confidence
+from fi left join nd using (qid)"""
+_SKILLS = f"""with fo as ({_bm25_sql(True, '5', '2')}), {_CATALOGUE.strip()},
+sk as (select cmd_path, min(lower(concat_ws(' ', split_part(cmd_path, '.', -1), cmd_path, description))) hay from arguments_raw where cmd_path is not null and lower(trim(provenance)) = 'manual' group by 1),
+ms as (select qid, cmd_path doc, 1000000 + row_number() over (partition by qid order by cmd_path) o from aq, sk where len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '' and not contains(hay, w))) = 0),
+al as (select qid, doc, min(o) o, arg_min(src, o) "source" from (select qid, doc, pos o, 'search' src from fo union all select qid, doc, o, 'skill' from ms where o <= 1000010) group by all)
+select * from (select qid, row_number() over (partition by qid order by o) pos, doc, "source" from al) where pos <= 10"""
+_J = lambda *names: " || ',' || ".join(f"'\"{n}\":' || coalesce(to_json({e})::varchar, 'null')" for n, e in names)
+_OPT = lambda *names: " || ".join(f"coalesce('\"{n}\":' || to_json({n}) || ',', '')" for n in names)
+_OWN = L.OS_MANAGERS["ubuntu"]
+_ORDER = [_OWN, "npm", "scoop", *L.FALLBACK_MANAGERS]
+_PRESETS = f"""with {_CATALOGUE},
+en as (select app, j.key pm, j.value ->> '$' cmd from (select * from ap where ii is not null and json_valid(ii) and trim(ii) like '{{%') x, json_each(x.ii) j),
+ic as (select app, case when pm in {_q(L.SYSTEM_MANAGERS)} then 'sudo ' else '' end || case when contains(cmd, ' ') or starts_with(cmd, pm) then cmd else coalesce({_m(L.INSTALL_TEMPLATES)}[pm], '') || cmd end ic from en where cmd is not null and pm in {_q(_ORDER)} qualify row_number() over (partition by app order by list_position([{', '.join(repr(x) for x in _ORDER)}], pm)) = 1),
+th as (select distinct lower(split_part(cmd_path, '.', 1)) b from arguments_raw where lower(trim(provenance)) = 'probe'),
+p as (select c.*, ap.nm app_name, ic.ic, coalesce(lower(trim(provenance)) = 'probe', false) verified, coalesce(lower(trim(risk_level)), 'safe') risk, case when position('.' in cmd_path) > 0 then 'sub' else 'root' end kind, 'high' confidence,
+  coalesce(lower(coalesce(case when json_valid(os) then case when json_type(os, '$.linux') = 'ARRAY' then os ->> '$.linux[0]' else os ->> '$.linux' end end, ap.nm)) in (select b from th), false) there from c join ap using (app) left join ic using (app) where description is not null)
+select row_id, '{{' || {_J(('cmd_path', 'cmd_path'), ('confidence', 'confidence'))} || '}}' minimal, '{{' || {_J(('cmd_path', 'cmd_path'), ('example_template', 'example_template'), ('confidence', 'confidence'))} || '}}' "usage",
+ '{{' || {_J(('app_id', 'app'), ('name', 'app_name'), ('cmd_path', 'cmd_path'), ('node_type', 'kind'), ('description', 'description'), ('risk_level', 'risk'), ('example_template', 'example_template'), ('status', "case when there then 'installed' else 'not_installed' end"), ('install_command', 'ic'), ('verified', 'verified'))}
+ || ',' || {_OPT('docker_image', 'script_url', 'source_url')} || '"confidence":"high"}}' "full" from p"""
+
 QUERIES = {
     "bm25_and_topk": bm25_and_topk, "bm25_or_topk": bm25_or_topk, "bm25_weighted_fields": bm25_weighted_fields, "tokenize_stats": tokenize_stats, "token_corrected": token_corrected, "query_terms": query_terms,
     "exact_lookup": exact_lookup, "knn_l2_topk": knn_l2_topk, "knn_filtered_after": knn_filtered_after, "vec_fit": vec_fit, "rrf_fusion": rrf_fusion, "path_match_score": path_match_score, "confidence_bands": confidence_bands,
-    "app_name_dedup": app_name_dedup, "per_app_cap": per_app_cap, "cascade_search": cascade_search, "presets": presets,
+    "app_name_dedup": app_name_dedup, "per_app_cap": per_app_cap, "cascade_search": cascade_search, "search_with_skills": search_with_skills, "presets": presets,
 }
 ORACLE = {
     "bm25_and_topk": _bm25_sql(True, "5", "2"), "bm25_or_topk": _bm25_sql(False, "5", "2"), "bm25_weighted_fields": _bm25_sql(True, "10", "1"),
@@ -228,7 +322,7 @@ ORACLE = {
     "token_corrected": _CORRECTED, "query_terms": _TERM_SQL, "path_match_score": _PATH_SCORE,
     "exact_lookup": """with c as (select cmd_path, lower(trim(app_id)) app from arguments where cmd_path is not null qualify row_number() over (partition by cmd_path order by row_id) = 1),
 a as (select lower(trim(app_id)) app, min(name) nm from apps where trim(app_id) <> '' group by 1),
-k as (select lower(cmd_path) key, cmd_path doc from c union select lower(a.nm), c.cmd_path from c join a using (app) where position('.' in c.cmd_path) = 0 and a.nm is not null)
+k as (select lower(cmd_path) key, cmd_path doc from c where app in (select app from a) union select lower(a.nm), c.cmd_path from c join a using (app) where position('.' in c.cmd_path) = 0 and a.nm is not null)
 select key, doc, pos from (select key, doc, row_number() over (partition by key order by doc) pos from k where key in (select lower(trim(nm)) from a where trim(nm) <> '')) where pos <= 5""",
     "knn_l2_topk": f"select qid, vec_id, round(d, 6) distance, pos from (select *, row_number() over (partition by qid order by d, vec_id) pos from ({_EMB})) where pos <= 10",
     "knn_filtered_after": f"with k as (select * from (select *, row_number() over (partition by qid order by d, vec_id) r from ({_EMB})) where r <= 50) select qid, vec_id, row_number() over (partition by qid order by r) pos from k where vec_id in (select vec_id from embeddings where label = 0)",
@@ -240,7 +334,5 @@ select qid, case when d > 1.15 and qid % 3 <> 0 then 'none' when d > 1.10 then '
 select lower(nm) nm, app from a qualify row_number() over (partition by lower(nm) order by coalesce(pop, 0) desc, app) = 1""",
     "per_app_cap": """with c as (select cmd_path doc, lower(trim(app_id)) app from arguments where cmd_path is not null qualify row_number() over (partition by cmd_path order by row_id) = 1)
 select app, doc, nth from (select app, doc, row_number() over (partition by app order by doc) nth from c where app <> '') where nth <= 3""",
-    "presets": """select row_id, '{"cmd_path":' || to_json(cmd_path) || ',"description":' || to_json(description) || '}' minimal,
- '{"cmd_path":' || to_json(cmd_path) || ',"description":' || to_json(description) || coalesce(',"example_template":' || to_json(example_template), '') || coalesce(',"risk_level":' || to_json(risk_level), '') || '}' "usage"
- from arguments where cmd_path is not null and description is not null""",
+    "cascade_search": _CASCADE, "search_with_skills": _SKILLS, "presets": _PRESETS,
 }

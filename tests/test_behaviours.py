@@ -1,6 +1,7 @@
 """Behaviours of the reference's operators on small tables of our own."""
 
 import json
+import random
 
 import pytest
 from conftest import SF, rows
@@ -12,8 +13,8 @@ from cinderlode.functions import text as T
 from cinderlode.operators import curate as C
 from cinderlode.operators import evaluate as E
 from cinderlode.operators import sync as S
-from cinderlode.operators.cascade import Settings, search
-from cinderlode.operators.index import build_index
+from cinderlode.operators.cascade import Settings, search, with_skills
+from cinderlode.operators.index import best_with_any, build_index, prefix_hits, ranked, shares, with_all
 from cinderlode.operators.knn import knn, pack, unpack
 from cinderlode.plans import registry
 from cinderlode.sources import registries as R
@@ -56,7 +57,10 @@ def test_example_fault(spark, path, example, fault):
 
 def test_risk_and_topics(spark):
     assert one(spark, T.risk, "x.delete", "gone", None) == "dangerous" and one(spark, T.risk, "x.y", "an offset", "safe") == "medium" and one(spark, T.risk, "x", "list", "") == "safe" and one(spark, T.risk, "x.rm", "rm it", "medium") == "medium"
-    assert one(spark, lambda t: T.topic_list(t), "B, a b,,C") == ["b", "a", "c"]
+    assert one(spark, lambda t: T.topic_list(t), "B, a b,,C,\nb") == ["b", "a b", "c"] and one(spark, lambda t: T.topic_list(t), "machine learning, cloud") == ["machine learning", "cloud"]
+    assert one(spark, lambda t: T.topic_words(t), " b  a b\tc ") == ["b", "a", "b", "c"]
+    assert one(spark, lambda p, d: T.embed_text(p, d, F.lit(None).cast("string")), "git.show_ref-x", "Shows.") == "git show_ref x. Shows."
+    assert [one(spark, T.index_name, a, n) for a, n in (("org.arch.nb-cli", "nb"), ("org.arch.nb", "nb"), ("org.arch.NB", "nb"), ("plain", "nb"), ("x.y", None))] == ["nb nb-cli", "nb", "nb NB", "nb", "x.y"]
 
 
 def test_installs(spark):
@@ -95,6 +99,33 @@ def test_overrides_sweep_twins_donors_libraries(spark):
     assert rows(C.overridden(full, patch)) == [("a", "new", "t more", None), ("b", None, None, "e")]
 
 
+def test_index_phrases_and_pruned_search(spark):
+    docs = spark.createDataFrame([("a", "", "foo bar baz"), ("b", "", "bar foo"), ("c", "foo", "barn"), ("d", "foo bars", "foo bark"), ("e", None, None)], "doc string, n string, t string")
+    index = build_index(docs, "doc", "n", "t")
+    hits = prefix_hits(index, spark.createDataFrame([("foo_bar",), ("foo",), ("zzz_a",)], "prefix string"))
+    assert {(r["prefix"], r["doc"], r["in_name"], r["in_text"]) for r in hits.collect()} == {("foo_bar", "a", 0, 1), ("foo_bar", "d", 1, 1), ("foo", "a", 0, 1), ("foo", "b", 0, 1), ("foo", "c", 1, 0), ("foo", "d", 1, 1)}
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    many = spark.createDataFrame([(f"d{i:03}", rnd.choice(words), " ".join(words[min(29, int(rnd.expovariate(0.2)))] for _ in range(rnd.randrange(12)))) for i in range(300)], "doc string, n string, t string")
+    index = build_index(many, "doc", "n", "t")
+    asked = spark.createDataFrame([(q, w) for q in range(12) for w in set(rnd.sample(words, 4))], "qid int, prefix string")
+    parts = shares(index, asked, score=(5.0, 2.0))
+    plain = asked.join(parts, "prefix").groupBy("qid", "doc").agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("n"))
+    want = {(r["qid"], r["doc"]): r["score"] for r in ranked(plain, ["score", "doc"], 5).collect()}
+    assert {(r["qid"], r["doc"]): r["score"] for r in ranked(best_with_any(parts, asked, 5, "score"), ["score", "doc"], 5).collect()} == pytest.approx(want)
+    need = {q: n for q, n in rows(asked.groupBy("qid").count())}
+    whole = {(r["qid"], r["doc"]) for r in plain.collect() if r["n"] == need[r["qid"]]}
+    assert {(r["qid"], r["doc"]) for r in with_all(parts, asked).collect()} == whole
+
+
+def test_skills_follow_search_results(spark):
+    found = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "s2")], "qid int, pos int, doc string")
+    asked = spark.createDataFrame([(1, "Pack files"), (2, "open"), (3, "")], "qid int, text string")
+    skills = spark.createDataFrame([("s1", "Pack", "all FILES"), ("s2", "open", None), ("s1", "Pack", "all FILES"), (None, "x", "pack files")], "path string, name string, description string")
+    assert rows(with_skills(found, asked, skills, 3).select("qid", "pos", "doc", "source")) == [(1, 1, "a", "search"), (1, 2, "b", "search"), (1, 3, "s1", "skill"), (2, 1, "s2", "search"), (3, 1, "s1", "skill"), (3, 2, "s2", "skill")]
+    assert with_skills(found, asked, skills.limit(0), 3, block=1).count() == 3
+
+
 CASES = [("root", "jq", "sub"), ("git.log", "git", "sub"), ("git.commit", "git", "sub")]
 
 
@@ -133,7 +164,7 @@ def test_knn_codec_and_bad_vectors(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None), ("d", [float("nan"), 1.0]), ("e", [1.0])], "doc string, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "qid int, vec array<float>")
     assert [(r["doc"], r["pos"]) for r in knn(q, v, 3, 2).orderBy("pos").collect()] == [("a", 1), ("e", 2), ("b", 3)]
-    assert rows(v.where("doc <> 'd'").select("doc", unpack(pack("embedding"))))[0][1] == [1.0, 0.0]
+    assert [r["embedding"] for r in unpack(pack(v.where("doc <> 'd'"), "embedding"), "embedding").orderBy("doc").collect()] == [[1.0, 0.0], [0.0, 1.0], None, [1.0]]
     assert knn(q.limit(0), v, 3, 2).count() == 0 and knn(q, v.limit(0), 3, 2).count() == 0
 
 
