@@ -1,8 +1,10 @@
-"""Curation of a command registry."""
+"""Curation of a command registry."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlode.functions import lexicon as L
@@ -83,12 +85,24 @@ def malformed(path, tool: str):
     return path.like(f"{tool}.{tool}.%") | path.like(f"%.{tool}.{tool}.%") | path.like(f"{tool}.%.{tool}") | path.like(f"{tool}.%.{tool}.%")
 
 
-def registry_import(existing: DataFrame, incoming: DataFrame, names: DataFrame, ordinal: str, least_description: int = 5) -> DataFrame:
-    """Incoming rows (cmd_path, description, ordinal) to insert: first of each path, not there yet, not of a covered root, no -bin twin."""
-    rows = first_by(incoming.where(f"length(trim(description)) >= {least_description}"), "cmd_path", ordinal)
-    rows = rows.join(existing.select("cmd_path").distinct(), "cmd_path", "left_anti").withColumn("rt", F.lower(T.root(F.col("cmd_path"))))
-    rows = rows.join(names.select(F.lower("name").alias("rt")).distinct(), "rt", "left_anti").withColumn("base", F.when(F.col("rt").endswith("-bin"), F.regexp_replace("rt", "-bin$", "")))
-    return rows.join(existing.select(F.lower(T.root(F.col("cmd_path"))).alias("base")).distinct(), "base", "left_anti").drop("rt", "base")
+def registry_import(existing: DataFrame, incoming: DataFrame, covered: DataFrame, ordinal: str) -> DataFrame:
+    """Incoming records (cmd_path, name, description, ordinal, ...) to insert, in their order.
+
+    Left out are paths that exist or came before, names that are covered (by an app with install data), and <base>-bin where the base is
+    covered, exists as a path, or comes in before it. A description of fewer than five letters is replaced by the name and
+    what it is. Records with a null path or name are no records; ties of the ordinal are for the caller to break.
+    """
+    names = covered.select(F.col("name")).where("name is not null").distinct()
+    paths = existing.select("cmd_path").where("cmd_path is not null").distinct()
+    taken = names.unionByName(paths.select(F.col("cmd_path").alias("name"))).distinct()
+    rows = incoming.where("cmd_path is not null and name is not null").join(paths, "cmd_path", "left_anti").join(names, "name", "left_anti")
+    rows = rows.withColumn("base", F.when(F.col("name").endswith("-bin"), F.regexp_replace("name", "-bin$", "")))
+    rows = rows.join(taken.select(F.col("name").alias("base")), "base", "left_anti")
+    rows = first_by(rows.select(*incoming.columns, "base"), "cmd_path", ordinal)
+    earlier = rows.where("base is null").select(F.col("cmd_path").alias("base"), F.col(ordinal).alias("_before"))
+    twin = rows.join(earlier, "base", "left").where(F.col("_before").isNull() | (F.col("_before") > F.col(ordinal)))
+    text = F.trim(F.coalesce("description", F.lit("")))
+    return twin.withColumn("description", F.when(F.length(text) < 5, F.concat("name", F.lit(" — command-line tool"))).otherwise(text)).select(*incoming.columns)
 
 
 def with_ancestors(paths: DataFrame, column: str = "cmd_path") -> DataFrame:
@@ -128,9 +142,54 @@ def fabrications(arguments: DataFrame, apps: DataFrame, real_namespaces: list[st
     return odd.where("tool <> ''").join(below, "ancestor").select("app_id", "binary_root", F.col("ancestor").alias("probe_sub_path"), "cmd_count", "probe_sub_count")
 
 
-def donors(apps: DataFrame) -> DataFrame:
-    """Install data borrowed from a same-name app where an app has none: other sources first, arch, tldr last, then the smallest app_id."""
-    order = F.when(F.col("app_id").startswith("org.arch"), 1).when(F.col("app_id").startswith("org.tldr"), 2).otherwise(0)
-    giving = apps.where("name is not null and trim(install_instructions) <> ''").groupBy("name").agg(F.min(F.struct(order.alias("o"), "app_id", "install_instructions")).alias("d"))
-    lacks = F.coalesce(F.trim("install_instructions"), F.lit("")) == ""
-    return apps.join(giving, "name", "left").select("app_id", F.when(lacks, F.col("d.install_instructions")).otherwise(F.col("install_instructions")).alias("install_instructions"), F.when(lacks, F.col("d.app_id")).alias("donor"))
+def donors(apps: DataFrame, borrowers: tuple[str, ...] = ("com.github.", "com.gitlab."), last: tuple[str, ...] = ("org.archlinux.", "org.tldr.")) -> DataFrame:
+    """Install data that apps of the borrowing namespaces lack, from an app of the same name: app_id, install_instructions, donor.
+
+    Data of two letters or fewer ({} or less) count as none. Namespaces in last give only where no other does, in that order; then the
+    smallest app_id. Other apps keep what they have.
+    """
+    place = F.lit(0)
+    for i, prefix in enumerate(last, 1):
+        place = F.when(F.col("app_id").startswith(prefix), i).otherwise(place)
+    has = F.coalesce(F.length("install_instructions") > 2, F.lit(False))
+    giving = apps.where(F.col("name").isNotNull() & has).groupBy("name").agg(F.min(F.struct(place.alias("o"), "app_id", "install_instructions")).alias("d"))
+    lends = ~has & reduce(lambda x, y: x | y, (F.col("app_id").startswith(b) for b in borrowers))
+    return apps.join(giving, "name", "left").select(
+        "app_id", F.when(lends, F.coalesce("d.install_instructions", "install_instructions")).otherwise(F.col("install_instructions")).alias("install_instructions"), F.when(lends, F.col("d.app_id")).alias("donor"))
+
+
+def inherited_install(apps: DataFrame, preferred: tuple[str, ...]) -> DataFrame:
+    """name, inherited: install data of more than two letters by the order of namespaces, then the longest, then the smallest app_id."""
+    place = F.lit(len(preferred) + 1)
+    for i in range(len(preferred), 0, -1):
+        place = F.when(F.col("app_id").startswith(preferred[i - 1]), i).otherwise(place)
+    usable = apps.where("name is not null and length(install_instructions) > 2")
+    return usable.groupBy("name").agg(F.min(F.struct(place.alias("o"), (-F.length("install_instructions")).alias("l"), "app_id", "install_instructions")).alias("d")).select("name", F.col("d.install_instructions").alias("inherited"))
+
+
+def deep_imported(arguments: DataFrame, apps: DataFrame, pages: DataFrame, namespace: str, preferred: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Probed command trees take the place of what was known of their tools: (arguments, apps).
+
+    pages: tool, cmd_path, path (array), description, ordinal; error pages are left out before. A tool's commands go to the app of its name
+    with the most commands (smallest app_id on ties), or to namespace + tool. All paths below the tool are replaced; other apps of
+    its name that then own no command are dropped. The app gets install data by inherited_install, else keeps its own. arguments: cmd_path, app_id,
+    node_name, node_type, description, risk_level, provenance; apps: app_id, name, install_instructions. The last page of a path counts.
+    """
+    tools = pages.select("tool").where("tool is not null").distinct()
+    size = arguments.groupBy("app_id").agg(F.count("*").alias("n"))
+    owned = apps.join(tools.select(F.col("tool").alias("name")), "name", "left_semi").join(size, "app_id", "left")
+    home = owned.groupBy("name").agg(F.min(F.struct((-F.coalesce("n", F.lit(0))).alias("n"), "app_id")).alias("h")).select(F.col("name").alias("tool"), F.col("h.app_id").alias("home"))
+    home = tools.join(home, "tool", "left").withColumn("home", F.coalesce("home", F.concat(F.lit(namespace), "tool")))
+    last = pages.where("cmd_path <> ''").groupBy("cmd_path").agg(F.max_by(F.struct("tool", "path", "description"), "ordinal").alias("p")).select("cmd_path", "p.*").join(home, "tool")
+    fresh = last.select(
+        "cmd_path", F.col("home").alias("app_id"), F.coalesce(F.element_at("path", -1), F.substring_index("cmd_path", ".", -1)).alias("node_name"), F.when(F.size("path") <= 1, "root").otherwise("sub").alias("node_type"),
+        F.coalesce(F.nullif("description", F.lit("")), F.concat(F.array_join("path", " "), F.lit(" command"))).alias("description"), F.lit("safe").alias("risk_level"), F.lit("probe").alias("provenance"))
+    gone = with_ancestors(arguments.select("cmd_path").distinct()).join(tools.select(F.col("tool").alias("ancestor")), "ancestor", "left_semi").select("cmd_path").distinct()
+    kept = arguments.join(gone, "cmd_path", "left_anti").join(fresh.select("cmd_path"), "cmd_path", "left_anti")
+    left = arguments.join(gone, "cmd_path", "left_anti").select("app_id").distinct()
+    twins = apps.join(home, (apps["name"] == home["tool"]) & (apps["app_id"] != home["home"]), "left_semi").select("app_id").join(left, "app_id", "left_anti")
+    given = home.join(inherited_install(apps, preferred).withColumnRenamed("name", "tool"), "tool", "left")
+    rest = apps.join(twins, "app_id", "left_anti").join(given.select(F.col("home").alias("app_id"), "inherited", F.lit(True).alias("_home")), "app_id", "left")
+    rest = rest.withColumn("install_instructions", F.coalesce("inherited", "install_instructions")).select("app_id", "name", "install_instructions")
+    new = given.join(apps.select(F.col("app_id").alias("home")), "home", "left_anti").select(F.col("home").alias("app_id"), F.col("tool").alias("name"), F.col("inherited").alias("install_instructions"))
+    return kept.select(*fresh.columns).unionByName(fresh), rest.unionByName(new)

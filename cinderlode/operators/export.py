@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlode.core import stage
 from cinderlode.functions import installs as I
 from cinderlode.functions import text as T
 
@@ -22,13 +23,25 @@ def shards(apps: DataFrame, arguments: DataFrame) -> DataFrame:
     return joined.select("app_id", F.size(F.coalesce("tree", F.array().cast("array<struct<cmd_path:string,node_type:string,description:string,risk_level:string,example_template:string>>"))).alias("nodes"), F.to_json(doc).alias("shard"))
 
 
-def ordered(apps: DataFrame, slices: int = 64) -> DataFrame:
-    """Every app with its place in the index: popularity down, then app_id. Places come in two steps, no task sees all apps."""
+def ordered(apps: DataFrame, slices: int = 64, spread: int = 64) -> DataFrame:
+    """Every app with its place in the index: popularity down, then app_id.
+
+    Places come in steps: popularity is cut in slices, and each slice by the first letters' order of app_id, found from
+    the exact quantile bounds of a sorted sample of ids; so apps of one popularity do not share a task.
+    """
     pop = F.coalesce("popularity", F.lit(0.0))
     cut = apps.withColumn("slice", (slices - 1 - F.least(F.lit(slices - 1), F.greatest(F.lit(0), F.floor(pop * slices)))).cast("int"))
-    before = cut.groupBy("slice").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")  # one row a slice
-    own = F.row_number().over(Window.partitionBy("slice").orderBy(F.desc(pop), "app_id"))
-    return cut.withColumn("own", own).join(F.broadcast(before), "slice").withColumn("place", F.col("before") + F.col("own")).drop("slice", "own", "before")
+    # A slice of one popularity only is parted by ranges of app_id, others are ordered as they are.
+    shape = cut.groupBy("slice").agg(F.min(pop).alias("lo"), F.max(pop).alias("hi"))
+    flat = cut.join(F.broadcast(shape), "slice").withColumn("flat", F.col("lo") == F.col("hi")).drop("lo", "hi")
+    bounds = flat.where("flat").select("app_id").sample(min(1.0, 20_000 / max(1, apps.count())), 7).limit(20_000).orderBy("app_id").collect()
+    edges = sorted({bounds[len(bounds) * i // spread][0] for i in range(1, spread)} - {None}) if bounds else []
+    piece = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("app_id"))) if edges else F.lit(0)
+    cut = flat.withColumn("piece", F.when(F.col("flat"), piece).otherwise(0))
+    w = Window.orderBy("slice", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice and piece
+    before = cut.groupBy("slice", "piece").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).drop("c")
+    own = F.row_number().over(Window.partitionBy("slice", "piece").orderBy(F.desc(pop), "app_id"))
+    return cut.withColumn("own", own).join(F.broadcast(before), ["slice", "piece"]).withColumn("place", F.col("before") + F.col("own")).drop("slice", "piece", "flat", "own", "before")
 
 
 def sitemap(apps: DataFrame, per_file: int = 50_000) -> DataFrame:
@@ -62,20 +75,41 @@ def contract_presets(contracts: DataFrame, there: DataFrame, os: str, managers:
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """table, rows and an order-free checksum of the contents of each table."""
+    """table, rows and an order-free checksum of the contents of each table: the sum of the first 48 bits of each row's MD5.
+
+    A row's text is its columns in the order of their names, joined by the unit separator, null as the record separator; columns that are
+    not text are cast.
+    """
     out = None
     for name, df in tables.items():
-        one = df.select(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("checksum")).select(F.lit(name).alias("table"), "rows", "checksum")
+        text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in sorted(df.columns)))
+        number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+        one = df.select(number.alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).alias("checksum")).select(F.lit(name).alias("table"), "rows", "checksum")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def snapshot(apps: DataFrame, arguments: DataFrame, folder: str) -> None:
-    """A whole snapshot as JSON lines, one folder a table."""
+    """A whole snapshot as JSON lines, one folder a table: the form for tables of any size."""
     for name, df in (("apps", apps), ("arguments", arguments)):
         df.write.mode("overwrite").option("ignoreNullFields", "true").json(f"{folder}/{name}")
 
 
+def snapshot_document(apps: DataFrame, arguments: DataFrame) -> DataFrame:
+    """The lines of one JSON document {apps: [...], arguments: [...]} as n, line, to be written in the order of n.
+
+    No list is ever collected: every record is a line, numbered in two steps, with the commas and brackets that part them.
+    """
+    def lines(df, shift, head, tail):
+        told = stage(df.select(F.to_json(F.struct(*df.columns)).alias("line")).withColumn("i", F.monotonically_increasing_id()))
+        last = told.agg(F.max("i")).first()[0]
+        body = told.select((F.col("i") + 1).alias("i"), F.when(F.col("i") < F.lit(last), F.concat("line", F.lit(","))).otherwise(F.col("line")).alias("line"))
+        ends = df.sparkSession.createDataFrame([(0, head), (2**62 if last is None else last + 2, tail)], "i long, line string")
+        return body.unionByName(ends).select(F.struct(F.lit(shift).alias("s"), "i").alias("n"), "line")
+
+    return lines(apps, 0, '{"apps": [', "],").unionByName(lines(arguments, 1, '"arguments": [', "]}"))
+
+
 def work_list(names: DataFrame, column: str, path: str) -> None:
     """A list of names as TOML array entries, one a line."""
     names.select(F.concat(F.lit('  "'), F.replace(F.col(column), F.lit('"'), F.lit('\\"')), F.lit('",'))).write.mode("overwrite").text(path)

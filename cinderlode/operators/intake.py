@@ -1,11 +1,12 @@
-"""Records that come in: probes, enrichment, topics, prefixes, states."""
+"""Records that come in: probes, enrichment, topics, prefixes, states."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlode.functions import text as T
+from cinderlode.functions.installs import install_map
 
 
 def lookup(commands: DataFrame, path: str) -> DataFrame:
@@ -48,18 +49,57 @@ def prefixed(arguments: DataFrame, apps: DataFrame) -> DataFrame:
     return fixed.select("app_id", "cmd_path", "made").unionByName(bare.select("app_id", F.col("binary").alias("cmd_path"), F.lit("root").alias("made")))
 
 
-def short_installs(apps: DataFrame, least: int = 3) -> DataFrame:
-    """Names whose best install map is missing or has fewer than least managers: name, managers."""
-    from cinderlode.functions.installs import install_map
+def names_without_install(apps: DataFrame) -> DataFrame:
+    """name: tool names of which no app has install data, that is whose greatest text has at most two letters or is null."""
+    return apps.where("name is not null").groupBy("name").agg(F.max("install_instructions").alias("most")).where("most is null or length(most) <= 2").select("name")
 
-    n = F.coalesce(F.size(F.map_keys(install_map(F.col("install_instructions")))), F.lit(0))
-    return apps.where("name is not null").groupBy("name").agg(F.max(F.greatest(n, F.lit(0))).alias("managers")).where(F.col("managers") < least)
+
+def topics_filled(arguments: DataFrame, found: DataFrame) -> DataFrame:
+    """arguments with the topics of found (cmd_path, topics; one row a path) where they have none; others keep theirs."""
+    joined = arguments.join(found.select("cmd_path", F.nullif(F.trim("topics"), F.lit("")).alias("_t")), "cmd_path", "left")
+    empty = F.coalesce(F.trim("topics"), F.lit("")) == ""
+    return joined.withColumn("topics", F.when(empty, F.coalesce("_t", "topics")).otherwise(F.col("topics"))).select(*arguments.columns)
+
+
+def corrected_installs(apps: DataFrame, corrections: DataFrame) -> DataFrame:
+    """apps with the install data of corrections (name, install_instructions; one row a name) in place of their own, by exact name."""
+    told = corrections.select("name", F.col("install_instructions").alias("_c"))
+    return apps.join(told, "name", "left").withColumn("install_instructions", F.coalesce("_c", "install_instructions")).select(*apps.columns)
+
+
+#: Fixed pattern: a valid package name of the registry.
+PACKAGE_NAME = r"^@?[a-z0-9][a-z0-9._-]*(/[a-z0-9._-]+)?$"
+
+
+def npm_filled(apps: DataFrame, with_binary: DataFrame, skipped: DataFrame) -> DataFrame:
+    """apps (app_id, name, install_instructions) with an npm command where none of their name has one and the registry's package of
+    that name brings a binary (with_binary: name). The greatest install text of the name is the base, as JSON; names in skipped stay.
+    """
+    m = install_map(F.col("install_instructions"))
+    lacks = F.coalesce(m["npm"], F.lit("")) == ""
+    named = apps.where(lacks & F.col("name").rlike(PACKAGE_NAME)).groupBy("name").agg(F.max("install_instructions").alias("base"))
+    base = F.coalesce(install_map(F.col("base")), F.from_json(F.lit("{}"), "map<string,string>"))
+    entry = F.create_map(F.lit("npm"), F.concat(F.lit("npm install -g "), "name"))
+    kept = F.map_filter(base, lambda k, v: k != "npm")
+    new = named.join(with_binary.select("name").distinct(), "name", "left_semi").join(skipped.select("name"), "name", "left_anti").select("name", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, entry))))).alias("_n"))
+    return apps.join(new, "name", "left").withColumn("install_instructions", F.when(lacks & F.col("_n").isNotNull(), F.col("_n")).otherwise(F.col("install_instructions"))).select(*apps.columns)
+
+
+DONE = ("merged", "no-subcommands")
 
 
 def probe_states(attempts: DataFrame, tries: int = 2) -> DataFrame:
-    """attempts (tool, at, ok) -> tool, attempts, state: done after a success, failed, given up after tries failures in all."""
-    per = attempts.groupBy("tool").agg(F.count("*").alias("attempts"), F.max(F.coalesce("ok", F.lit(False))).alias("ok"))
-    return per.select("tool", "attempts", F.when(F.col("ok"), "done").when(F.col("attempts") >= tries, "given_up").otherwise("failed").alias("state"))
+    """attempts (tool, at, outcome) -> tool, attempts, status, terminal: merged, no-subcommands, failed, or perma-failed after tries.
+
+    The last attempt tells the status; tools that are done or gave up are not tried again, so attempts after that do not count. Outcomes
+    other than the two that end well are failures.
+    """
+    w = Window.partitionBy("tool").orderBy("at", "outcome")
+    first = attempts.where("tool is not null").withColumn("i", F.row_number().over(w)).where(F.col("i") <= tries)
+    ok = F.coalesce(F.col("outcome").isin(*DONE), F.lit(False))
+    ends = first.withColumn("end", ok | (F.col("i") >= tries))
+    per = ends.groupBy("tool").agg(F.min(F.when(F.col("end"), F.struct("i", F.when(ok, F.col("outcome")).otherwise("perma-failed").alias("status")))).alias("e"), F.max("i").alias("n"))
+    return per.select("tool", F.coalesce("e.i", "n").alias("attempts"), F.coalesce("e.status", F.lit("failed")).alias("status"), F.col("e").isNotNull().alias("terminal"))
 
 
 def content_key(column: Column) -> Column:

@@ -10,8 +10,10 @@ from cinderlode.functions import installs as I
 from cinderlode.functions import lexicon as L
 from cinderlode.functions import text as T
 from cinderlode.operators import curate as C
-from cinderlode.plans.search_queries import _m, _q
+from cinderlode.operators import sync as S
+from cinderlode.plans.search_queries import _CATALOGUE, _m, _q
 
+BORROWERS, LAST = ("py.wheelhub.", "io.cratery.", "dev.helpscan."), ("org.archipel.", "sh.tapline.")
 ARG = ["row_id", "cmd_path", "app_id", "node_type", "description", "risk_level", "example_template", "topics", "provenance"]
 
 
@@ -45,12 +47,16 @@ def example_faults(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embed_and_index_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "arguments").where("cmd_path is not null").select(
-        "row_id", T.embed_text(F.col("cmd_path"), F.col("description"), F.col("topics")).alias("embed"), T.index_name(F.col("app_id"), T.root(F.col("cmd_path"))).alias("index_name"), T.content_key(F.col("cmd_path"), F.coalesce("description", F.lit(""))).alias("key"))
+    named = table(spark, folder, "arguments").where("cmd_path is not null").withColumn("app_id", key_of(F.col("app_id"))).join(_apps(spark, folder).select("app_id", "name"), "app_id", "left")
+    p, d, t = F.col("cmd_path"), F.col("description"), F.col("topics")
+    return named.select("row_id", T.embed_text(p, d, t).alias("embed"), T.index_name(F.col("app_id"), F.col("name")).alias("index_name"), T.index_text(p, d, t).alias("index_text"), T.content_key(p, F.coalesce(d, F.lit(""))).alias("key"))
 
 
 def topics_parsed(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "arguments").where("topics is not null").select("row_id", F.array_join(T.topic_list(F.col("topics")), ",").alias("topics"))
+    """Answers that list topics, parsed: topics as they stand, and beside them descriptions, whose commas and line ends part them."""
+    rows = table(spark, folder, "arguments")
+    raw = rows.select("row_id", F.lit("topics").alias("origin"), F.col("topics").alias("raw")).unionByName(rows.select("row_id", F.lit("description").alias("origin"), F.col("description").alias("raw")))
+    return raw.where("raw is not null").select("row_id", "origin", F.array_join(T.topic_list(F.col("raw")), ", ").alias("topics"))
 
 
 def clean_registry(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,9 +100,9 @@ def index_orphans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry_import(spark: SparkSession, folder: str) -> DataFrame:
-    raw = table(spark, folder, "arguments_raw").where("cmd_path is not null").select("cmd_path", "description", "rec_id")
-    covered = _apps(spark, folder).where("pop >= 0.5").select("name")
-    return C.registry_import(_arguments(spark, folder), raw, covered, "rec_id").select("cmd_path", "rec_id")
+    raw = table(spark, folder, "arguments_raw").where("cmd_path is not null").select("cmd_path", T.root(F.col("cmd_path")).alias("name"), "description", "rec_id")
+    covered = _apps(spark, folder).where("length(install_instructions) > 2").select("name")
+    return C.registry_import(_arguments(spark, folder), raw, covered, "rec_id").select("cmd_path", "rec_id", "description")
 
 
 def subtree_replaced(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +121,27 @@ def fabrication_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def install_donors(spark: SparkSession, folder: str) -> DataFrame:
-    return C.donors(_apps(spark, folder)).select("app_id", "donor").where("donor is not null")
+    return C.donors(_apps(spark, folder), BORROWERS, LAST).where("donor is not null")
+
+
+def _probed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Probed raw records as pages of their tools; texts under thirty letters are error pages."""
+    raw = table(spark, folder, "arguments_raw").where("cmd_path <> '' and lower(trim(provenance)) = 'probe' and length(trim(description)) >= 30")
+    p = F.col("cmd_path")
+    return raw.select(T.root(p).alias("tool"), "cmd_path", F.split(p, r"\.").alias("path"), F.trim("description").alias("description"), F.col("rec_id").alias("ordinal"))
+
+
+def _deep(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    first = table(spark, folder, "arguments").where("cmd_path is not null").groupBy("cmd_path").agg(F.min_by(F.struct("app_id", "node_name", "node_type", "description", "risk_level", "provenance"), "row_id").alias("r")).select("cmd_path", "r.*")
+    return C.deep_imported(first.withColumn("app_id", key_of(F.col("app_id"))), _apps(spark, folder).select("app_id", "name", "install_instructions"), _probed_pages(spark, folder), "org.found.", LAST)
+
+
+def deep_import_commands(spark: SparkSession, folder: str) -> DataFrame:
+    return _deep(spark, folder)[0]
+
+
+def deep_import_apps(spark: SparkSession, folder: str) -> DataFrame:
+    return _deep(spark, folder)[1]
 
 
 def strip_json_nulls(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,11 +214,10 @@ def work_queue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_reuse(spark: SparkSession, folder: str) -> DataFrame:
-    """Commands of the last snapshot whose embedded text is that of the one before keep their vector; the rest is to be embedded."""
-    snap = table(spark, folder, "arguments_snap").where("cmd_path is not null").withColumn("cmd_path", F.trim("cmd_path"))
-    keyed = snap.select("snap_no", "cmd_path", T.embed_text(F.col("cmd_path"), F.trim("description"), F.lit(None).cast("string")).alias("e")).groupBy("snap_no", "cmd_path").agg(F.min("e").alias("e"))
-    old, new = keyed.where("snap_no = 3").select("cmd_path", "e"), keyed.where("snap_no = 4").select("cmd_path", "e")
-    return new.join(old.withColumn("reuse", F.lit(True)), ["cmd_path", "e"], "left").select("cmd_path", F.coalesce("reuse", F.lit(False)).alias("reuse"))
+    """Commands of each snapshot whose embedded text is that of the one before keep their vector; the rest is to be embedded."""
+    snap = S.numbered(table(spark, folder, "arguments_snap").where("cmd_path is not null"), "snap_no").withColumn("cmd_path", F.trim("cmd_path"))
+    keyed = snap.select("step", "snap_no", "cmd_path", T.embed_text(F.col("cmd_path"), F.col("description"), F.lit(None).cast("string")).alias("text")).groupBy("step", "snap_no", "cmd_path").agg(F.min("text").alias("text"))
+    return S.reusable(keyed.where("step > 1"), keyed.withColumn("step", F.col("step") + 1), "m", "m", ["step"]).select("snap_no", "cmd_path", "reuse")
 
 
 _ARGS = "g as (select row_id, cmd_path, nullif(lower(trim(app_id)), '') app_id, node_type, description, risk_level, example_template, topics, lower(trim(provenance)) provenance from arguments where cmd_path is not null)"
@@ -237,9 +262,17 @@ good as (select distinct nm, app_id twin, lower(split_part(cmd_path, '.', 2)) se
 odd as (select nm, app_id, count(*) n from h group by all having count(*) >= 2 and max((seg = nm)::int) = 0)
 select app_id, min(twin) twin from (select h.app_id, twin, n from h join odd using (nm, app_id) join good using (nm, seg) where h.app_id <> twin group by h.app_id, twin, n having count(*) = n) group by 1"""
 
+_DEEP = f"""with {_APPS}, f as (select cmd_path, nullif(lower(trim(app_id)), '') app_id, node_name, node_type, description, risk_level, provenance from arguments where cmd_path is not null qualify row_number() over (partition by cmd_path order by row_id) = 1),
+pg as (select *, split_part(cmd_path, '.', 1) tool from arguments_raw where cmd_path <> '' and lower(trim(provenance)) = 'probe' and length(trim(description)) >= 30),
+hm as (select t.tool, coalesce(x.app_id, 'org.found.' || t.tool) home from (select distinct tool from pg) t left join (select "name", a.app_id from a left join (select app_id, count(*) n from f group by 1) using (app_id) qualify row_number() over (partition by "name" order by coalesce(n, 0) desc, a.app_id) = 1) x on x."name" = t.tool),
+fr as (select cmd_path, home app_id, split_part(cmd_path, '.', -1) node_name, case when position('.' in cmd_path) > 0 then 'sub' else 'root' end node_type, trim(description) description, 'safe' risk_level, 'probe' provenance from pg join hm using (tool) qualify row_number() over (partition by cmd_path order by rec_id desc) = 1),
+gone as (select cmd_path from f where exists (select 1 from hm where f.cmd_path = tool or starts_with(f.cmd_path, tool || '.'))),
+ih as (select "name", ii from a where length(ii) > 2 qualify row_number() over (partition by "name" order by case when app_id like 'org.archipel.%' then 1 when app_id like 'sh.tapline.%' then 2 else 3 end, length(ii) desc, app_id) = 1)
+"""
+
 QUERIES = {f.__name__: f for f in (
     path_functions, risk_from_verbs, example_faults, embed_and_index_text, topics_parsed, clean_registry, canonical_dedup, reanchor_roots, overrides_applied, library_noise, clean_index, index_orphans, registry_import, subtree_replaced,
-    broken_prefix_twins, fabrication_sweep, install_donors, strip_json_nulls, install_commands, install_merge, arch_reclassified, repository_managers, popularity_lognorm, consensus_package, name_score_best, probe_targets, work_queue, vector_reuse)}
+    broken_prefix_twins, fabrication_sweep, install_donors, deep_import_commands, deep_import_apps, strip_json_nulls, install_commands, install_merge, arch_reclassified, repository_managers, popularity_lognorm, consensus_package, name_score_best, probe_targets, work_queue, vector_reuse)}
 ORACLE = {
     "path_functions": f"select row_id, {_clean('cmd_path')} clean, case when position('.' in cmd_path) > 0 then 'sub' else 'root' end kind, split_part(cmd_path, '.', -1) leaf, split_part(cmd_path, '.', 1) root, {_NOISE.format(p='cmd_path')} noise, {_canon('cmd_path')} canon, translate(cmd_path, '._-', '   ') words from arguments where cmd_path is not null",
     "risk_from_verbs": f"with h as (select *, lower(split_part(cmd_path, '.', -1)) || ' ' || lower(coalesce(description, '')) hay from arguments where cmd_path is not null), d as (select *, case when {_HAS(L.DANGEROUS)} then 'dangerous' when {_HAS(L.MEDIUM)} then 'medium' else 'safe' end derived from h) select row_id, case when risk_level is not null and risk_level not in ('safe', '') then risk_level else derived end risk, derived from d",
@@ -248,8 +281,12 @@ u as (select row_id, cmd_path, case when z[1] = 'sudo' then z[2:] else z end k,
 v as (select *, list_position(list_transform(k[2:], lambda x: starts_with(x, '-') or contains(x, '{{{{') or contains(x, '=') or x in {_q(L.SHELL_OPERATORS)}), true) e from u),
 w as (select *, case when e > 0 then k[2:][:e - 1] else k[2:] end bare from v)
 select * from (select row_id, case when len(k) = 0 then null when lower(k[1]) not in (b, './' || b) then 'binary' when position('.' in cmd_path) > 0 and len(list_filter(bare, lambda x, i: s[i] is distinct from lower(x))) > 0 then 'subcommand' end fault from w) where fault is not null""",
-    "embed_and_index_text": "select row_id, trim(translate(cmd_path, '._-', '   ') || '. ' || coalesce(description, '') || ' ' || coalesce(topics, '')) embed, case when app_id is null or split_part(app_id, '.', -1) = '' or contains(lower(split_part(cmd_path, '.', 1)), lower(split_part(app_id, '.', -1))) then split_part(cmd_path, '.', 1) else split_part(cmd_path, '.', 1) || ' ' || split_part(app_id, '.', -1) end index_name, sha1(cmd_path || chr(0) || coalesce(description, '')) \"key\" from arguments where cmd_path is not null",
-    "topics_parsed": "with t as (select row_id, list_filter(list_transform(regexp_split_to_array(topics, '[,\\s]+'), lambda x: lower(trim(x))), lambda x: x <> '') z from arguments where topics is not null) select row_id, array_to_string(list_filter(z, lambda x, i: list_position(z, x) = i)[:15], ',') topics from t",
+    "embed_and_index_text": f"""with {_CATALOGUE} select row_id, regexp_replace(translate(cmd_path, '.-', '  ') || '. ' || coalesce(description, '') || ' ' || coalesce(topics, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') embed,
+coalesce(nm, app, '') || case when contains(app, '.') and not contains(coalesce(nm, app), split_part(app, '.', -1)) then ' ' || split_part(app, '.', -1) else '' end index_name,
+concat_ws(' ', translate(cmd_path, '.-', '  '), coalesce(description, ''), coalesce(topics, '')) index_text, sha1(cmd_path || chr(0) || coalesce(description, '')) "key" from (select *, nullif(lower(trim(app_id)), '') app from arguments where cmd_path is not null) left join ap using (app)""",
+    "topics_parsed": """with r as (select row_id, 'topics' origin, topics raw from arguments where topics is not null union all select row_id, 'description', description from arguments where description is not null),
+t as (select row_id, origin, list_filter(list_transform(string_split(replace(raw, chr(10), ','), ','), lambda x: lower(trim(x, ' ' || chr(9) || chr(13)))), lambda x: x <> '') z from r)
+select row_id, origin, array_to_string(list_filter(z, lambda x, i: list_position(z, x) = i)[:15], ', ') topics from t""",
     "clean_registry": f"with {_ARGS}, {_CLEANED} select cmd_path, row_id, node_type from r",
     "canonical_dedup": f"""with {_ARGS}, {_APPS}, {_CLEANED}, sz as (select app_id, count(*) size from r group by 1),
 c as (select r.*, {_canon('r.cmd_path')} canon, row_number() over (partition by {_canon('r.cmd_path')} order by coalesce(provenance, '') <> 'probe', lower(r.cmd_path) <> {_canon('r.cmd_path')}, -coalesce(pop, 0), -coalesce(size, 0), coalesce(r.app_id, ''), r.cmd_path) rn, count(*) over (partition by {_canon('r.cmd_path')}) n
@@ -267,8 +304,9 @@ union all select -rec_id, cmd_path, description, null, example_template from w w
     "library_noise": f"with {_APPS}, {_LIB} select app_id from lib",
     "clean_index": f"with {_ARGS}, {_APPS}, {_LIB} select row_id from g where not (cmd_path like 'az.az.%' or cmd_path like '%.az.az.%' or cmd_path like 'az.%.az' or cmd_path like 'az.%.az.%') and app_id in (select app_id from a) and app_id not in (select app_id from lib)",
     "index_orphans": "select cmd_path from commands_vec where cmd_path not in (select cmd_path from arguments where cmd_path is not null)",
-    "registry_import": f"""with {_ARGS}, {_APPS}, w as (select *, lower(split_part(cmd_path, '.', 1)) rt from arguments_raw where cmd_path is not null and length(trim(description)) >= 5 qualify row_number() over (partition by cmd_path order by rec_id) = 1)
-select cmd_path, rec_id from w where cmd_path not in (select cmd_path from g) and rt not in (select lower("name") from a where pop >= 0.5 and "name" is not null) and (rt not like '%-bin' or regexp_replace(rt, '-bin$', '') not in (select lower(split_part(cmd_path, '.', 1)) from g))""",
+    "registry_import": f"""with {_ARGS}, {_APPS}, co as (select "name" n from a where length(ii) > 2 and "name" is not null), tk as (select n from co union select cmd_path from g),
+w as (select *, split_part(cmd_path, '.', 1) nm from arguments_raw where cmd_path is not null), k as (select * from w where cmd_path not in (select cmd_path from g) and nm not in (select n from co) and not (nm like '%-bin' and nm[:-5] in (select n from tk)) qualify row_number() over (partition by cmd_path order by rec_id) = 1)
+select cmd_path, rec_id, case when length(coalesce(trim(description), '')) < 5 then nm || ' — command-line tool' else trim(description) end description from k where not (nm like '%-bin' and exists (select 1 from k j where j.cmd_path = k.nm[:-5] and j.rec_id < k.rec_id))""",
     "subtree_replaced": f"""with {_ARGS}, p as (select cmd_path, -min(rec_id) id from arguments_raw where cmd_path is not null and lower(trim(provenance)) = 'probe' group by 1),
 c as (select cmd_path, min(row_id) id from g group by 1) select cmd_path, id from c where not exists (select 1 from p where c.cmd_path = p.cmd_path or starts_with(c.cmd_path, p.cmd_path || '.')) union all select cmd_path, id from p""",
     "broken_prefix_twins": _SEGS,
@@ -276,8 +314,12 @@ c as (select cmd_path, min(row_id) id from g group by 1) select cmd_path, id fro
 f as (select app_id, min(cmd_path) fc, count(*) cmd_count from g where app_id in (select app_id from a) group by 1 having sum((coalesce(provenance, '') in ('probe', 'manual'))::int) = 0),
 x as (select app_id, split_part(fc, '.', 1) binary_root, cmd_count, regexp_extract(split_part(fc, '.', 1), '^([a-z][a-z0-9_]+)-([a-z][a-z0-9_]+)$', 1) || '.' || regexp_extract(split_part(fc, '.', 1), '^([a-z][a-z0-9_]+)-([a-z][a-z0-9_]+)$', 2) sp from f where regexp_matches(split_part(fc, '.', 1), '^([a-z][a-z0-9_]+)-([a-z][a-z0-9_]+)$') and app_id not like 'py.wheelhub.%')
 select app_id, binary_root, sp probe_sub_path, cmd_count, count(*) probe_sub_count from x join pp on pp.cmd_path = sp or starts_with(pp.cmd_path, sp || '.') group by all""",
-    "install_donors": f"""with {_APPS}, d as (select * from a where "name" is not null and trim(ii) <> '' qualify row_number() over (partition by "name" order by case when app_id like 'org.arch%' then 1 when app_id like 'org.tldr%' then 2 else 0 end, app_id) = 1)
-select a.app_id, d.app_id donor from a join d using ("name") where coalesce(trim(a.ii), '') = ''""",
+    "install_donors": f"""with {_APPS}, d as (select * from a where "name" is not null and length(ii) > 2 qualify row_number() over (partition by "name" order by case when app_id like 'org.archipel.%' then 1 when app_id like 'sh.tapline.%' then 2 else 0 end, app_id) = 1)
+select a.app_id, d.ii install_instructions, d.app_id donor from a join d using ("name") where coalesce(length(a.ii), 0) <= 2 and (a.app_id like 'py.wheelhub.%' or a.app_id like 'io.cratery.%' or a.app_id like 'dev.helpscan.%')""",
+    "deep_import_commands": _DEEP + """select cmd_path, app_id, node_name, node_type, description, risk_level, provenance from f where cmd_path not in (select cmd_path from gone) and cmd_path not in (select cmd_path from fr) union all select * from fr""",
+    "deep_import_apps": _DEEP + """select a.app_id, a."name", coalesce(ih.ii, a.ii) install_instructions from a left join hm on a.app_id = hm.home left join ih on ih."name" = hm.tool
+where a.app_id not in (select a.app_id from a join hm on a."name" = hm.tool and a.app_id <> hm.home where a.app_id not in (select app_id from f where app_id is not null and cmd_path not in (select cmd_path from gone)))
+union all select home, tool, ih.ii from hm left join ih on ih."name" = tool where home not in (select app_id from a)""",
     "strip_json_nulls": f"""with {_APPS}, {_ENTRIES}, k as (select app_id, '{{' || string_agg(to_json(pm) || ':' || to_json(cmd), ',' order by pm, cmd) || '}}' js from en where trim(cmd) <> '' group by 1)
 select app_id, case when json_valid(ii) and trim(ii) like '{{%' then js else 'broken' end "json" from a left join k using (app_id) where ii is not null""",
     "install_commands": f"""with {_APPS}, {_ENTRIES} select app_id, {', '.join(_resolved(o) for o in ('ubuntu', 'arch', 'macos', 'fedora'))},
@@ -298,6 +340,7 @@ select pm, q project, pkg, score from s where score >= 60 qualify row_number() o
     "probe_targets": f"""with {_ARGS}, {_APPS}, u as (select * from a where app_id not in (select app_id from g where provenance = 'probe' and app_id is not null))
 select app_id from (select app_id from u order by coalesce(pop, 0) desc, app_id limit 50) union select app_id from u where pop >= 0.9 and app_id in (select lower(trim(app_id)) from arguments_raw)""",
     "work_queue": f"with {_ARGS}, {_APPS} select distinct cmd_path, app_id, pop from g join a using (app_id) where position('.' in cmd_path) = 0 and coalesce(provenance, '') <> 'probe' and pop >= 0.8",
-    "vector_reuse": """with k as (select snap_no, trim(cmd_path) cmd_path, min(trim(translate(trim(cmd_path), '._-', '   ') || '. ' || coalesce(trim(description), '') || ' ')) e from arguments_snap where cmd_path is not null group by 1, 2)
-select n.cmd_path, o.e is not null reuse from (select * from k where snap_no = 4) n left join (select * from k where snap_no = 3) o on n.cmd_path = o.cmd_path and n.e = o.e""",
+    "vector_reuse": """with k as (select snap_no, dense_rank() over (order by snap_no) step, trim(cmd_path) cmd_path, regexp_replace(translate(trim(cmd_path), '.-', '  ') || '. ' || coalesce(description, '') || ' ', '[\\s\\p{Z}]+$', '') e from arguments_snap where cmd_path is not null),
+u as (select snap_no, step, cmd_path, min(regexp_replace(e, '^[\\s\\p{Z}]+', '')) e from k group by 1, 2, 3)
+select n.snap_no, n.cmd_path, o.e is not null reuse from (select * from u where step > 1) n left join u o on n.cmd_path = o.cmd_path and n.step = o.step + 1 and n.e = o.e""",
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderlode.core import shared_folder, stage, table
+from cinderlode.core import key_of, shared_folder, stage, table
 from cinderlode.functions import helptext as H
 from cinderlode.functions import lexicon as L
 from cinderlode.functions import text as T
@@ -18,35 +18,67 @@ from cinderlode.operators import sync as S
 from cinderlode.operators.knn import knn
 from cinderlode.plans.curation_queries import _APPS, _ARGS, _arguments, _apps
 from cinderlode.plans.search_queries import _CATALOGUE, _EMB, _asked, _bm25_sql, _index, _q, _ranking, catalogue
-from cinderlode.streaming.feed import apply_feed, windowed_counts
+from cinderlode.streaming.feed import apply_feed, live, windowed_counts
 
 
-def _snapshots(spark: SparkSession, folder: str, no: int) -> tuple[DataFrame, DataFrame]:
-    """Apps and commands of one snapshot, keys trimmed, one row each: the smallest of repeated ones."""
-    a = table(spark, folder, "apps_snap").where(f"snap_no = {no}").select(F.trim("app_id").alias("app_id"), F.trim("name").alias("name")).where("app_id <> ''")
-    g = table(spark, folder, "arguments_snap").where(f"snap_no = {no}").select(F.trim("cmd_path").alias("cmd_path"), F.trim("app_id").alias("app_id"), F.trim("description").alias("description"), F.trim("risk_level").alias("risk_level")).where("cmd_path <> '' and app_id <> ''")
-    return a.groupBy("app_id").agg(F.min("name").alias("name")), g.groupBy("cmd_path").agg(F.min(F.struct("app_id", "description", "risk_level")).alias("r")).select("cmd_path", "r.*")
+BY = ["step"]
+
+
+def _snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Apps and commands of every snapshot with its step, keys trimmed, one row each: the smallest of repeated ones."""
+    a, g = S.numbered(table(spark, folder, "apps_snap"), "snap_no"), S.numbered(table(spark, folder, "arguments_snap"), "snap_no")
+    a = a.select("step", F.trim("app_id").alias("app_id"), F.trim("name").alias("name")).where("app_id <> ''")
+    g = g.select("step", *(F.trim(c).alias(c) for c in ("cmd_path", "app_id", "description", "risk_level"))).where("cmd_path <> '' and app_id <> ''")
+    first = g.groupBy("step", "cmd_path").agg(F.min(F.struct("app_id", "description", "risk_level")).alias("r")).select("step", "cmd_path", "r.*")
+    return stage(a.groupBy("step", "app_id").agg(F.min("name").alias("name"))), stage(first)
+
+
+def _steps(pair):
+    """Old and new states of every step between consecutive snapshots, both under the later one's step."""
+    last = pair[0].agg(F.max("step")).first()[0] or 0
+    return tuple(x.withColumn("step", F.col("step") + 1).where(F.col("step") <= last) for x in pair), tuple(x.where("step > 1") for x in pair)
 
 
 def _prints(pair):
-    return S.fingerprints(pair[0], pair[1], ["name"], ["cmd_path", "description", "risk_level"])
+    return S.fingerprints(pair[0], pair[1], ["name"], ["cmd_path", "description", "risk_level"], by=BY)
 
 
 def snapshot_diff(spark: SparkSession, folder: str) -> DataFrame:
-    return S.difference(_prints(_snapshots(spark, folder, 3)), _prints(_snapshots(spark, folder, 4)))
+    old, new = _steps(_snapshots(spark, folder))
+    return S.difference(_prints(old), _prints(new), BY)
+
+
+def _applied(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
+    old, new = _steps(_snapshots(spark, folder))
+    changes = stage(S.difference(_prints(old), _prints(new), BY))
+    fresh = S.payload(changes, *new, by=BY)
+    return S.applied(old[0], fresh["apps"], changes, BY), S.applied(old[1], fresh["arguments"], changes, BY), new
 
 
 def delta_apply(spark: SparkSession, folder: str) -> DataFrame:
-    """The commands of snapshot 3 brought to snapshot 4 by the payload of their difference."""
-    old, new = _snapshots(spark, folder, 3), _snapshots(spark, folder, 4)
-    changes = stage(S.difference(_prints(old), _prints(new)))
-    return S.applied(old[1], S.payload(changes, *new)["arguments"], changes)
+    """The commands of each snapshot brought to the next one by the payload of their difference."""
+    return _applied(spark, folder)[1]
+
+
+def delta_apply_apps(spark: SparkSession, folder: str) -> DataFrame:
+    return _applied(spark, folder)[0]
 
 
 def delta_equivalence(spark: SparkSession, folder: str) -> DataFrame:
-    """How many rows of the applied difference and of the new snapshot are unequal, on every column; 0 proves the difference."""
-    left = S.unequal(delta_apply(spark, folder), _snapshots(spark, folder, 4)[1])
-    return left.agg(F.count("*").alias("unequal"))
+    """Per step, the rows of the new snapshot and how many of it or of the applied difference have no equal, on every column."""
+    _, rows, new = _applied(spark, folder)
+    odd = S.unequal(stage(rows), new[1]).groupBy("step").agg(F.count("*").alias("n"))
+    return new[1].groupBy("step").agg(F.count("*").alias("total")).join(odd, "step", "left").select("step", "total", F.coalesce("n", F.lit(0)).alias("unequal"))
+
+
+def vector_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """Apps that differ when only vectors do: those of commands with raw records are taken to be embedded anew, as zeros."""
+    commands = table(spark, folder, "arguments").where("cmd_path is not null").select("cmd_path", key_of(F.col("app_id")).alias("app_id")).where("app_id is not null").distinct()
+    old = table(spark, folder, "commands_vec").where("embedding is not null")
+    again = table(spark, folder, "arguments_raw").select("cmd_path").distinct().withColumn("again", F.lit(True))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), 384)
+    new = old.join(again, "cmd_path", "left").select("cmd_path", F.when(F.col("again"), zeros).otherwise(F.col("embedding")).alias("embedding"))
+    return S.difference(*(S.fingerprints(commands.select("app_id").distinct(), commands, ["app_id"], ["cmd_path"], v) for v in (old, new)))
 
 
 def sync_mode(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,8 +169,12 @@ def sitemap_parts(spark: SparkSession, folder: str) -> DataFrame:
     return X.sitemap(_apps(spark, folder).select("app_id", F.col("pop").alias("popularity")), 50)
 
 
+_TOLD = {"apps": ["app_id", "name", "os_aliases", "install_instructions"], "commands_vec": ["cmd_path"],
+         "arguments": ["cmd_path", "app_id", "node_name", "node_type", "description", "risk_level", "example_template", "docker_image", "script_url", "source_url", "topics", "provenance", "feed"]}
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return X.manifest({n: table(spark, folder, n) for n in ("apps", "arguments", "commands_vec")}).select("table", "rows")
+    return X.manifest({n: table(spark, folder, n).select(*columns) for n, columns in _TOLD.items()})
 
 
 def skill_match(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,17 +203,18 @@ def streaming_apply(spark: SparkSession, folder: str) -> DataFrame:
     base = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
     events.write.parquet(f"{base}/in")
     apply_feed(spark, f"{base}/in", events.schema, f"{base}/table", f"{base}/state", "user_id", ["ts", "event_id"], "event_type = 'logout'").awaitTermination()
-    return S.VersionedTable(spark, f"{base}/table").read().select("user_id", "event_id", "event_type")
+    return live(spark, f"{base}/table").select("user_id", "event_id", "event_type")
 
 
 _SNAP = """
-sa as (select snap_no, trim(app_id) app_id, min(trim("name")) "name" from apps_snap where trim(app_id) <> '' group by 1, 2),
-sg as (select snap_no, trim(cmd_path) cmd_path, trim(app_id) app_id, trim(description) description, trim(risk_level) risk_level from arguments_snap where trim(cmd_path) <> '' and trim(app_id) <> ''
+sa as (select dense_rank() over (order by snap_no) step, app_id, "name" from (select snap_no, trim(app_id) app_id, min(trim("name")) "name" from apps_snap where trim(app_id) <> '' group by 1, 2)),
+sg as (select dense_rank() over (order by snap_no) step, trim(cmd_path) cmd_path, trim(app_id) app_id, trim(description) description, trim(risk_level) risk_level from arguments_snap where trim(cmd_path) <> '' and trim(app_id) <> ''
   qualify row_number() over (partition by snap_no, trim(cmd_path) order by trim(app_id), trim(description) nulls first, trim(risk_level) nulls first) = 1)
 """
-_DIFF = f"""with {_SNAP}, t as (select snap_no, app_id, string_agg(to_json([cmd_path, description, risk_level])::varchar, '' order by cmd_path) tree from sg group by 1, 2),
-f as (select coalesce(sa.snap_no, t.snap_no) snap_no, coalesce(sa.app_id, t.app_id) app_id, to_json(["name"])::varchar || '|' || coalesce(tree, '') || (sa.app_id is null)::varchar p from sa full outer join t on sa.snap_no = t.snap_no and sa.app_id = t.app_id),
-d as (select coalesce(o.app_id, n.app_id) app_id, case when o.app_id is null then 'added' when n.app_id is null then 'deleted' else 'changed' end change from (select * from f where snap_no = 3) o full outer join (select * from f where snap_no = 4) n on o.app_id = n.app_id where o.p is distinct from n.p)"""
+_DIFF = f"""with {_SNAP}, t as (select step, app_id, string_agg(to_json([cmd_path, description, risk_level])::varchar, '' order by cmd_path) tree from sg group by 1, 2),
+f as (select coalesce(sa.step, t.step) step, coalesce(sa.app_id, t.app_id) app_id, to_json(["name"])::varchar || '|' || coalesce(tree, '') || (sa.app_id is null)::varchar p from sa full outer join t on sa.step = t.step and sa.app_id = t.app_id),
+d as (select coalesce(o.step, n.step) step, coalesce(o.app_id, n.app_id) app_id, case when o.app_id is null then 'added' when n.app_id is null then 'deleted' else 'changed' end change
+  from (select step + 1 step, app_id, p from f where step < (select max(step) from f)) o full outer join (select * from f where step > 1) n on o.app_id = n.app_id and o.step = n.step where o.p is distinct from n.p)"""
 _VERDICT = f"""with rs as ({_bm25_sql(False, '5', '2', 20)}), ow as (select row_id qid, cmd_path own from arguments where cmd_path is not null and row_id % 20 = 0),
 vf as (select cmd_path doc, coalesce(lower(trim(provenance)), '') = 'probe' verified from arguments where cmd_path is not null qualify row_number() over (partition by cmd_path order by row_id) = 1),
 p as (select ow.qid, own target, min(case when rs.doc = own then pos end) rank, coalesce(sum((pos <= 5)::int), 0) shown, max((pos <= 5 and rs.doc <> own and split_part(rs.doc, '.', 1) = split_part(own, '.', 1))::int) sib, max((pos <= 5 and not verified)::int) unv, arg_min(rs.doc, case when pos <= 5 then pos end) blocker
@@ -188,12 +225,15 @@ _G = "(" + " or ".join(f"starts_with(lower(d), '{p}')" for p in L.BAD_DESCRIPTIO
 _NODE = "'{\"cmd_path\":' || to_json(cmd_path) || ',\"node_type\":' || to_json(node_type) || ',\"description\":' || to_json(coalesce(description, '')) || ',\"risk_level\":' || to_json(coalesce(risk_level, 'safe')) || coalesce(',\"example_template\":' || to_json(example_template), '') || '}'"
 
 QUERIES = {f.__name__: f for f in (
-    snapshot_diff, delta_apply, delta_equivalence, sync_mode, quality_checks, index_consistency, expected_coverage, subcommand_histogram, tool_depth, recall_mrr, coverage_verdicts, failure_report, dist_quantiles, threshold_sweep,
+    snapshot_diff, delta_apply, delta_apply_apps, delta_equivalence, vector_delta, sync_mode, quality_checks, index_consistency, expected_coverage, subcommand_histogram, tool_depth, recall_mrr, coverage_verdicts, failure_report, dist_quantiles, threshold_sweep,
     query_suggestions, json_in_prose, shard_tree, index_order, sitemap_parts, manifest, skill_match, help_descriptions, help_subcommands, event_counts, streaming_apply)}
 ORACLE = {
-    "snapshot_diff": _DIFF + " select app_id, change from d",
-    "delta_apply": f"with {_SNAP} select cmd_path, app_id, description, risk_level from sg where snap_no = 4",
-    "delta_equivalence": "select 0::bigint unequal",
+    "snapshot_diff": _DIFF + " select step, app_id, change from d",
+    "delta_apply": f"with {_SNAP} select step, cmd_path, app_id, description, risk_level from sg where step > 1",
+    "delta_apply_apps": f"with {_SNAP} select step, app_id, \"name\" from sa where step > 1",
+    "delta_equivalence": f"with {_SNAP} select step, count(*) total, 0::bigint unequal from sg where step > 1 group by 1",
+    "vector_delta": """select distinct lower(trim(app_id)) app_id, 'changed' change from arguments where trim(app_id) <> '' and cmd_path in (select cmd_path from arguments_raw where cmd_path is not null)
+and cmd_path in (select cmd_path from commands_vec where embedding is not null and not (len(embedding) = 384 and len(list_filter(embedding, lambda v: v is distinct from 0)) = 0))""",
     "sync_mode": "with r as (select released, row_number() over (order by released) no_ from (select distinct snap_no released from apps_snap)), m as (select max(no_) mx from r) select c_custkey client, case when no_ = mx then 'noop' when no_ = mx - 1 then 'incremental' else 'full' end mode from customer left join r on c_custkey % 6 = released, m",
     "quality_checks": f"""with g as (select *, trim(description) d from arguments), j as (select install_instructions ii, case when trim(install_instructions) like '{{%' and json_valid(install_instructions) then install_instructions end js from apps),
 e as (select coalesce(sum((v is null or trim(v) = '')::int), 0) > 0 bad, len(list_filter(ks, lambda k: k not in {_q(L.KNOWN_MANAGERS)})) > 0 unk from (select rn, json_keys(js) ks, unnest(json_extract_string(js, '$.*')) v from (select js, row_number() over () rn from j where js is not null)) group by rn, ks),
@@ -238,7 +278,7 @@ select a.app_id, coalesce(n, 0)::int nodes, '{{"app_id":' || to_json(a.app_id) |
 from a left join t using (app_id) left join tl using (app_id)""",
     "index_order": f"with {_APPS} select app_id, row_number() over (order by coalesce(pop, 0) desc, app_id) place from a",
     "sitemap_parts": f"with {_APPS}, o as (select *, row_number() over (order by coalesce(pop, 0) desc, app_id) place from a) select app_id, ((place - 1) // 50)::int part, '<url><loc>/' || app_id || '</loc><priority>' || format('{{:.1f}}', least(1, greatest(0, coalesce(pop, 0)))) || '</priority></url>' entry from o",
-    "manifest": "select 'apps' \"table\", (select count(*) from apps) \"rows\" union all select 'arguments', (select count(*) from arguments) union all select 'commands_vec', (select count(*) from commands_vec)",
+    "manifest": " union all ".join(f"select '{n}' \"table\", count(*) \"rows\", sum(('0x' || md5(concat_ws(chr(31), {', '.join(f'coalesce({c}, chr(30))' for c in sorted(columns))}))[1:12])::bigint)::bigint checksum from {n}" for n, columns in _TOLD.items()),
     "skill_match": "select row_id from arguments where contains(lower(concat_ws(' ', node_name, cmd_path, description)), 'archive') and contains(lower(concat_ws(' ', node_name, cmd_path, description)), 'data')",
     "event_counts": "select date_trunc('hour', ts) \"start\", event_type, count(*) n from events group by 1, 2",
     "streaming_apply": "select user_id, event_id, event_type from (select * from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) where event_type <> 'logout'",
