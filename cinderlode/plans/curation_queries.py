@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,10 @@ def risk_from_verbs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def example_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every example, null where it has none; each example is also judged for the command that follows it by row_id."""
     rows = _arguments(spark, folder).where("coalesce(provenance, 'inferred') = 'inferred' and trim(example_template) <> ''")
-    return rows.select("row_id", T.example_fault(F.col("cmd_path"), F.col("example_template")).alias("fault")).where("fault is not null")
+    other = rows.select((F.col("row_id") + 1).alias("row_id"), F.col("example_template").alias("other"))
+    return rows.join(other, "row_id", "left").select("row_id", T.example_fault(F.col("cmd_path"), F.col("example_template")).alias("fault"), T.example_fault(F.col("cmd_path"), F.col("other")).alias("other_fault"))
 
 
 def embed_and_index_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,9 +72,11 @@ def canonical_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reanchor_roots(spark: SparkSession, folder: str) -> DataFrame:
+    """Roots that move to the richest app of their name, where each root is held by an app of its own beside its tree's app."""
     apps = _apps(spark, folder).withColumn("ord", F.unix_micros(F.col("loaded_at").cast("timestamp")))
+    before = _registry(spark, folder).withColumn("app_id", F.when(F.col("node_type") == "root", F.concat(F.lit("root."), "app_id")).otherwise(F.col("app_id")))
+    apps = apps.select("app_id", "name", "ord").unionByName(apps.select(F.concat(F.lit("root."), "app_id").alias("app_id"), "name", "ord"))
     apps = apps.withColumn("ord", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("ord", "app_id")))
-    before = _registry(spark, folder)
     after = C.reanchored(before, apps, least=3, times=2)
     return before.select("row_id", F.col("app_id").alias("was")).join(after.select("row_id", "app_id"), "row_id").where("not (was <=> app_id)")
 
@@ -85,7 +91,10 @@ def overrides_applied(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def library_noise(spark: SparkSession, folder: str) -> DataFrame:
-    return C.libraries(_apps(spark, folder), "org.archipel.").select("app_id")
+    """Libraries among the apps, and among the same apps as if they were packaged under other names."""
+    apps = _apps(spark, folder).select("app_id", "name")
+    named = [apps, *(apps.select(F.concat("app_id", F.lit(s)).alias("app_id"), F.concat("name", F.lit(s)).alias("name")) for s in ("-dev", "-git", "-docs"))]
+    return C.libraries(reduce(lambda x, y: x.unionByName(y), named), "org.archipel.").select("app_id")
 
 
 def clean_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,15 +122,22 @@ def subtree_replaced(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def broken_prefix_twins(spark: SparkSession, folder: str) -> DataFrame:
-    return C.broken_prefix_twins(_arguments(spark, folder), _apps(spark, folder))
+    """Apps whose paths lost their root, among the apps and copies of them that lost it."""
+    rows, apps = _arguments(spark, folder), _apps(spark, folder)
+    rest = F.regexp_extract("cmd_path", r"^[^.]*\.(.*)$", 1)
+    lost = rows.withColumn("cmd_path", rest).where("cmd_path <> ''").withColumn("app_id", F.concat(F.lit("lost."), "app_id"))
+    return C.broken_prefix_twins(rows.unionByName(lost), apps.select("app_id", "name").unionByName(apps.select(F.concat(F.lit("lost."), "app_id").alias("app_id"), "name")))
 
 
 def fabrication_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    return C.fabrications(_arguments(spark, folder), _apps(spark, folder), ["py.wheelhub."])
+    """Apps that are another tool's subcommand, among the apps and copies whose paths join root and subcommand by a dash."""
+    rows, apps = _arguments(spark, folder), _apps(spark, folder)
+    fused = rows.where("instr(cmd_path, '.') > 0").withColumn("app_id", F.concat(F.lit("fused."), "app_id", F.lit("."), T.leaf(F.col("cmd_path")))).withColumn("cmd_path", F.regexp_replace("cmd_path", r"^([^.]*)\.", "$1-")).withColumn("provenance", F.lit("inferred"))
+    return C.fabrications(rows.unionByName(fused), apps.select("app_id").unionByName(fused.select("app_id").distinct()), ["py.wheelhub."])
 
 
 def install_donors(spark: SparkSession, folder: str) -> DataFrame:
-    return C.donors(_apps(spark, folder), BORROWERS, LAST).where("donor is not null")
+    return C.donors(_apps(spark, folder), BORROWERS, LAST)
 
 
 def _probed_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,7 +272,9 @@ def _resolved(os: str) -> str:
     return f"(select case when pm in {_q(L.SYSTEM_MANAGERS)} then 'sudo ' else '' end || case when contains(cmd, ' ') or starts_with(cmd, pm) then cmd else coalesce({_TPL}[pm], '') || cmd end from en where en.app_id = a.app_id and cmd is not null and pm in {_q(order)} order by list_position([{', '.join(repr(x) for x in order)}], pm) limit 1) {os}"
 
 
-_SEGS = f"""with {_ARGS}, {_APPS}, nm as (select g.cmd_path, lower(a."name") nm, g.app_id from g join a using (app_id) where a."name" <> ''),
+_SEGS = f"""with {_ARGS.replace('g as', 'g0 as', 1)}, {_APPS.replace('a as', 'a0 as', 1)},
+g as (select cmd_path, app_id from g0 union all select regexp_extract(cmd_path, '^[^.]*\\.(.*)$', 1), 'lost.' || app_id from g0 where regexp_extract(cmd_path, '^[^.]*\\.(.*)$', 1) <> ''), a as (select app_id, "name" from a0 union all select 'lost.' || app_id, "name" from a0),
+nm as (select g.cmd_path, lower(a."name") nm, g.app_id from g join a using (app_id) where a."name" <> ''),
 h as (select distinct nm, app_id, lower(split_part(cmd_path, '.', 1)) seg from nm),
 good as (select distinct nm, app_id twin, lower(split_part(cmd_path, '.', 2)) seg from nm where lower(split_part(cmd_path, '.', 1)) = nm and position('.' in cmd_path) > 0),
 odd as (select nm, app_id, count(*) n from h group by all having count(*) >= 2 and max((seg = nm)::int) = 0)
@@ -276,11 +294,14 @@ QUERIES = {f.__name__: f for f in (
 ORACLE = {
     "path_functions": f"select row_id, {_clean('cmd_path')} clean, case when position('.' in cmd_path) > 0 then 'sub' else 'root' end kind, split_part(cmd_path, '.', -1) leaf, split_part(cmd_path, '.', 1) root, {_NOISE.format(p='cmd_path')} noise, {_canon('cmd_path')} canon, translate(cmd_path, '._-', '   ') words from arguments where cmd_path is not null",
     "risk_from_verbs": f"with h as (select *, lower(split_part(cmd_path, '.', -1)) || ' ' || lower(coalesce(description, '')) hay from arguments where cmd_path is not null), d as (select *, case when {_HAS(L.DANGEROUS)} then 'dangerous' when {_HAS(L.MEDIUM)} then 'medium' else 'safe' end derived from h) select row_id, case when risk_level is not null and risk_level not in ('safe', '') then risk_level else derived end risk, derived from d",
-    "example_faults": f"""with {_ARGS}, t as (select row_id, cmd_path, list_filter(regexp_split_to_array(trim(example_template), '\\s+'), lambda x: x <> '') z from g where coalesce(provenance, 'inferred') = 'inferred' and trim(example_template) <> ''),
-u as (select row_id, cmd_path, case when z[1] = 'sudo' then z[2:] else z end k, lower(split_part(cmd_path, '.', 1)) b, string_split(lower(cmd_path), '.')[2:] s from t),
+    "example_faults": f"""with {_ARGS}, t0 as (select row_id, cmd_path, example_template from g where coalesce(provenance, 'inferred') = 'inferred' and trim(example_template) <> ''),
+x as (select row_id, cmd_path, 1 k, example_template e from t0 union all select t0.row_id, t0.cmd_path, 2, o.example_template from t0 join t0 o on t0.row_id = o.row_id + 1),
+t as (select row_id, k no_, cmd_path, list_filter(regexp_split_to_array(trim(e), '\\s+'), lambda x: x <> '') z from x),
+u as (select row_id, no_, cmd_path, case when z[1] = 'sudo' then z[2:] else z end k, lower(split_part(cmd_path, '.', 1)) b, string_split(lower(cmd_path), '.')[2:] s from t),
 v as (select *, list_position(list_transform(k[2:], lambda x: starts_with(x, '-') or contains(x, '{{{{') or contains(x, '=') or x in {_q(L.SHELL_OPERATORS)}), true) e from u),
-w as (select *, case when e > 0 then k[2:][:e - 1] else k[2:] end bare from v)
-select * from (select row_id, case when len(k) = 0 then null when lower(k[1]) not in (b, './' || b) then 'binary' when position('.' in cmd_path) > 0 and len(list_filter(bare, lambda x, i: s[i] is distinct from lower(x))) > 0 then 'subcommand' end fault from w) where fault is not null""",
+w as (select *, case when e > 0 then k[2:][:e - 1] else k[2:] end bare from v),
+f as (select row_id, no_, case when len(k) = 0 then null when lower(k[1]) not in (b, './' || b) then 'binary' when position('.' in cmd_path) > 0 and len(list_filter(bare, lambda x, i: s[i] is distinct from lower(x))) > 0 then 'subcommand' end fault from w)
+select row_id, max(fault) filter (no_ = 1) fault, max(fault) filter (no_ = 2) other_fault from f group by 1""",
     "embed_and_index_text": f"""with {_CATALOGUE} select row_id, regexp_replace(translate(cmd_path, '.-', '  ') || '. ' || coalesce(description, '') || ' ' || coalesce(topics, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') embed,
 coalesce(nm, app, '') || case when contains(app, '.') and not contains(coalesce(nm, app), split_part(app, '.', -1)) then ' ' || split_part(app, '.', -1) else '' end index_name,
 concat_ws(' ', translate(cmd_path, '.-', '  '), coalesce(description, ''), coalesce(topics, '')) index_text, sha1(cmd_path || chr(0) || coalesce(description, '')) "key" from (select *, nullif(lower(trim(app_id)), '') app from arguments where cmd_path is not null) left join ap using (app)""",
@@ -294,14 +315,15 @@ c as (select r.*, {_canon('r.cmd_path')} canon, row_number() over (partition by
 tw as (select canon, rn, unnest(z) w, generate_subscripts(z, 1) p from (select canon, rn, list_filter(regexp_split_to_array(coalesce(topics, ''), '[,\\s]+'), lambda x: x <> '') z from c)),
 u as (select canon, string_agg(w, ' ' order by rn, p) un from (select canon, w, min((rn, p)) m, min(rn) rn, min_by(p, (rn, p)) p from tw group by canon, w) group by 1)
 select c.canon, cmd_path, app_id, n merged, case when n > 1 then coalesce(un, '') else topics end topics from c left join u using (canon) where rn = 1""",
-    "reanchor_roots": f"""with {_ARGS}, {_APPS}, {_CLEANED}, sz as (select app_id, count(*) size from r group by 1),
+    "reanchor_roots": f"""with {_ARGS}, {_APPS.replace('a as', 'a0 as', 1)}, {_CLEANED.replace('r as', 'r0 as', 1)}, r as (select * replace (case when position('.' in cmd_path) = 0 then 'root.' || app_id else app_id end as app_id) from r0),
+a as (select app_id, "name", loaded_at from a0 union all select 'root.' || app_id, "name", loaded_at from a0), sz as (select app_id, count(*) size from r group by 1),
 n as (select a.app_id, lower("name") nm, coalesce(size, 0) size, row_number() over (partition by lower("name") order by loaded_at nulls first, a.app_id) o from a left join sz using (app_id) where "name" <> ''),
 b as (select nm, app_id target, size t from n qualify row_number() over (partition by nm order by size desc, o) = 1)
 select r.row_id, r.app_id was, b.target app_id from r join n on r.app_id = n.app_id join b on b.nm = n.nm where position('.' in r.cmd_path) = 0 and lower(r.cmd_path) = n.nm and b.target <> r.app_id and t >= 3 and t >= 2 * greatest(n.size, 1)""",
     "overrides_applied": f"""with {_ARGS}, {_APPS}, {_CLEANED}, w as (select * from arguments_raw where cmd_path is not null qualify row_number() over (partition by cmd_path order by rec_id) = 1)
 select r.row_id, r.cmd_path, coalesce(w.description, r.description) description, case when w.cmd_path is not null then trim(concat_ws(' ', r.topics, 'patched')) else r.topics end topics, coalesce(w.example_template, r.example_template) example_template from r left join w using (cmd_path)
 union all select -rec_id, cmd_path, description, null, example_template from w where cmd_path not in (select cmd_path from r) and lower(trim(app_id)) in (select app_id from a)""",
-    "library_noise": f"with {_APPS}, {_LIB} select app_id from lib",
+    "library_noise": f"with {_APPS.replace('a as', 'a0 as', 1)}, a as (select app_id || s app_id, \"name\" || s \"name\" from a0, (select unnest(['', '-dev', '-git', '-docs']) s)), {_LIB} select app_id from lib",
     "clean_index": f"with {_ARGS}, {_APPS}, {_LIB} select row_id from g where not (cmd_path like 'az.az.%' or cmd_path like '%.az.az.%' or cmd_path like 'az.%.az' or cmd_path like 'az.%.az.%') and app_id in (select app_id from a) and app_id not in (select app_id from lib)",
     "index_orphans": "select cmd_path from commands_vec where cmd_path not in (select cmd_path from arguments where cmd_path is not null)",
     "registry_import": f"""with {_ARGS}, {_APPS}, co as (select "name" n from a where length(ii) > 2 and "name" is not null), tk as (select n from co union select cmd_path from g),
@@ -310,12 +332,14 @@ select cmd_path, rec_id, case when length(coalesce(trim(description), '')) < 5 t
     "subtree_replaced": f"""with {_ARGS}, p as (select cmd_path, -min(rec_id) id from arguments_raw where cmd_path is not null and lower(trim(provenance)) = 'probe' group by 1),
 c as (select cmd_path, min(row_id) id from g group by 1) select cmd_path, id from c where not exists (select 1 from p where c.cmd_path = p.cmd_path or starts_with(c.cmd_path, p.cmd_path || '.')) union all select cmd_path, id from p""",
     "broken_prefix_twins": _SEGS,
-    "fabrication_sweep": f"""with {_ARGS}, {_APPS}, pp as (select distinct cmd_path from g where provenance = 'probe'),
+    "fabrication_sweep": f"""with {_ARGS.replace('g as', 'g0 as', 1)}, {_APPS.replace('a as', 'a0 as', 1)}, fz as (select 'fused.' || app_id || '.' || split_part(cmd_path, '.', -1) app_id, regexp_replace(cmd_path, '^([^.]*)\\.', '\\1-') cmd_path, 'inferred' provenance from g0 where position('.' in cmd_path) > 0),
+g as (select app_id, cmd_path, provenance from g0 union all select * from fz), a as (select app_id from a0 union select app_id from fz where app_id is not null), pp as (select distinct cmd_path from g where provenance = 'probe'),
 f as (select app_id, min(cmd_path) fc, count(*) cmd_count from g where app_id in (select app_id from a) group by 1 having sum((coalesce(provenance, '') in ('probe', 'manual'))::int) = 0),
 x as (select app_id, split_part(fc, '.', 1) binary_root, cmd_count, regexp_extract(split_part(fc, '.', 1), '^([a-z][a-z0-9_]+)-([a-z][a-z0-9_]+)$', 1) || '.' || regexp_extract(split_part(fc, '.', 1), '^([a-z][a-z0-9_]+)-([a-z][a-z0-9_]+)$', 2) sp from f where regexp_matches(split_part(fc, '.', 1), '^([a-z][a-z0-9_]+)-([a-z][a-z0-9_]+)$') and app_id not like 'py.wheelhub.%')
 select app_id, binary_root, sp probe_sub_path, cmd_count, count(*) probe_sub_count from x join pp on pp.cmd_path = sp or starts_with(pp.cmd_path, sp || '.') group by all""",
-    "install_donors": f"""with {_APPS}, d as (select * from a where "name" is not null and length(ii) > 2 qualify row_number() over (partition by "name" order by case when app_id like 'org.archipel.%' then 1 when app_id like 'sh.tapline.%' then 2 else 0 end, app_id) = 1)
-select a.app_id, d.ii install_instructions, d.app_id donor from a join d using ("name") where coalesce(length(a.ii), 0) <= 2 and (a.app_id like 'py.wheelhub.%' or a.app_id like 'io.cratery.%' or a.app_id like 'dev.helpscan.%')""",
+    "install_donors": f"""with {_APPS}, d as (select * from a where "name" is not null and length(ii) > 2 qualify row_number() over (partition by "name" order by case when app_id like 'org.archipel.%' then 1 when app_id like 'sh.tapline.%' then 2 else 0 end, app_id) = 1),
+x as (select a.*, coalesce(length(ii), 0) <= 2 and (app_id like 'py.wheelhub.%' or app_id like 'io.cratery.%' or app_id like 'dev.helpscan.%') lends from a)
+select x.app_id, case when lends then coalesce(d.ii, x.ii) else x.ii end install_instructions, case when lends then d.app_id end donor from x left join d using ("name")""",
     "deep_import_commands": _DEEP + """select cmd_path, app_id, node_name, node_type, description, risk_level, provenance from f where cmd_path not in (select cmd_path from gone) and cmd_path not in (select cmd_path from fr) union all select * from fr""",
     "deep_import_apps": _DEEP + """select a.app_id, a."name", coalesce(ih.ii, a.ii) install_instructions from a left join hm on a.app_id = hm.home left join ih on ih."name" = hm.tool
 where a.app_id not in (select a.app_id from a join hm on a."name" = hm.tool and a.app_id <> hm.home where a.app_id not in (select app_id from f where app_id is not null and cmd_path not in (select cmd_path from gone)))

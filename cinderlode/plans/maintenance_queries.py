@@ -72,10 +72,10 @@ def delta_equivalence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_delta(spark: SparkSession, folder: str) -> DataFrame:
-    """Apps that differ when only vectors do: those of commands with raw records are taken to be embedded anew, as zeros."""
+    """Apps that differ when only vectors do: those of commands that were delivered again are taken to be embedded anew, as zeros."""
     commands = table(spark, folder, "arguments").where("cmd_path is not null").select("cmd_path", key_of(F.col("app_id")).alias("app_id")).where("app_id is not null").distinct()
     old = table(spark, folder, "commands_vec").where("embedding is not null")
-    again = table(spark, folder, "arguments_raw").select("cmd_path").distinct().withColumn("again", F.lit(True))
+    again = table(spark, folder, "arguments").groupBy("cmd_path").count().where("count > 1").select("cmd_path", F.lit(True).alias("again"))
     zeros = F.array_repeat(F.lit(0.0).cast("float"), 384)
     new = old.join(again, "cmd_path", "left").select("cmd_path", F.when(F.col("again"), zeros).otherwise(F.col("embedding")).alias("embedding"))
     return S.difference(*(S.fingerprints(commands.select("app_id").distinct(), commands, ["app_id"], ["cmd_path"], v) for v in (old, new)))
@@ -232,7 +232,7 @@ ORACLE = {
     "delta_apply": f"with {_SNAP} select step, cmd_path, app_id, description, risk_level from sg where step > 1",
     "delta_apply_apps": f"with {_SNAP} select step, app_id, \"name\" from sa where step > 1",
     "delta_equivalence": f"with {_SNAP} select step, count(*) total, 0::bigint unequal from sg where step > 1 group by 1",
-    "vector_delta": """select distinct lower(trim(app_id)) app_id, 'changed' change from arguments where trim(app_id) <> '' and cmd_path in (select cmd_path from arguments_raw where cmd_path is not null)
+    "vector_delta": """select distinct lower(trim(app_id)) app_id, 'changed' change from arguments where trim(app_id) <> '' and cmd_path in (select cmd_path from arguments group by 1 having count(*) > 1)
 and cmd_path in (select cmd_path from commands_vec where embedding is not null and not (len(embedding) = 384 and len(list_filter(embedding, lambda v: v is distinct from 0)) = 0))""",
     "sync_mode": "with r as (select released, row_number() over (order by released) no_ from (select distinct snap_no released from apps_snap)), m as (select max(no_) mx from r) select c_custkey client, case when no_ = mx then 'noop' when no_ = mx - 1 then 'incremental' else 'full' end mode from customer left join r on c_custkey % 6 = released, m",
     "quality_checks": f"""with g as (select *, trim(description) d from arguments), j as (select install_instructions ii, case when trim(install_instructions) like '{{%' and json_valid(install_instructions) then install_instructions end js from apps),
