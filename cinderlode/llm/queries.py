@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlode.core import stage, table
-from cinderlode.llm.fusion import command_claims, posteriors, survivors
+from cinderlode.llm.fusion import SAYS_NOTHING, STAND_INS, command_claims, posteriors, survivors
 from cinderlode.llm.leaks import decontaminated, leak_report, leaked_passages
 from cinderlode.llm.mixture import mixture
 from cinderlode.llm.neardup import groups, letters_of, near_duplicates
@@ -53,7 +53,7 @@ def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 def _fused(spark: SparkSession, folder: str, prior: str) -> DataFrame:
     claimed = stage(command_claims(table(spark, folder, "arguments_raw"), table(spark, folder, "apps")))
-    return survivors(claimed, posteriors(claimed), prior)
+    return survivors(claimed, posteriors(claimed, prior=prior))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,10 +120,12 @@ r as (select *, lower(regexp_replace(provenance, '^\\s+|\\s+$', '', 'g')) p from
 f as (select canon_path, 'app_id' field_name, rec_id, app_id v, p, loaded_at from r where lower(trim(app_id)) in (select k from a)
   union all select canon_path, 'description', rec_id, description, p, loaded_at from r
   union all select canon_path, 'example_template', rec_id, example_template, p, loaded_at from r),
-u as (select * from f where v is not null and lower(trim(v)) not in ('', '-', '???', 'n/a', 'none', 'null', 'tbd', 'todo', 'to be written', 'no description available.', '<example>'))
+w as (select *, regexp_replace(lower(v), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g') core from f),
+u as (select * from w where core <> '' and core not in (STAND_INS) and not regexp_matches(core, 'SAYS_NOTHING'))
 select canon_path, field_name, rec_id from u qualify row_number() over (partition by canon_path, field_name
   order by case p when 'probe' then 0 when 'manual' then 1 when 'inferred' then 2 else 3 end, loaded_at desc nulls last, rec_id) = 1
 """
+_SURVIVORS = _SURVIVORS.replace("STAND_INS", ", ".join(f"'{w}'" for w in STAND_INS)).replace("SAYS_NOTHING", SAYS_NOTHING)
 _VECTORS = """
 with u as (select cmd_path k, embedding e from commands_vec where len(embedding) = 384 and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(embedding, lambda v: v <> 0)) > 0),
 v as (select k, list_transform(e, lambda z: z / sqrt(list_inner_product(e::double[], e::double[])))::float[384] e from u),
