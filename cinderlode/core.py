@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_STAGES: list[str] = []
 
 
 def session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -64,11 +65,42 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and return a scan of it: lineage ends there and a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    """Write df as a table in the shared folder and return a scan of it: lineage ends there and a lost executor costs no recomputation.
+
+    Staged tables are dropped by drop_stages, and at the latest when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    if not _STAGES:
+        atexit.register(drop_stages, spark)
+    _STAGES.append(path)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete what stage has written so far; to be called when the results that read it are stored."""
+    try:
+        for path in _STAGES:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended before: nothing can be reached any more
+        return
+    _STAGES.clear()
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, hot_rows: int = 100_000, salts: int = 64, how: str = "inner") -> DataFrame:
+    """many joined with few, which has at most one row a key, so that no key of many's lands in one task.
+
+    Keys with more than hot_rows rows in many, found by a count that is combined before its shuffle, are spread over salts tasks by a
+    hash of the row, to each of which few's row of the key is sent; there are at most count / hot_rows such keys, so they are broadcast.
+    """
+    hot = many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    left = many.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = few.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -59,12 +59,27 @@ def name_score(package: Column, project: Column) -> Column:
     return F.when(p == q, 100).when(F.startswith(p, q) & (rest == ""), 80).when(F.contains(p, q) & ~p.rlike("lib32|lib64|debug|doc|dev|git"), 60).when(p.rlike("lib32|lib64|debug|doc|dev|-git|-nox"), 10).otherwise(30)
 
 
-def manager_of(repository: Column) -> Column:
+def manager_of(repository: Column, table: list[tuple[str, str]] = L.REPOSITORY_PREFIXES) -> Column:
     """The package manager of a repository by the first prefix that fits; null if none does."""
-    prefixes = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(m).alias("m")) for p, m in L.REPOSITORY_PREFIXES))
+    prefixes = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(m).alias("m")) for p, m in table))
     return F.get(F.filter(prefixes, lambda x: F.startswith(F.lower(repository), x["p"])), F.lit(0))["m"]
 
 
+def package_in(repository: Column, binary: Column, source: Column) -> Column:
+    """The name a package is installed by: its source's name where the repository goes by that, else its own; either if one is empty."""
+    own, src = F.nullif(binary, F.lit("")), F.nullif(source, F.lit(""))
+    by_source = F.exists(F.array(*map(F.lit, L.BY_SOURCE_NAME)), lambda p: F.startswith(F.lower(repository), p))
+    return F.when(by_source, F.coalesce(src, own)).otherwise(F.coalesce(own, src))
+
+
+def package_keys(m: Column, name: Column, always_name: bool) -> Column:
+    """Lower-cased package names of an app's install commands; its name too, or only where there are no others."""
+    told = F.filter(F.transform(F.array(*map(F.lit, L.PACKAGE_MANAGERS)), lambda k: F.lower(package_of(m[k]))), lambda p: F.coalesce(p != "", F.lit(False)))
+    told = F.coalesce(told, F.array().cast("array<string>"))
+    own = F.filter(F.array(F.lower(name)), lambda p: F.coalesce(p != "", F.lit(False)))
+    return F.array_distinct(F.concat(told, own) if always_name else F.when(F.size(told) > 0, told).otherwise(own))
+
+
 def popularity(repositories: Column, cap: int = L.POPULARITY_CAP) -> Column:
     return F.least(F.lit(1.0), F.log1p(repositories) / F.log1p(F.lit(cap)))
 

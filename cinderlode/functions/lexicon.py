@@ -60,6 +60,16 @@ REPOSITORY_PREFIXES = [
     ("opensuse", "zypper"), ("freebsd", "pkg"), ("pkgsrc", "pkg"), ("scoop", "scoop"), ("chocolatey", "choco"), ("winget", "winget"), ("homebrew", "brew"), ("macports", "brew"), ("arch", "pacman"), ("artix", "pacman"),
     ("manjaro", "pacman"), ("aur", "yay"), ("crates_io", "cargo"), ("pypi", "pip"),
 ]
+#: The longer table, of repository names as a live index gives them.
+INDEX_PREFIXES = [
+    ("debian", "apt"), ("ubuntu", "apt"), ("kali", "apt"), ("raspbian", "apt"), ("linuxmint", "apt"), ("parrot", "apt"), ("pureos", "apt"), ("devuan", "apt"), ("trisquel", "apt"), ("pardus", "apt"), ("fedora", "dnf"),
+    ("epel", "dnf"), ("openeuler", "dnf"), ("rosa", "dnf"), ("centos", "dnf"), ("alpine", "apk"), ("gentoo", "emerge"), ("liguros", "emerge"), ("nix_", "nix-env"), ("nixpkgs", "nix-env"), ("opensuse", "zypper"),
+    ("freebsd", "pkg"), ("openbsd", "pkg"), ("pkgsrc", "pkg"), ("scoop", "scoop"), ("chocolatey", "choco"), ("winget", "winget"), ("homebrew", "brew"), ("macports", "brew"), ("arch", "pacman"), ("artix", "pacman"),
+    ("manjaro", "pacman"), ("parabola", "pacman"), ("archpower", "pacman"), ("aur", "yay"), ("crates_io", "cargo"), ("pypi", "pip"),
+]
+#: Repositories whose packages are known by their source's name, and managers whose commands name an app's packages.
+BY_SOURCE_NAME = ["gentoo", "liguros"]
+PACKAGE_MANAGERS = ["pacman", "apt", "brew", "cargo", "dnf", "zypper", "apk", "yay", "pip", "npm"]
 BAD_DESCRIPTIONS = ["a tool", "a cli", "a command", "a utility", "todo", "placeholder", "unknown", "n/a", "none", "example", "test"]
 SHELL_OPERATORS = ["|", "&&", "||", ";", ">", "<", ">>", "2>"]
 RISKS = ["safe", "medium", "dangerous"]

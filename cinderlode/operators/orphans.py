@@ -1,9 +1,11 @@
 """References to records that do not exist, or not at the time they were made.
 
-A parent key is a number (its code) and is listed over spans of time; (code, time) is one long integer key, so that every
-listing span is a run of consecutive keys. Parent spans are sorted and compressed into contiguous runs; each distinct reference
-key is matched as of the preceding run start and is an orphan beyond the run's end. Hot keys are cut by slices of time: each
-(code, slice) is sorted by itself and gets what ran before it from a small table of one row a slice, so no task sees a whole key.
+All keys, those of parents and those referred to, get dense integer codes in the order of the keys (within a hash part). The codes
+of parents are sorted and compressed into contiguous runs; each distinct referred code is matched as of the preceding run start and is
+missing beyond the run's end. The same is done for time: a parent is listed over spans, so that (code, time) is one long integer key
+and every span a run of consecutive keys; a reference beyond the run's end is an orphan of a parent that comes later or is gone.
+Long sequences are cut in slices: each (code, slice) is sorted by itself and gets what ran before it from a small table of one
+row a slice, so no task sees a whole key or part. Joins on the key alone spread keys that many references name.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlode.core import key_of
+from cinderlode.core import key_of, spread_join, stage
 
 FOREVER = 2**62
 
@@ -70,7 +72,7 @@ def asof(run_table: DataFrame, keys: DataFrame, slice_us: int = 86_400_000_000)
 
 def orphans(
     references: DataFrame, parents: DataFrame, ref_row: str, ref_key: str, ref_time: str, parent_key: str, listed_from: str, listed_to: str | None = None,
-    code_parts: int = 4096, slice_us: int = 86_400_000_000,
+    code_parts: int = 4096, slice_us: int = 86_400_000_000, slice_keys: int = 65_536, hot_rows: int = 100_000,
 ) -> DataFrame:
     """Rows of references whose key has no parent listed at their time.
 
@@ -78,17 +80,23 @@ def orphans(
     Keys are compared trimmed and lower-cased. Null or blank keys and null times refer to nothing: no row. A parent without a
     begin is never listed but exists; without an end it stays listed. Repeated rows and ties give one answer each; extra columns are ignored.
     """
-    parent = parents.select(key_of(F.col(parent_key)).alias("k"), _micros(F.col(listed_from)).alias("s"), (F.coalesce(_micros(F.col(listed_to)), F.lit(FOREVER)) if listed_to else F.lit(FOREVER)).alias("e")).where("k is not null").distinct()
+    until = F.coalesce(_micros(F.col(listed_to)), F.lit(FOREVER)) if listed_to else F.lit(FOREVER)
+    parent = parents.select(key_of(F.col(parent_key)).alias("k"), _micros(F.col(listed_from)).alias("s"), until.alias("e")).where("k is not null").distinct()
     refs = references.select(F.col(ref_row).alias("row_key"), key_of(F.col(ref_key)).alias("k"), F.col(ref_time).alias("at")).where("k is not null and at is not null")
-    points = refs.select("k", _micros(F.col("at")).alias("t")).distinct()
-    firsts = parent.groupBy("k").agg(F.min("s").alias("first"))
-    codes = firsts.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(code_parts))).withColumn(
-        "code", F.row_number().over(Window.partitionBy("part").orderBy("k")) * F.lit(code_parts) + F.col("part")).drop("part")
-    coded_points = points.join(codes, "k", "left")
-    missing = coded_points.where("code is null").select("k", "t", F.lit("missing").alias("orphan_kind"))
-    matched = asof(runs(parent.join(codes, "k").select("code", F.col("s").alias("start"), F.col("e").alias("end")), slice_us=slice_us), coded_points.where("code is not null"), slice_us)
+    points = stage(refs.select("k", _micros(F.col("at")).alias("t")).distinct())
+    firsts = parent.groupBy("k").agg(F.min("s").alias("first"), F.lit(True).alias("is_parent"))
+    keys = points.select("k").distinct().join(firsts, "k", "full_outer").withColumn("part", F.pmod(F.xxhash64("k"), F.lit(code_parts)))
+    codes = stage(keys.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("k")).cast("long")).withColumn("code", F.col("place") * F.lit(code_parts) + F.col("part")))
+    # Runs of consecutive parents; a key that is referred to and lies beyond the end of the run before it is missing.
+    there = runs(codes.where("is_parent").select(F.col("part").alias("code"), F.col("place").alias("start"), (F.col("place") + 1).alias("end")), slice_us=slice_keys)
+    known = asof(there, codes.select(F.col("part").alias("code"), F.col("place").alias("t")), slice_keys).where("run_end is null or t >= run_end").select(F.col("code").alias("part"), F.col("t").alias("place"), F.lit(True).alias("missing"))
+    judged = stage(codes.join(known, ["part", "place"], "left").select("k", "code", "first", F.coalesce("missing", F.lit(False)).alias("missing")))
+    coded_points = stage(spread_join(points, judged, "k", hot_rows))
+    missing = coded_points.where("missing").select("k", "t", F.lit("missing").alias("orphan_kind"))
+    listed = spread_join(parent, judged.select("k", "code"), "k", hot_rows)
+    matched = asof(runs(listed.select("code", F.col("s").alias("start"), F.col("e").alias("end")), slice_us=slice_us), coded_points.where("not missing").select("code", "t"), slice_us)
     beyond = (
-        matched.where("run_end is null or t >= run_end").join(codes, "code")
+        matched.where("run_end is null or t >= run_end").join(coded_points.where("not missing"), ["code", "t"])
         .select("k", "t", F.when(F.col("first").isNull() | (F.col("first") > F.col("t")), "late").otherwise("deleted").alias("orphan_kind"))
     )
     return (

@@ -11,12 +11,13 @@ from cinderlode.operators.snapshots import map_value, snapshot_changes, text_val
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
-    apps = table(spark, folder, "apps")
-    found = [
-        orphans(table(spark, folder, name), apps, row, "app_id", "loaded_at", "app_id", "loaded_at", "deleted_at").withColumn("ref_table", F.lit(name))
+    """Both tables' references at once: their distinct keys and times are few beside their rows."""
+    refs = [
+        table(spark, folder, name).select(F.struct(F.lit(name).alias("ref_table"), F.col(row).alias("row_key")).alias("row"), "app_id", "loaded_at")
         for name, row in (("arguments", "row_id"), ("arguments_raw", "rec_id"))
     ]
-    return found[0].unionByName(found[1])
+    found = orphans(refs[0].unionByName(refs[1]), table(spark, folder, "apps"), "row", "app_id", "loaded_at", "app_id", "loaded_at", "deleted_at")
+    return found.select("row_key.ref_table", "row_key.row_key", "ref_key", "ref_time", "orphan_kind")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,14 +5,17 @@ app_id, name, cmd_path, description, install_instructions (map), source, source_
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed patterns: names that are almost never a command-line tool.
-SKIP = (
-    "(?i)(^lib|^python2?-|^perl-|^ruby-|^haskell-|^ghc-|^rust-|^nodejs-|^golang-|-sdk$|-headers$|-dev$|-docs?$|-bindings$|-typelib$|-stubs$|-dkms$|-dbg$|-debug$|-git$|-svn$|-hg$|-bzr$|^ttf-|^otf-|-fonts?$|-themes?$|-icon-theme$|-icons$"
-    "|-cursor-theme$|-wallpapers?$|-gtk-theme$|-kde-theme$|-cursors$|-sounds?$|-emoji|-i18n-|-l10n-|-lang-|-translation|-locale)"
-)
+SKIP = [
+    "^lib", "^python-", "^python2-", "^perl-", "^ruby-", "^haskell-", "^ghc-", "^rust-", "^nodejs-", "^golang-", "-sdk$", "-headers$", "-dev$", "-docs?$", "-bindings$", "-typelib$", "-stubs$", "-dkms$", "-dbg$", "-debug$",
+    "-git$", "-svn$", "-hg$", "-bzr$", "^ttf-", "^otf-", "-fonts?$", "-theme$", "-themes$", "-icon", "-cursor-theme$", "-wallpapers?$", "-gtk-theme$", "-kde-theme$", "-cursors$", "-sounds?$", "-emoji", "-i18n-", "-l10n-", "-lang-",
+    "-translation", "-locale",
+]
 ALLOWED = ["libtree", "python-llm", "libcaca", "libxml2"]
 NAMESPACES = {"pip": "org.pypi", "npm": "com.npmjs", "aur": "org.archlinux", "cargo": "io.crates", "go": "io.pkg.go"}
 
@@ -25,7 +28,7 @@ def _record(df: DataFrame, app_id: Column, name: Column, description: Column, fa
 def aur(spark: SparkSession, path: str) -> DataFrame:
     """A dump of JSON packages (gz is read as it is): Name, Description, URL."""
     df = spark.read.schema("Name string, Description string, URL string").option("multiLine", True).json(path).where("Name <> ''")
-    df = df.where(F.col("Name").isin(*ALLOWED) | ~F.col("Name").rlike(SKIP))
+    df = df.where(F.col("Name").isin(*ALLOWED) | ~F.col("Name").rlike("(?i)" + "|".join(SKIP)))
     name = F.col("Name")
     return _record(df, F.concat(F.lit("org.archlinux.aur."), name), name, F.col("Description"), F.concat(name, F.lit(" (AUR package)")), F.create_map(F.lit("yay"), F.concat(F.lit("yay -S "), name), F.lit("paru"), F.concat(F.lit("paru -S "), name)), "aur", F.col("URL"))
 
@@ -66,19 +69,29 @@ def app_id_for(source: Column, package: Column) -> Column:
 
 
 def copy_dump(spark: SparkSession, path: str, table: str = "packages") -> DataFrame:
-    r"""Rows of the COPY block of a table in a plain SQL dump: one string column per name in the block's head.
+    r"""Rows of the COPY blocks of a table in plain SQL dumps: one string column per name in the block's head, and line, their order.
 
-    The block ends at the line \. ; \N is null. Lines of other blocks have another number of fields or stand before the head; the
-    bounds are found by position in the file, so a dump must be landed as one file per block or with one block of that table.
+    A block runs from its head to the next line \. of the same file; \N is null. Heads and ends, two lines a table of the dump,
+    are found first; the rows between them are then read in parallel, by their place in the file.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    head = lines.where(F.col("value").rlike(rf"^COPY (\S+\.)?{table} \(.*FROM stdin")).select("value").first()
-    if head is None:
-        return spark.createDataFrame([], "repo string")
-    names = [c.strip().strip('"') for c in head[0][head[0].index("(") + 1:head[0].index(")")].split(",")]
-    fields = F.split("value", "\t", -1)
-    body = lines.where((F.size(fields) == len(names)) & ~F.col("value").startswith("COPY ") & (F.col("value") != r"\."))
-    return body.select(*(F.when(fields[i] != r"\N", fields[i]).alias(n) for i, n in enumerate(names)))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("at"))
+    marks = sorted((r["file"], tuple(r["at"]), r["value"]) for r in lines.where((F.col("value") == r"\.") | F.col("value").rlike(r"^COPY \S+ \(.*FROM stdin")).collect())
+    rows = None
+    for n, (file, begin, head) in enumerate(marks):
+        if not re.match(rf"COPY (\S+\.)?{table} \(", head):
+            continue
+        end = next(((f, at) for f, at, v in marks[n + 1:] if f == file and v == r"\."), None)
+        names = [c.strip().strip('"') for c in head[head.index("(") + 1:head.index(")")].split(",")]
+
+        def limit(at):
+            return F.struct(F.lit(at[0]).cast("long").alias("block"), F.lit(at[1]).cast("long").alias("i"))
+
+        inside = (F.col("file") == file) & (F.col("at") > limit(begin)) & ((F.col("at") < limit(end[1])) if end else F.lit(True))
+        fields = F.split("value", "\t", -1)
+        block = lines.where(inside).select(*(F.when(F.get(fields, F.lit(i)) != r"\N", F.get(fields, F.lit(i))).alias(c) for i, c in enumerate(names)), F.struct("file", "at").alias("line"))
+        rows = block if rows is None else rows.unionByName(block, allowMissingColumns=True)
+    return spark.createDataFrame([], "repo string") if rows is None else rows
 
 
 def package_names(dump: DataFrame) -> DataFrame:

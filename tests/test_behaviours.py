@@ -11,14 +11,17 @@ from cinderlode.functions import helptext as H
 from cinderlode.functions import installs as I
 from cinderlode.functions import text as T
 from cinderlode.operators import curate as C
+from cinderlode.operators import enrich as X2
 from cinderlode.operators import evaluate as E
+from cinderlode.operators import intake as N
 from cinderlode.operators import sync as S
 from cinderlode.operators.cascade import Settings, search, with_skills
 from cinderlode.operators.index import best_with_any, build_index, prefix_hits, ranked, shares, with_all
 from cinderlode.operators.knn import knn, pack, unpack
 from cinderlode.plans import registry
+from cinderlode.sources import catalogue as K
 from cinderlode.sources import registries as R
-from cinderlode.streaming.feed import apply_feed, windowed_counts
+from cinderlode.streaming.feed import apply_feed, live, windowed_counts
 
 
 def one(spark, function, *values):
@@ -92,7 +95,6 @@ def test_overrides_sweep_twins_donors_libraries(spark):
     apps = spark.createDataFrame([("real", "docker", "x"), ("fake", "db", " "), ("fake2", "dd", None), ("broken", "tool", None), ("good", "Tool", '{"a":"b"}'), ("org.archlinux.python-x", "db", "y"), ("org.archlinux.aur.libfoo", "foo", None), ("libreoffice", "libreoffice", None)], "app_id string, name string, install_instructions string")
     assert [r["app_id"] for r in C.fabrications(args, apps, []).collect()] == ["fake"] and C.fabrications(args, apps, ["fa"]).count() == 0
     assert rows(C.broken_prefix_twins(args, apps)) == [("broken", "good")]
-    assert {r["app_id"]: r["donor"] for r in C.donors(apps).collect()}["fake"] == "org.archlinux.python-x"
     assert {r["app_id"] for r in C.libraries(apps, "org.archlinux.aur.").collect()} == {"org.archlinux.python-x", "org.archlinux.aur.libfoo"}
     full = spark.createDataFrame([("a", "old", "t", None), ("b", None, None, "e")], "cmd_path string, description string, topics string, example_template string")
     patch = spark.createDataFrame([("a", "new", None, "more", None)], "cmd_path string, description string, topics string, topics_append string, example_template string")
@@ -180,6 +182,74 @@ def test_help_texts():
     assert H.subcommands("") == [] and H.subcommands("<Commands>\n  a : Add\n<Switches>\n  -x : y\n") == [("a", "Add")]
 
 
+def test_help_readings():
+    assert H.described("Commands are run in parallel over many hosts.\nwarning: this is old\nIt waits for all.") == "Commands are run in parallel over many hosts. It waits for all."
+    assert H.described("Flag shorthand -h has been deprecated, use --help\nUsage:\n  look [options] <string>\n\nDisplay lines beginning with a string.\n") == "Display lines beginning with a string."
+    assert H.described("Process JSON data with filters [version 1.8.1]\n") == "Process JSON data with filters" and H.described("-a --all  everything\n  b c") == ""
+    assert H.described("short one") == "" and H.described("x [a] [b] -c <d> word") == ""
+    assert H.own_line("az storage : Manage storage.\n", "az storage") == "Manage storage."
+    assert H.own_line("tool d1 create <name> [x]\n\nCOMMANDS & MORE\n--flag\nMake one", "tool d1 create") == "Make one" and H.own_line(None, "x") == H.NO_DESCRIPTION and H.own_line("x\n-a", "x") == H.NO_DESCRIPTION
+
+
+def test_page_predicates_and_probe_risk(spark):
+    long = "An ordinary help page that tells what the tool does and how it is called, in more than eighty letters."
+    pages = [long, "[error] " + long, long + " unrecognized arguments: x", "x: error while loading " + long, "short", None, "a page of more than thirty letters, less than 80"]
+    df = spark.createDataFrame([(p,) for p in pages], "t string")
+    assert [tuple(r) for r in df.select(H.is_error_page(F.col("t")), H.is_error_page(F.col("t"), False)).collect()] == [(False, False), (True, False), (True, False), (False, True), (True, True), (True, True), (False, True)]
+    assert [one(spark, H.path_risk, p) for p in ("x.remove", "x.add", "x.show", "x.form")] == ["dangerous", "medium", "safe", "safe"] and one(spark, H.path_risk, "x.rmdir") == "dangerous"
+    assert one(spark, H.is_alias_page, "a", "a") and not one(spark, H.is_alias_page, "a", None) and one(spark, H.is_unknown_page, "Unknown help topic x") and not one(spark, H.is_unknown_page, None)
+    assert one(spark, H.picked_description, "tool\nMakes it", "tool", None) == "Makes it" and one(spark, H.picked_description, "tool\nMakes it", "tool", "listed") == "listed"
+
+
+def test_declared_tables(spark, tmp_path):
+    K.create(spark, str(tmp_path))
+    assert rows(K.missing_tables(spark, str(tmp_path))) == []
+    spark.createDataFrame([("a", "A")], "app_id string, title string").write.mode("overwrite").parquet(str(tmp_path / "apps.parquet"))
+    assert rows(K.missing_tables(spark, str(tmp_path))) == [("apps", "lacks name")] and ("meta", "absent") in rows(K.missing_tables(spark, str(tmp_path / "none")))
+    old = spark.createDataFrame([("p", "a", "more")], "cmd_path string, app_id string, more string")
+    assert K.conformed(old, "arguments").select("cmd_path", "provenance", "topics").first() == ("p", "inferred", None)
+    (tmp_path / "targets.json").write_text('{"targets": [{"name": "x", "path": "/bin/x"}]}')
+    assert rows(K.probe_targets(spark, str(tmp_path / "targets.json"))) == [("x", "/bin/x")] and K.probe_targets(spark, None).count() == 3
+
+
+def test_artefact_and_its_integrity(spark, tmp_path):
+    parts = {"deleted": spark.createDataFrame([("a",)], "app_id string"), "apps": spark.createDataFrame([("b", 1.0)], "app_id string, popularity double")}
+    told = S.write_artefact(parts, str(tmp_path / "d"), 7)
+    assert told.count() >= 2 and rows(S.damaged(spark, str(tmp_path / "d"), 7, list(parts))) == []
+    victim = next((tmp_path / "d" / "v7" / "apps").glob("part-*"))
+    victim.write_bytes(victim.read_bytes() + b"x")
+    (victim.parent / f".{victim.name}.crc").unlink(missing_ok=True)
+    assert {r["state"] for r in S.damaged(spark, str(tmp_path / "d"), 7, list(parts)).collect()} == {"changed"}
+
+
+def test_vectors_in_differences(spark):
+    apps = spark.createDataFrame([("a", "A"), ("b", "B")], "app_id string, name string")
+    g = spark.createDataFrame([("a.x", "a"), ("b.x", "b")], "cmd_path string, app_id string")
+    v1, v2 = (spark.createDataFrame(x, "cmd_path string, embedding array<float>") for x in ([("a.x", [1.0, 0.0]), ("b.x", [0.0, 1.0])], [("a.x", [1.0, 0.0]), ("b.x", [0.5, 1.0])]))
+    changes = S.difference(*(S.fingerprints(apps, g, ["name"], ["cmd_path"], v) for v in (v1, v2)))
+    assert rows(changes) == [("b", "changed")]
+    fresh = S.payload(changes, apps, g, v2)
+    assert {r["cmd_path"]: r["embedding"] for r in S.vectors_applied(v1, g, fresh["vectors"], changes, 2).collect()} == {"a.x": [1.0, 0.0], "b.x": [0.5, 1.0]}
+    assert {r["cmd_path"] for r in S.vectors_applied(v1, g, fresh["vectors"], changes, 3).collect()} == {"a.x"}
+    assert not S.reusable(spark.createDataFrame([("p", "t")], "cmd_path string, text string"), spark.createDataFrame([("p", "t")], "cmd_path string, text string"), "new", "old").first()["reuse"]
+
+
+def test_registry_import_donors_and_probes(spark):
+    have = spark.createDataFrame([("old",)], "cmd_path string")
+    new = spark.createDataFrame([("fd", "fd", "finds", 1), ("fd-bin", "fd-bin", "finds all", 2), ("old", "old", "x", 3), ("jq-bin", "jq-bin", "", 4), ("jq", "jq", "json data", 5), ("cov", "cov", "covered", 6), ("fd", "fd", "again", 7), (None, "n", "null", 8)], "cmd_path string, name string, description string, n int")
+    got = C.registry_import(have, new, spark.createDataFrame([("cov",), (None,)], "name string"), "n")
+    assert rows(got) == [("fd", "fd", "finds", 1), ("jq", "jq", "json data", 5), ("jq-bin", "jq-bin", "jq-bin — command-line tool", 4)]
+    apps = spark.createDataFrame([("com.github.x", "x", None), ("org.tldr.x", "x", '{"a":"tldr"}'), ("org.archlinux.x", "x", '{"a":"arch"}'), ("com.other.x", "x", "{}"), ("com.gitlab.y", "y", "")], "app_id string, name string, install_instructions string")
+    assert {r["app_id"]: r["donor"] for r in C.donors(apps).collect() if r["donor"]} == {"com.github.x": "org.archlinux.x"}
+    tries = spark.createDataFrame([("a", 1, "failed"), ("a", 2, "merged"), ("b", 1, "failed"), ("b", 2, "failed"), ("b", 3, "merged"), ("c", 1, "failed"), ("d", 1, "no-subcommands"), ("d", 2, "failed"), (None, 1, "x")], "tool string, at int, outcome string")
+    assert rows(N.probe_states(tries)) == [("a", 2, "merged", True), ("b", 2, "perma-failed", True), ("c", 1, "failed", False), ("d", 1, "no-subcommands", True)]
+    dump = spark.createDataFrame([("debian_12", "fd-find", "fd-find", None, 1), ("gentoo", "fd-find", "fd", "sys-apps/fd", 2), ("debian_13", "fd-find", "other", None, 0), ("odd", "fd-find", "z", None, 3)], "repo string, effname string, binname string, srcname string, n int")
+    some = spark.createDataFrame([("i", "fd", '{"cargo": "cargo install fd-find", "brew": null}'), ("j", "none", None)], "app_id string, name string, install_instructions string")
+    assert rows(X2.dump_installs(some, dump, "n")) == [("i", '{"apt":"apt install other","cargo":"cargo install fd-find","emerge":"emerge sys-apps/fd"}')]
+    names = spark.createDataFrame([("a", "fd-find"), ("a", "fd-find"), ("b", "fd"), ("c", "fd"), (None, "fd")], "repo string, name string")
+    assert [r["app_id"] for r in X2.dump_popularity(some, names, 100).where("round(popularity, 4) = round(ln(3) / ln(101), 4)").collect()] == ["i"]
+
+
 def test_help_columns_and_table_function(spark):
     df = spark.createDataFrame([(1, "Commands:\n  a   One\n"), (2, None)], "id int, text string")
     assert df.select(F.size(H.subcommands_of("text", F.array().cast("array<string>")))).collect()[0][0] == 1
@@ -204,7 +274,7 @@ def test_sources(spark, tmp_path):
     assert [(r["app_id"], r["source_url"]) for r in R.pypi(spark, pypi).collect()] == [("org.pypi.a", "c")]
     crates = put("crates.json", json.dumps({"crates": [{"id": "rg", "description": "grep", "homepage": "h"}]}))
     assert R.crates(spark, crates).first()["install_instructions"] == {"cargo": "cargo install rg"}
-    dump = put("dump.sql", "SET x;\nCOPY public.packages (repo, effname, binname, srcname, binnames) FROM stdin;\narch\tFD\tfd\t\\N\t{fd,fdfind}\ndebian\tfd\t\\N\tfd-find\t\\N\n\\.\n")
+    dump = put("dump.sql", "SET x;\nCOPY public.packages (repo, effname, binname, srcname, binnames) FROM stdin;\narch\tFD\tfd\t\\N\t{fd,fdfind}\ndebian\tfd\t\\N\tfd-find\t\\N\n\\.\nCOPY public.problems (a, b, c, d, e) FROM stdin;\nx\ty\tz\tu\tv\n\\.\n")
     names = R.package_names(R.copy_dump(spark, dump))
     assert rows(names) == [("arch", "fd"), ("arch", "fdfind"), ("debian", "fd"), ("debian", "fd-find")]
     put("pages/cli_git.json", json.dumps([{"cmd_path": "git", "path": ["git"], "text": "t"}]))
@@ -240,11 +310,15 @@ def test_stream_applies_each_change_once(spark, tmp_path):
 
     def run():
         apply_feed(spark, str(tmp_path / "in"), first.schema, str(tmp_path / "t"), str(tmp_path / "c"), "id", ["ts"], "v = 'gone'").awaitTermination()
-        return rows(S.VersionedTable(spark, str(tmp_path / "t")).read())
+        return rows(live(spark, str(tmp_path / "t")))
 
     assert run() == [(1, "a", 1), (2, "b", 1)] and run() == [(1, "a", 1), (2, "b", 1)]
     spark.createDataFrame([(1, "late", 0), (2, "gone", 5), (3, "c", 2), (3, "d", 3)], "id int, v string, ts int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    reader = S.VersionedTable(spark, str(tmp_path / "t")).read()
     assert run() == [(1, "a", 1), (3, "d", 3)]
+    assert reader.count() == 2  # what was read before the swap is still whole
+    spark.createDataFrame([(2, "older", 3), (3, "same", 3)], "id int, v string, ts int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == [(1, "a", 1), (3, "same", 3)]  # the deletion holds against a late, older change; of equal times the later delivery counts
 
 
 def test_verdicts_and_quantiles(spark):

@@ -7,6 +7,7 @@ import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
 
+from cinderlode.core import spread_join
 from cinderlode.operators.orphans import asof, orphans, runs
 from cinderlode.operators.snapshots import chunked, map_value, snapshot_changes, text_value
 from cinderlode.plans import general_queries as G
@@ -55,6 +56,10 @@ def test_hot_key_with_a_third_of_all_rows(spark):
     apps = spark.createDataFrame([("hot", at(1), at(2))], "app_id string, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
     kinds = orphans(refs, apps, "row_id", "app_id", "loaded_at", "app_id", "loaded_at", "deleted_at").groupBy("orphan_kind").count().collect()
     assert {r[0]: r[1] for r in kinds} == {"deleted": 1000, "missing": 2000}
+    many = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    few = spark.createDataFrame([("hot", 1), ("950", 2), ("x", 3)], "k string, v int")
+    assert spread_join(many, few, "k", hot_rows=100, salts=5).groupBy("v").count().orderBy("v").collect() == [(1, 900), (2, 1)]
+    assert spread_join(many, few, "k", hot_rows=100, salts=5, how="left").count() == 1000
 
 
 def changes(spark, data, **kw):
