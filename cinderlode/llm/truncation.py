@@ -24,13 +24,13 @@ DANGLING = r"[,;:(\[{“‘«–—→/&+=\-]$"
 WORD_END = r"[\p{L}\p{N}]$"
 
 
-def _limits(rows: DataFrame, chance: float, factor: float) -> DataFrame:
+def _limits(texts: DataFrame, chance: float, factor: float) -> DataFrame:
     """Lengths (source, unit, size) of a source, in letters or bytes, at which factor times as many different texts lie as around it.
 
     So many must also be unlikely (at most chance, by the Chernoff bound of a Poisson count) at the mean of the lengths around it.
     """
-    sizes = F.explode(F.array(F.struct(F.lit("letters").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size"))))
-    by_size = rows.select("source", "text").distinct().select("source", sizes.alias("s")).select("source", "s.*").groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
+    sizes = F.explode(F.array(*(F.struct(F.lit(unit).alias("unit"), F.col(unit).alias("size")) for unit in ("letters", "bytes"))))
+    by_size = texts.select("source", sizes.alias("s")).select("source", "s.*").groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-6, 6)
     around = (F.sum("n").over(w) - F.col("n") + 1) / 12  # one text more, so that a length without neighbours has a mean too
     surprise = F.col("n") * F.log(F.col("n") / F.col("around")) - F.col("n") + F.col("around")
@@ -39,54 +39,61 @@ def _limits(rows: DataFrame, chance: float, factor: float) -> DataFrame:
 
 def truncated(
     records: DataFrame, row_id: str, text: str, source: str, rare: float = 0.004, least_mass: int = 4, ends_at_limit: float = 0.5, ends_elsewhere: float = 0.002, spike: float = 1e-6, spike_factor: float = 4.0, cut_words: float = 0.2,
+    shared: int = 3,
 ) -> DataFrame:
     """One row per record: row_id, source, cut, reason in mark, dangling, word, sentence, null where not cut.
 
     rare: a final token with at most this share of the occurrences of longer words that begin with it is a fragment, if those are
     at least least_mass. ends_at_limit, ends_elsewhere: a final word after which sentences end with a smaller probability is inside
     a sentence, for texts at a limit of their source and for others. spike, spike_factor: a length is a spike where so many texts have
-    at most this probability beside the lengths around it, and are this many times as many. cut_words: the share of cut words that makes a spike a limit. Null, blank and stand-in texts (without any letter or digit) are not
-    cut. A text is judged the same wherever it is repeated in a source, rows with a null id or source are judged too.
+    at most this probability beside the lengths around it, and are this many times as many. cut_words: the share of cut words that
+    makes a spike a limit. shared: a text that so many sources state alike, away from their limits, is a phrase of its own, as cuts
+    do not agree. Null, blank and stand-in texts (without any letter or digit) are not cut. A text is judged the same wherever it is repeated in a source, rows with a null id or source are judged too.
     """
+    state = (
+        F.when(F.col("t").isNull() | ~F.col("t").rlike(r"[\p{L}\p{N}]"), "none").when(F.lower("t").rlike(LEFT_OUT), "mark").when(F.col("t").rlike(FULL_STOP), "whole")
+        .when(F.col("t").rlike(DANGLING) & F.col("t").rlike(r"\s"), "dangling").when(F.col("t").rlike(WORD_END), "open").otherwise("whole")
+    )
     rows = stage(
-        records.select(F.col(row_id).alias("row_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-        .withColumn("t", trimmed(F.col("text")))
-        .withColumn("state", F.when(F.col("t").isNull() | ~F.col("t").rlike(r"[\p{L}\p{N}]"), "none").when(F.lower("t").rlike(LEFT_OUT), "mark").when(F.col("t").rlike(FULL_STOP), "whole")
-                    .when(F.col("t").rlike(DANGLING) & F.col("t").rlike(r"\s"), "dangling").when(F.col("t").rlike(WORD_END), "open").otherwise("whole"))
+        records.select(F.col(row_id).alias("row_id"), F.col(source).alias("source"), F.col(text).alias("text")).withColumn("t", trimmed(F.col("text")))
+        .select("row_id", "source", "t", state.alias("state"), F.length("text").alias("letters"), F.octet_length("text").alias("bytes"))
     )
-    at_limit = rows.where("state <> 'none'").transform(_limits, spike, spike_factor)
-    by_source = at_limit.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "letters", F.col("size"))).alias("in_letters"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("in_bytes"))
-    judged = rows.join(by_source, "source", "left").withColumn(
-        "at_limit", F.coalesce(F.array_contains("in_letters", F.length("text")) | F.array_contains("in_bytes", F.octet_length("text")), F.lit(False))).drop("in_letters", "in_bytes")
+    # Each text counts once a source, however often it is delivered. Its tokens are found once.
+    once = rows.where("state <> 'none'").groupBy("source", "t").agg(F.first("state").alias("state"), F.min("letters").alias("letters"), F.min("bytes").alias("bytes"))
+    texts = stage(once.withColumn("pattern", F.lit(TOKEN)).withColumn("tokens", F.expr("regexp_extract_all(lower(t), pattern, 0)")).drop("pattern"))
+    at_limit = stage(_limits(texts, spike, spike_factor))
+    sizes = [at_limit.where(F.col("unit") == unit).select(F.col("source").alias("_s"), F.col("size").alias("_n"), F.lit(True).alias(f"_{unit}")) for unit in ("letters", "bytes")]
+
+    def placed(df: DataFrame) -> DataFrame:
+        """df with at_limit: whether the text has a length at which its source has a spike."""
+        for unit, table in zip(("letters", "bytes"), sizes):
+            df = df.join(table, F.expr(f"source <=> _s and {unit} = _n"), "left").drop("_s", "_n")
+        return df.withColumn("at_limit", F.coalesce("_letters", "_bytes", F.lit(False))).drop("_letters", "_bytes")
 
     # Each token with the two before it, and whether a sentence ends there: 1 yes, 0 no, null where the text stops without a stop.
-    tokens = F.expr("regexp_extract_all(lower(t), pattern, 0)")
     step = F.expr(
         "transform(sequence(1, size(tokens)), i -> struct(get(tokens, i - 3) as u, get(tokens, i - 2) as v, tokens[i - 1] as w,"
         " case when i < size(tokens) then int(tokens[i] in ('.', '!', '?', '。', '！', '？')) end as stops))"
     )
-    listed = judged.where("state <> 'none'").withColumn("pattern", F.lit(TOKEN)).withColumn("tokens", tokens)
-    # Each text counts once a source, however often it is delivered.
-    words = listed.select("source", "t", "tokens").dropDuplicates(["source", "t"]).select(F.explode(step).alias("s")).select("s.*")
+    words = texts.select(F.explode(step).alias("s")).select("s.*")
     grams = stage(
         words.where(r"w rlike '[\\p{L}\\p{N}]'").withColumn("u", F.coalesce("u", F.lit("^"))).withColumn("v", F.coalesce("v", F.lit("^")))
-        .groupBy("u", "v", "w").agg(F.sum(F.when(F.col("stops") == 1, 1).otherwise(0)).alias("e"), F.sum(F.when(F.col("stops") == 0, 1).otherwise(0)).alias("i"))
-    )
-    last = stage(
-        listed.where("state = 'open'").select("row_id", "source", "t", "at_limit", F.expr("coalesce(get(tokens, size(tokens) - 3), '^')").alias("u"), F.expr("coalesce(get(tokens, size(tokens) - 2), '^')").alias("v"), F.expr("tokens[size(tokens) - 1]").alias("w"))
+        .groupBy("u", "v", "w").agg(F.sum(F.when(F.col("stops") == 1, 1).otherwise(0)).alias("e3"), F.sum(F.when(F.col("stops") == 0, 1).otherwise(0)).alias("i3"))
     )
-    kinds = stage(last.select("u", "v", "w").distinct())
+    two = stage(grams.groupBy("v", "w").agg(F.sum("e3").alias("e2"), F.sum("i3").alias("i2")))
+    one = stage(two.groupBy("w").agg(F.sum("e2").alias("e1"), F.sum("i2").alias("i1")))
+    last = texts.where("state = 'open'").select("source", "t", "letters", "bytes", F.expr("coalesce(get(tokens, size(tokens) - 3), '^')").alias("u"), F.expr("coalesce(get(tokens, size(tokens) - 2), '^')").alias("v"), F.expr("tokens[size(tokens) - 1]").alias("w"))
+    last = stage(placed(last).drop("letters", "bytes"))
+    # Texts that stop without a stop and away from a limit count half as ends, each once a source and never for themselves.
+    opens = last.groupBy("u", "v", "w").agg(F.sum(F.expr("int(not at_limit)")).alias("o3"))
+    kinds = stage(opens)
+    pairs = kinds.groupBy("v", "w").agg(F.sum("o3").alias("o2"))
+    asked = stage(pairs.groupBy("w").agg(F.sum("o2").alias("o1")))
     # The trie below the tokens in question: occurrences of longer words, alone and after the same word.
-    spoken = grams.groupBy("v", "w").agg(F.sum(F.col("e") + F.col("i")).alias("n")).where("n > 0")
-    single = spoken.groupBy("w").agg(F.sum("n").alias("n"))
     prefixes = F.expr("transform(sequence(1, length(w) - 1), i -> left(w, i))")
-    asked = kinds.select("w").distinct()
-    trie1 = single.where("length(w) > 1").select("n", F.explode(prefixes).alias("w")).join(asked, "w", "left_semi").groupBy("w").agg(F.sum("n").alias("mass1"))
-    trie2 = spoken.where("length(w) > 1").select("v", "n", F.explode(prefixes).alias("w")).join(kinds.select("v", "w").distinct(), ["v", "w"], "left_semi").groupBy("v", "w").agg(F.sum("n").alias("mass2"))
-    # Texts that stop without a stop and away from a limit count half as ends, each once a source and never for themselves.
-    opens = last.where("not at_limit").select("source", "t", "u", "v", "w").distinct().groupBy("u", "v", "w").agg(F.count("*").alias("o3"))
-    one = grams.groupBy("w").agg(F.sum("e").alias("e1"), F.sum("i").alias("i1"))
-    two = grams.groupBy("v", "w").agg(F.sum("e").alias("e2"), F.sum("i").alias("i2"))
+    longer = "length(w) > 1"
+    trie1 = one.where(longer).select((F.col("e1") + F.col("i1")).alias("n"), F.explode(prefixes).alias("w")).join(asked.select("w"), "w", "left_semi").groupBy("w").agg(F.sum("n").alias("mass1"))
+    trie2 = two.where(longer).select("v", (F.col("e2") + F.col("i2")).alias("n"), F.explode(prefixes).alias("w")).join(pairs.select("v", "w"), ["v", "w"], "left_semi").groupBy("v", "w").agg(F.sum("n").alias("mass2"))
 
     def chance(others: str, weight: str):
         o1, o2, o3 = (f"0.5D * greatest(o{k} - {others}, 0)" for k in (1, 2, 3))
@@ -94,20 +101,23 @@ def truncated(
         p2 = f"(e2 + {o2} + {weight} * {p1}) / (e2 + i2 + {o2} + {weight})"
         return F.expr(f"(e3 + {o3} + {weight} * {p2}) / (e3 + i3 + {o3} + {weight})")
 
+    # What is known of a word, of a word after another, and of the three together is put together level by level.
+    of_word = asked.join(one, "w", "left").join(trie1, "w", "left")
+    of_pair = pairs.join(two, ["v", "w"], "left").join(trie2, ["v", "w"], "left").join(of_word, "w")
     verdict = (
-        kinds.join(one, "w", "left").join(two, ["v", "w"], "left").join(grams.selectExpr("u", "v", "w", "e as e3", "i as i3"), ["u", "v", "w"], "left")
-        .join(opens, ["u", "v", "w"], "left").join(opens.groupBy("v", "w").agg(F.sum("o3").alias("o2")), ["v", "w"], "left").join(opens.groupBy("w").agg(F.sum("o3").alias("o1")), "w", "left")
-        .join(trie1, "w", "left").join(trie2, ["v", "w"], "left").na.fill(0)
+        kinds.join(grams, ["u", "v", "w"], "left").join(of_pair, ["v", "w"]).na.fill(0)
         .withColumn("p_limit", chance("0", "2D")).withColumn("p_else", chance("1", "20D"))
         .withColumn("fragment", F.expr(f"(mass1 >= {least_mass} and e1 + i1 <= {rare}D * mass1) or (mass2 >= {least_mass} and e2 + i2 + greatest(o2 - 1, 0) <= {rare}D * mass2 and e1 + i1 <= 10 * mass2)"))
     )
-    ended = last.join(verdict.select("u", "v", "w", "p_limit", "p_else", "fragment"), ["u", "v", "w"])
+    judged = stage(last.join(verdict.select("u", "v", "w", "p_limit", "p_else", "fragment"), ["u", "v", "w"]).select("source", "t", "at_limit", "p_limit", "p_else", "fragment"))
     # A spike is a limit only where many of its texts end inside words; texts of one make may share a length without being cut.
-    sure = ended.where("at_limit").groupBy(F.col("source").alias("limiting")).agg(F.avg(F.col("fragment").cast("double")).alias("f")).where(F.col("f") >= cut_words)
-    ended = ended.join(sure, F.expr("source <=> limiting"), "left").withColumn("at_limit", F.col("at_limit") & F.col("f").isNotNull()).withColumn(
-        "reason", F.when(F.col("fragment"), "word").when(F.when(F.col("at_limit"), F.col("p_limit") < ends_at_limit).otherwise(F.col("p_else") < ends_elsewhere), "sentence"))
-    rest = judged.where("state <> 'open'").select("row_id", "source", F.when(F.col("state").isin("mark", "dangling"), F.col("state")).alias("reason"))
-    return ended.select("row_id", "source", "reason").unionByName(rest).select("row_id", "source", F.col("reason").isNotNull().alias("cut"), "reason")
+    sure = judged.where("at_limit").groupBy(F.col("source").alias("limiting")).agg(F.avg(F.col("fragment").cast("double")).alias("f")).where(F.col("f") >= cut_words)
+    phrases = judged.groupBy("t").agg(F.count("*").alias("n"), F.max("at_limit").alias("any")).where((F.col("n") >= shared) & ~F.col("any")).select(F.col("t").alias("_p"))
+    ended = judged.join(F.broadcast(sure), F.expr("source <=> limiting"), "left").withColumn("at_limit", F.col("at_limit") & F.col("f").isNotNull()).join(phrases, F.expr("t = _p"), "left").select(
+        F.col("source").alias("_s"), F.col("t").alias("_t"),
+        F.when(F.col("_p").isNotNull(), None).when(F.col("fragment"), "word").when(F.when(F.col("at_limit"), F.col("p_limit") < ends_at_limit).otherwise(F.col("p_else") < ends_elsewhere), "sentence").alias("open_reason"))
+    found = rows.join(ended, F.expr("state = 'open' and source <=> _s and t = _t"), "left").withColumn("reason", F.when(F.col("state").isin("mark", "dangling"), F.col("state")).otherwise(F.col("open_reason")))
+    return found.select("row_id", "source", F.col("reason").isNotNull().alias("cut"), "reason")
 
 
 def truncation_report(records: DataFrame, row_id: str, text: str, source: str) -> DataFrame:

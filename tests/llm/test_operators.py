@@ -52,10 +52,19 @@ def test_cut_sentence_in_a_feed_without_cut_words(spark):
 def test_limit_of_a_small_feed(spark):
     rows_ = [("small", f"{i:02d}" + "x" * 178) for i in range(7)] + [("small", "y" * n) for n in (150, 171, 176, 185, 190)] + [("even", f"{i}" + "z" * n) for n in range(60, 80) for i in range(7)]
     given = inspect.signature(truncated).parameters
-    found = {(r["source"], r["unit"], r["size"]) for r in _limits(spark.createDataFrame(rows_, "source string, text string"), given["spike"].default, given["spike_factor"].default).collect()}
+    texts = spark.createDataFrame([(s, len(t), len(t)) for s, t in rows_], "source string, letters int, bytes int")
+    found = {(r["source"], r["unit"], r["size"]) for r in _limits(texts, given["spike"].default, given["spike_factor"].default).collect()}
     assert found == {("small", "letters", 180), ("small", "bytes", 180)}
 
 
+def test_phrases_of_several_feeds_are_whole(spark):
+    helper = [(i, f"f{i % 9}", f"Interactive helper {i} for the volume") for i in range(2000)]
+    for feeds, want in ((4, [None] * 4), (2, ["word"] * 2)):
+        data = [*helper, *((9000 + i, f"f{i}", "Print help") for i in range(feeds))]
+        got = truncated(spark.createDataFrame(data, "row_id long, feed string, text string"), "row_id", "text", "feed").where("row_id >= 9000").orderBy("row_id").collect()
+        assert [r["reason"] for r in got] == want
+
+
 # 2: near-duplicates
 def edits(a, b):
     row = list(range(len(b) + 1))
