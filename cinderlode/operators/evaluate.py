@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlode.functions import lexicon as L
 from cinderlode.functions import text as T
 
+#: How bad a kind of failure is, 0 the worst.
 SEVERITY = {"not_found": 0, "canonical_burial": 1, "inferred_attractor": 1, "sibling_misorder": 2, "genuine_ambiguity": 3}
 
 
@@ -25,16 +26,20 @@ def metrics(ranks: DataFrame, by: str | None = None) -> DataFrame:
     return ranks.rollup(by).agg(*columns) if by else ranks.agg(*columns)
 
 
-def quantiles(values: DataFrame, value: str, by: str) -> DataFrame:
+def quantiles(values: DataFrame, value: str, by: str, slices: int = 64) -> DataFrame:
     """Per group: the value at index floor(q n) of the sorted values for five q, and the interpolated median.
 
-    Positions come from a window over counted distinct values, so a group of many equal values stays small.
+    Equal values are counted first. A group is cut in slices at approximate quantiles, which only part the work: counts up to a value are summed
+    within its slice and over the slices before it, so the result is exact and no task sorts a whole group.
     """
-    from pyspark.sql import Window
-
     counted = values.where(f"{value} is not null").groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by).orderBy("v")
-    placed = counted.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    bounds = counted.groupBy(by).agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 1000).alias("bounds"))
+    bounds = bounds.withColumnRenamed(by, "_b")
+    cut = counted.join(F.broadcast(bounds), F.expr(f"`{by}` <=> _b")).select(by, "v", "c", F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("slice"))
+    per = cut.groupBy(by, "slice").agg(F.sum("c").alias("s"))
+    all_, ahead = Window.partitionBy(by), Window.partitionBy(by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col(by).alias("_b"), F.col("slice").alias("_s"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("before"), F.sum("s").over(all_).alias("n"))
+    placed = cut.join(F.broadcast(per), F.expr(f"`{by}` <=> _b and slice = _s")).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(by, "slice").orderBy("v")))
 
     def at(index):
         return F.min(F.when(F.col("upto") > index, F.col("v")))
@@ -70,6 +75,11 @@ def verdicts(cases: DataFrame, results: DataFrame, k: int = 5, near: int = 20) -
     return per.withColumn("status", status).withColumn("category", F.when(F.col("status") != "pass", category)).select("qid", "target", "status", "rank", "category", "blocker")
 
 
+def verdict_counts(judged: DataFrame) -> DataFrame:
+    """status, category, n: what a report begins with; passes have no category."""
+    return judged.groupBy("status", "category").agg(F.count("*").alias("n"))
+
+
 def attractors(judged: DataFrame, least: int = 3) -> DataFrame:
     return judged.where("status <> 'pass' and blocker is not null").groupBy("blocker").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 

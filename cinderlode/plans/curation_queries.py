@@ -12,7 +12,10 @@ from cinderlode.functions import installs as I
 from cinderlode.functions import lexicon as L
 from cinderlode.functions import text as T
 from cinderlode.operators import curate as C
+from cinderlode.operators import enrich as X
 from cinderlode.operators import sync as S
+from cinderlode.operators.build import built
+from cinderlode.sources.registries import package_names
 from cinderlode.plans.search_queries import _CATALOGUE, _m, _q
 
 BORROWERS, LAST = ("py.wheelhub.", "io.cratery.", "dev.helpscan."), ("org.archipel.", "sh.tapline.")
@@ -81,13 +84,18 @@ def reanchor_roots(spark: SparkSession, folder: str) -> DataFrame:
     return before.select("row_id", F.col("app_id").alias("was")).join(after.select("row_id", "app_id"), "row_id").where("not (was <=> app_id)")
 
 
-def overrides_applied(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _registry(spark, folder)
+def _overrides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The first raw record of each path as a patch, and as a new manual command."""
     raw = table(spark, folder, "arguments_raw").where("cmd_path is not null").groupBy("cmd_path").agg(F.min_by(F.struct("description", "example_template", "app_id"), "rec_id").alias("r"), F.min("rec_id").alias("rec_id"))
     patches = raw.select("cmd_path", F.col("r.description").alias("description"), F.lit(None).cast("string").alias("topics"), F.lit("patched").alias("topics_append"), F.col("r.example_template").alias("example_template"))
     new = raw.select((-F.col("rec_id")).alias("row_id"), "cmd_path", key_of(F.col("r.app_id")).alias("app_id"), T.node_type(F.col("cmd_path")).alias("node_type"), F.col("r.description").alias("description"), F.lit("safe").alias("risk_level"),
                      F.col("r.example_template").alias("example_template"), F.lit(None).cast("string").alias("topics"), F.lit("manual").alias("provenance"))
-    return C.added(C.overridden(rows, patches), new, _apps(spark, folder)).select("row_id", "cmd_path", "description", "topics", "example_template")
+    return patches, new
+
+
+def overrides_applied(spark: SparkSession, folder: str) -> DataFrame:
+    patches, new = _overrides(spark, folder)
+    return C.added(C.overridden(_registry(spark, folder), patches), new, _apps(spark, folder)).select("row_id", "cmd_path", "description", "topics", "example_template")
 
 
 def library_noise(spark: SparkSession, folder: str) -> DataFrame:
@@ -236,6 +244,43 @@ def vector_reuse(spark: SparkSession, folder: str) -> DataFrame:
     return S.reusable(keyed.where("step > 1"), keyed.withColumn("step", F.col("step") + 1), "m", "m", ["step"]).select("snap_no", "cmd_path", "reuse")
 
 
+REPOSITORIES = ["debian_12", "fedora_40", "gentoo", "nix_stable", "homebrew", "aur", "pypi", "odd_one"]
+
+
+def _dump(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of arguments as those of a package dump: repositories in turn, the root as project, the leaf as package."""
+    p = F.col("cmd_path")
+    repo = F.element_at(F.array(*map(F.lit, REPOSITORIES)), (F.col("row_id") % len(REPOSITORIES) + 1).cast("int"))
+    return table(spark, folder, "arguments").where("cmd_path is not null").select(repo.alias("repo"), T.root(p).alias("effname"), T.leaf(p).alias("binname"), T.root(p).alias("srcname"), F.lit(None).cast("string").alias("binnames"), "row_id")
+
+
+def dump_installs(spark: SparkSession, folder: str) -> DataFrame:
+    return X.dump_installs(_apps(spark, folder).select("app_id", "name", "install_instructions"), _dump(spark, folder), "row_id")
+
+
+def dump_popularity(spark: SparkSession, folder: str) -> DataFrame:
+    found = X.dump_popularity(_apps(spark, folder).select("app_id", "name", "install_instructions"), package_names(_dump(spark, folder)), L.POPULARITY_CAP)
+    return found.select("app_id", F.round("popularity", 8).alias("popularity"))
+
+
+def _built(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The registry built from the tables, with the raw records as overrides, and the texts of the uncleaned rows as those embedded before."""
+    apps = _apps(spark, folder).withColumn("ord", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(F.unix_micros(F.col("loaded_at").cast("timestamp")), "app_id")))
+    rows = _arguments(spark, folder)
+    patches, new = _overrides(spark, folder)
+    stored = rows.select("cmd_path", T.embed_text(F.col("cmd_path"), F.col("description"), F.col("topics")).alias("text"))
+    return built(apps, rows, patches, new, stored, "m1", "m1", 0, BORROWERS, LAST, least=3, times=2)
+
+
+def build_commands(spark: SparkSession, folder: str) -> DataFrame:
+    made = _built(spark, folder)
+    return made["arguments"].join(made["index"], "cmd_path").join(made["embed"], "cmd_path")
+
+
+def build_apps(spark: SparkSession, folder: str) -> DataFrame:
+    return _built(spark, folder)["apps"].drop("os_aliases")
+
+
 _ARGS = "g as (select row_id, cmd_path, nullif(lower(trim(app_id)), '') app_id, node_type, description, risk_level, example_template, topics, lower(trim(provenance)) provenance from arguments where cmd_path is not null)"
 _APPS = "a as (select lower(trim(app_id)) app_id, min(name) \"name\", max(popularity) pop, min(install_instructions) ii, min(os_aliases) os, min(loaded_at) loaded_at from apps where trim(app_id) <> '' group by 1)"
 
@@ -288,9 +333,29 @@ gone as (select cmd_path from f where exists (select 1 from hm where f.cmd_path
 ih as (select "name", ii from a where length(ii) > 2 qualify row_number() over (partition by "name" order by case when app_id like 'org.archipel.%' then 1 when app_id like 'sh.tapline.%' then 2 else 3 end, length(ii) desc, app_id) = 1)
 """
 
+_PKG = "split_part(trim(cmd), ' ', -1)"
+_DUMP = f"""du as (select ([{', '.join(repr(x) for x in REPOSITORIES)}])[row_id % {len(REPOSITORIES)} + 1] repo, split_part(cmd_path, '.', 1) eff, split_part(cmd_path, '.', -1) own, row_id from arguments where cmd_path is not null),
+k0 as (select distinct app_id, lower({_PKG}) "key" from en where pm in {_q(L.PACKAGE_MANAGERS)} and {_PKG} <> '')"""
+_BUILT = f"""with {_ARGS}, {_APPS}, {_CLEANED}, w as (select * from arguments_raw where cmd_path is not null qualify row_number() over (partition by cmd_path order by rec_id) = 1),
+o as (select r.row_id, r.cmd_path, r.app_id, coalesce(w.description, r.description) description, r.risk_level, coalesce(w.example_template, r.example_template) example_template, case when w.cmd_path is not null then trim(concat_ws(' ', r.topics, 'patched')) else r.topics end topics, r.provenance from r left join w using (cmd_path)
+  union all select -rec_id, cmd_path, nullif(lower(trim(app_id)), ''), description, 'safe', example_template, null, 'manual' from w where cmd_path not in (select cmd_path from r) and lower(trim(app_id)) in (select app_id from a)),
+s0 as (select app_id, count(*) size from o group by 1),
+n as (select a.app_id, lower("name") nm, coalesce(size, 0) size, row_number() over (partition by lower("name") order by loaded_at nulls first, a.app_id) rk from a left join s0 using (app_id) where "name" <> ''),
+b as (select nm, app_id target, size t from n qualify row_number() over (partition by nm order by size desc, rk) = 1),
+ra as (select o.* replace (case when position('.' in o.cmd_path) = 0 and lower(o.cmd_path) = n.nm and b.target <> o.app_id and t >= 3 and t >= 2 * greatest(n.size, 1) then b.target else o.app_id end as app_id) from o left join n on o.app_id = n.app_id left join b on b.nm = n.nm),
+sz as (select app_id, count(*) size from ra group by 1),
+c as (select ra.*, {_canon('ra.cmd_path')} canon, row_number() over (partition by {_canon('ra.cmd_path')} order by coalesce(provenance, '') <> 'probe', lower(ra.cmd_path) <> {_canon('ra.cmd_path')}, -coalesce(pop, 0), -coalesce(size, 0), coalesce(ra.app_id, ''), ra.cmd_path) rn, count(*) over (partition by {_canon('ra.cmd_path')}) n
+  from ra left join a on ra.app_id = a.app_id left join sz on ra.app_id = sz.app_id),
+tw as (select canon, rn, unnest(z) w, generate_subscripts(z, 1) p from (select canon, rn, list_filter(regexp_split_to_array(coalesce(topics, ''), '[,\\s]+'), lambda x: x <> '') z from c)),
+u as (select canon, string_agg(w, ' ' order by rn, p) un from (select canon, w, min(rn) rn, min_by(p, (rn, p)) p from tw group by canon, w) group by 1),
+l as (select c.* replace (case when n > 1 then coalesce(un, '') else topics end as topics), lower(split_part(cmd_path, '.', -1)) || ' ' || lower(coalesce(description, '')) hay from c left join u using (canon) where rn = 1),
+st as (select distinct cmd_path, regexp_replace(translate(cmd_path, '.-', '  ') || '. ' || coalesce(description, '') || ' ' || coalesce(topics, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') e from g),
+f as (select l.*, a."name" nm, translate(cmd_path, '.-', '  ') pw, regexp_replace(translate(cmd_path, '.-', '  ') || '. ' || coalesce(description, '') || ' ' || coalesce(topics, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') e from l left join a on l.app_id = a.app_id)
+"""
+
 QUERIES = {f.__name__: f for f in (
     path_functions, risk_from_verbs, example_faults, embed_and_index_text, topics_parsed, clean_registry, canonical_dedup, reanchor_roots, overrides_applied, library_noise, clean_index, index_orphans, registry_import, subtree_replaced,
-    broken_prefix_twins, fabrication_sweep, install_donors, deep_import_commands, deep_import_apps, strip_json_nulls, install_commands, install_merge, arch_reclassified, repository_managers, popularity_lognorm, consensus_package, name_score_best, probe_targets, work_queue, vector_reuse)}
+    broken_prefix_twins, fabrication_sweep, install_donors, deep_import_commands, deep_import_apps, strip_json_nulls, install_commands, install_merge, arch_reclassified, repository_managers, popularity_lognorm, consensus_package, name_score_best, probe_targets, work_queue, vector_reuse, dump_installs, dump_popularity, build_commands, build_apps)}
 ORACLE = {
     "path_functions": f"select row_id, {_clean('cmd_path')} clean, case when position('.' in cmd_path) > 0 then 'sub' else 'root' end kind, split_part(cmd_path, '.', -1) leaf, split_part(cmd_path, '.', 1) root, {_NOISE.format(p='cmd_path')} noise, {_canon('cmd_path')} canon, translate(cmd_path, '._-', '   ') words from arguments where cmd_path is not null",
     "risk_from_verbs": f"with h as (select *, lower(split_part(cmd_path, '.', -1)) || ' ' || lower(coalesce(description, '')) hay from arguments where cmd_path is not null), d as (select *, case when {_HAS(L.DANGEROUS)} then 'dangerous' when {_HAS(L.MEDIUM)} then 'medium' else 'safe' end derived from h) select row_id, case when risk_level is not null and risk_level not in ('safe', '') then risk_level else derived end risk, derived from d",
@@ -337,6 +402,22 @@ g as (select app_id, cmd_path, provenance from g0 union all select * from fz), a
 f as (select app_id, min(cmd_path) fc, count(*) cmd_count from g where app_id in (select app_id from a) group by 1 having sum((coalesce(provenance, '') in ('probe', 'manual'))::int) = 0),
 x as (select app_id, split_part(fc, '.', 1) binary_root, cmd_count, regexp_extract(split_part(fc, '.', 1), '^([a-z][a-z0-9_]+)-([a-z][a-z0-9_]+)$', 1) || '.' || regexp_extract(split_part(fc, '.', 1), '^([a-z][a-z0-9_]+)-([a-z][a-z0-9_]+)$', 2) sp from f where regexp_matches(split_part(fc, '.', 1), '^([a-z][a-z0-9_]+)-([a-z][a-z0-9_]+)$') and app_id not like 'py.wheelhub.%')
 select app_id, binary_root, sp probe_sub_path, cmd_count, count(*) probe_sub_count from x join pp on pp.cmd_path = sp or starts_with(pp.cmd_path, sp || '.') group by all""",
+    "dump_installs": f"""with {_APPS}, {_ENTRIES}, {_DUMP}, so as (select * from a where length(ii) > 2 and json_valid(ii) and trim(ii) like '{{%'),
+ke as (select app_id, "key" from k0 where app_id in (select app_id from so) union select app_id, lower("name") from so where app_id not in (select app_id from k0) and "name" <> ''),
+f as (select lower(eff) "key", case {' '.join(f"when starts_with(repo, '{x}') then '{m}'" for x, m in L.REPOSITORY_PREFIXES)} end pm, case when repo = 'gentoo' then eff else own end pkg, row_id from du),
+n1 as (select "key", pm, arg_min(pkg, row_id) pkg from f where pm is not null group by all), n2 as (select app_id, pm, arg_min(pkg, "key") pkg from ke join n1 using ("key") group by all),
+al as (select en.app_id, pm, cmd from en join so using (app_id) where cmd is not null union all select app_id, pm, coalesce({_TPL}[pm], pm || ' install ') || pkg from n2 where not exists (select 1 from en where en.app_id = n2.app_id and en.pm = n2.pm and en.cmd is not null))
+select so.app_id, coalesce('{{' || string_agg(to_json(pm) || ':' || to_json(cmd), ',' order by pm) || '}}', '{{}}') install_instructions from so left join al using (app_id) group by 1""",
+    "dump_popularity": f"""with {_APPS}, {_ENTRIES}, {_DUMP}, ke as (select app_id, "key" from k0 union select app_id, lower("name") from a where "name" <> ''),
+n as (select z "key", count(distinct repo) n from (select repo, unnest([lower(eff), lower(own)]) z from du) group by 1)
+select app_id, round(max(least(1.0::double, ln(1 + n::double) / ln(101::double))), 8) popularity from ke join n using ("key") group by 1""",
+    "build_commands": _BUILT + f"""select cmd_path, app_id, split_part(cmd_path, '.', -1) node_name, case when position('.' in cmd_path) > 0 then 'sub' else 'root' end node_type, description,
+case when risk_level is not null and risk_level not in ('safe', '') then risk_level when {_HAS(L.DANGEROUS)} then 'dangerous' when {_HAS(L.MEDIUM)} then 'medium' else 'safe' end risk_level, example_template, topics, coalesce(nullif(provenance, ''), 'inferred') provenance,
+coalesce(nm, app_id, '') || case when contains(app_id, '.') and not contains(coalesce(nm, app_id), split_part(app_id, '.', -1)) then ' ' || split_part(app_id, '.', -1) else '' end "name", concat_ws(' ', pw, coalesce(description, ''), coalesce(topics, '')) capabilities, e "text", exists (select 1 from st where st.cmd_path = f.cmd_path and st.e = f.e) reuse from f""",
+    "build_apps": f"""with {_APPS}, {_ENTRIES}, k as (select app_id, '{{' || string_agg(to_json(pm) || ':' || to_json(cmd), ',' order by pm, cmd) || '}}' js from en where trim(cmd) <> '' group by 1),
+x as (select a.*, case when json_valid(ii) and trim(ii) like '{{%' then js else ii end i2 from a left join k using (app_id)),
+d as (select * from x where "name" is not null and length(i2) > 2 qualify row_number() over (partition by "name" order by case when app_id like 'org.archipel.%' then 1 when app_id like 'sh.tapline.%' then 2 else 0 end, app_id) = 1)
+select x.app_id, x."name", case when coalesce(length(x.i2), 0) <= 2 and (x.app_id like 'py.wheelhub.%' or x.app_id like 'io.cratery.%' or x.app_id like 'dev.helpscan.%') then coalesce(d.i2, x.i2) else x.i2 end install_instructions, coalesce(x.pop, 0) popularity from x left join d using ("name")""",
     "install_donors": f"""with {_APPS}, d as (select * from a where "name" is not null and length(ii) > 2 qualify row_number() over (partition by "name" order by case when app_id like 'org.archipel.%' then 1 when app_id like 'sh.tapline.%' then 2 else 0 end, app_id) = 1),
 x as (select a.*, coalesce(length(ii), 0) <= 2 and (app_id like 'py.wheelhub.%' or app_id like 'io.cratery.%' or app_id like 'dev.helpscan.%') lends from a)
 select x.app_id, case when lends then coalesce(d.ii, x.ii) else x.ii end install_instructions, case when lends then d.app_id end donor from x left join d using ("name")""",

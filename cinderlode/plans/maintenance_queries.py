@@ -134,6 +134,10 @@ def failure_report(spark: SparkSession, folder: str) -> DataFrame:
     return E.failure_report(stage(coverage_verdicts(spark, folder)))
 
 
+def verdict_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return E.verdict_counts(coverage_verdicts(spark, folder))
+
+
 def dist_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     return E.quantiles(table(spark, folder, "events"), "value", "event_type").select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("least", "p25", "median", "p75", "p90", "most")))
 
@@ -225,7 +229,7 @@ _G = "(" + " or ".join(f"starts_with(lower(d), '{p}')" for p in L.BAD_DESCRIPTIO
 _NODE = "'{\"cmd_path\":' || to_json(cmd_path) || ',\"node_type\":' || to_json(node_type) || ',\"description\":' || to_json(coalesce(description, '')) || ',\"risk_level\":' || to_json(coalesce(risk_level, 'safe')) || coalesce(',\"example_template\":' || to_json(example_template), '') || '}'"
 
 QUERIES = {f.__name__: f for f in (
-    snapshot_diff, delta_apply, delta_apply_apps, delta_equivalence, vector_delta, sync_mode, quality_checks, index_consistency, expected_coverage, subcommand_histogram, tool_depth, recall_mrr, coverage_verdicts, failure_report, dist_quantiles, threshold_sweep,
+    snapshot_diff, delta_apply, delta_apply_apps, delta_equivalence, vector_delta, sync_mode, quality_checks, index_consistency, expected_coverage, subcommand_histogram, tool_depth, recall_mrr, coverage_verdicts, verdict_counts, failure_report, dist_quantiles, threshold_sweep,
     query_suggestions, json_in_prose, shard_tree, index_order, sitemap_parts, manifest, skill_match, help_descriptions, help_subcommands, event_counts, streaming_apply)}
 ORACLE = {
     "snapshot_diff": _DIFF + " select step, app_id, change from d",
@@ -259,7 +263,7 @@ select tool, coalesce(subs, 0) subs, coalesce(depth, 0) depth, case when coalesc
     "recall_mrr": f"""with rs as ({_bm25_sql(False, '5', '2', 20)}), {_CATALOGUE.strip()}, ac as (select qid, lower(split_part(own, '.', -1)) tok, own[1] cat from aq),
 h as (select ac.qid, cat, min(case when list_contains(string_split(lower(doc), '.'), tok) or lower(doc) = tok then pos end) rank from ac left join rs on ac.qid = rs.qid group by 1, 2)
 select cat category, count(*) cases, round(avg((rank is not null)::int), 6) found, round(avg(coalesce(rank <= 1, false)::int), 6) recall_1, round(avg(coalesce(rank <= 5, false)::int), 6) recall_5, round(avg(coalesce(1.0::double / rank, 0)), 6) mrr from h group by rollup (cat)""",
-    "coverage_verdicts": _VERDICT + "select * from vd",
+    "coverage_verdicts": _VERDICT + "select * from vd", "verdict_counts": _VERDICT + "select status, category, count(*) n from vd group by all",
     "failure_report": _VERDICT + """, att as (select blocker from vd where status <> 'pass' and blocker is not null group by 1 having count(*) >= 3),
 c as (select qid, target, case when blocker in (select blocker from att) then 'inferred_attractor' else category end category from vd where status <> 'pass')
 select qid, target, category, case category when 'not_found' then 0 when 'canonical_burial' then 1 when 'inferred_attractor' then 1 when 'sibling_misorder' then 2 else 3 end severity from c""",

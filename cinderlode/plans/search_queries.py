@@ -146,6 +146,16 @@ def per_app_cap(spark: SparkSession, folder: str) -> DataFrame:
     return commands.withColumn("nth", F.row_number().over(Window.partitionBy("app").orderBy("doc"))).where(F.col("nth") <= L.PER_APP).select("app", "doc", "nth")
 
 
+def prepared_search(spark: SparkSession, folder: str):
+    """The cascade over a stored index: a function from a number of queries (the first of the query set) to their results."""
+    commands = stage(catalogue(spark, folder))
+    vectors = stage(table(spark, folder, "commands_vec").where("size(embedding) = 384").select(F.col("cmd_path").alias("doc"), "embedding"))
+    asked = stage(_asked(spark, folder).join(vectors.select(F.col("doc").alias("own"), F.col("embedding").alias("vec")), "own", "left").select("qid", "text", "vec"))
+    apps, index = stage(app_table(spark, folder)), _index(commands)
+    listed = stage(commands.join(apps.select("app"), "app", "left_semi"))
+    return lambda n: search(stage(asked.orderBy("qid").limit(n)), listed, apps, vectors, index)
+
+
 def cascade_search(spark: SparkSession, folder: str) -> DataFrame:
     commands = stage(catalogue(spark, folder))
     vectors = table(spark, folder, "commands_vec").where("size(embedding) = 384").select(F.col("cmd_path").alias("doc"), "embedding")
