@@ -9,7 +9,7 @@ from cinderlode.core import stage, table
 from cinderlode.llm.fusion import SAYS_NOTHING, STAND_INS, command_claims, posteriors, survivors
 from cinderlode.llm.leaks import decontaminated, leak_report, leaked_passages
 from cinderlode.llm.mixture import mixture
-from cinderlode.llm.neardup import groups, letters_of, near_duplicates
+from cinderlode.llm.neardup import duplicate_groups, letters_of, near_duplicates
 from cinderlode.llm.pieces import limits_of, split_documents
 from cinderlode.llm.truncation import truncated, truncation_report
 from cinderlode.llm.vectors import nearest, recall
@@ -33,8 +33,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = p2_found(spark, folder)
-    return groups(pairs.select(F.concat("tbl", F.lit(":"), "key_a").alias("key_a"), F.concat("tbl", F.lit(":"), "key_b").alias("key_b")))
+    apps = duplicate_groups(table(spark, folder, "apps"), "app_id", letters_of("name"), least_letters=6)
+    arguments = duplicate_groups(table(spark, folder, "arguments"), "cmd_path", letters_of("cmd_path"), words="description")
+    return apps.select(F.lit("apps").alias("tbl"), "*").unionByName(arguments.select(F.lit("arguments").alias("tbl"), "*"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,6 +138,8 @@ select distinct least(a, b) cmd_a, greatest(a, b) cmd_b from r where r <= 10 and
 QUERIES = {"p1_found": p1_found, "p1_feeds": p1_feeds, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p6_found": p6_found, "p6_fused": p6_fused, "p7_found": p7_found, "p7_items": p7_items, "p7_clean": p7_clean, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
 ORACLE = {
     "p2_found": _NEAR,
+    "p2_groups": f"""with recursive pr as materialized ({_NEAR}), ed as (select tbl, key_a a, key_b b from pr union select tbl, key_b, key_a from pr),
+rc(tbl, k, g) as (select tbl, a, a from ed union select ed.tbl, ed.b, rc.g from rc join ed on ed.tbl = rc.tbl and ed.a = rc.k) select tbl, k "key", min(g) group_key from rc group by 1, 2""",
     "p4_found": _VECTORS,
     "p6_found": _SURVIVORS,
     "p7_found": _LEAKS + "select doc_id, item_id from l",
