@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cinderlode.core import key_of, stage, table
 from cinderlode.functions import lexicon as L
 from cinderlode.functions import text as T
-from cinderlode.operators.cascade import Settings, confidence, search, with_skills
+from cinderlode.operators.cascade import Settings, confidence, ranking_sweep, search, with_skills
 from cinderlode.operators.export import contract_presets
 from cinderlode.operators.index import best_with_any, build_index, ranked, scored, shares, tokens, with_all
 from cinderlode.operators.knn import fitted, knn, rrf
@@ -164,6 +164,18 @@ def cascade_search(spark: SparkSession, folder: str) -> DataFrame:
     return search(asked, commands.join(apps.select("app"), "app", "left_semi"), apps, vectors, _index(commands))
 
 
+SWEEP = {"names": [1.0, 2.0, 3.0, 5.0], "texts": [2.0, 3.0, 5.0], "cubes": [0.015, 0.020], "floors": [0.5, 0.7, 1.0]}
+
+
+def ranking_sweeps(spark: SparkSession, folder: str) -> DataFrame:
+    """72 rankings over the query set; the tool that a query wants is the app of its own command."""
+    commands, apps = stage(catalogue(spark, folder)), app_table(spark, folder)
+    vectors = table(spark, folder, "commands_vec").where("size(embedding) = 384").select(F.col("cmd_path").alias("doc"), "embedding")
+    asked = stage(_asked(spark, folder).join(vectors.select(F.col("doc").alias("own"), F.col("embedding").alias("vec")), "own", "left"))
+    wanted = asked.select("qid", F.col("own").alias("doc")).join(commands.select("doc", "app"), "doc").join(apps, "app").select("qid", F.lower("name").alias("name")).where("name <> ''")
+    return ranking_sweep(asked, wanted, commands.join(apps.select("app"), "app", "left_semi"), apps, vectors, _index(commands), **SWEEP, dims=384)
+
+
 def search_with_skills(spark: SparkSession, folder: str) -> DataFrame:
     """The text ranking of each query, filled up to ten by the matching skills: the manual raw records stand for a user's folder."""
     raw = table(spark, folder, "arguments_raw").where("lower(trim(provenance)) = 'manual'")
@@ -259,7 +271,7 @@ f as (select *, len(list_filter(pw, lambda w: list_contains(x, w) or list_contai
 select row_id, case when cmd_path is not null and position('.' in cmd_path) > 0 then greatest(0, 3 * hit - (len(pw) - hit)) else 0 end score from f"""
 
 _CORRECT = f"coalesce({_m(L.TRANSLITERATED)}[token], {_m(L.TYPOS)}[token], case when strlen(token) > 3 and best < 999 then [{', '.join(repr(x) for x in L.FAMOUS)}][best % 100 + 1] else token end)"
-_CASCADE = f"""with {_CATALOGUE},
+_HEAD = f"""with {_CATALOGUE},
 rn as (select qid, unnest(z) r, generate_subscripts(z, 1) i from (select qid, regexp_extract_all(text, '([\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+)') z from aq)),
 tk as (select token, {_CORRECT} fixed from (select token, {_NEAR} best from (select distinct lower(r) token from rn))),
 rt as (select aq.qid, coalesce(t, '') t, lower(trim(text)) raw, own from aq left join (select qid, string_agg(case when fixed <> token then fixed else r end, '' order by i) t from rn join tk on token = lower(r) group by 1) using (qid)),
@@ -267,7 +279,8 @@ te as (select qid, {_SPLIT.format('t')} w, {_TERMS.format('t')} s, list_distinct
 q as (select qid, w, s, ct, len(ct) nt, list_concat(ct, list_transform(ct, lambda x: {_STEM.format(w='x')}), flatten(list_transform(ct, lambda x: coalesce({_CONCEPTS}[x], [])))) x from te),
 ph as (select distinct qid, g, {_NORM.format('z')} prefix from (select qid, 'and' g, unnest(s) z from q union all select qid, 'or', unnest(list_concat(s, flatten(list_transform(s, lambda v: coalesce({_CONCEPTS}[v], []))))) from q
   union all select qid, 'alias', unnest(list_filter(flatten(list_transform(w, lambda v: coalesce({_m(L.TOOL_ALIASES)}[v], []))), lambda v: not list_contains(w, v))) from q) where {_NORM.format('z')} <> ''),
-{_parts_sql('ph', wide=("5", "2"), narrow=("10", "1"))},
+"""
+_CASCADE = _HEAD + f"""{_parts_sql('ph', wide=("5", "2"), narrow=("10", "1"))},
 hv as (select ph.qid, pt.doc, round(sum(wide), 6) wide, round(sum(narrow), 6) narrow, count(*) have from ph join pt using (prefix) where g = 'and' group by all),
 wh as materialized (select hv.* from hv join (select qid, count(*) need from ph where g = 'and' group by 1) nd on hv.qid = nd.qid and have = need),
 am as (select distinct qid from wh),
@@ -302,6 +315,29 @@ fi as (select qid, doc, app, row_number() over (partition by qid order by o) pos
 nd as (select qid, min(d) d from nr where pos <= {L.POOL_VEC_SCOPED} group by 1)
 select fi.qid, pos, doc, app, case when fi.qid not in (select qid from hq) then 'high' when coalesce(d, 3.4e38) > {L.HARD_DISTANCE} and fi.qid not in (select qid from am) then 'none' when coalesce(d, 3.4e38) > {L.SOFT_DISTANCE} then 'low' else 'high' end confidence
 from fi left join nd using (qid)"""
+_GRID = [(n, t) for n in SWEEP["names"] for t in SWEEP["texts"]]
+_W = [f"w{i}" for i in range(len(_GRID))]
+_SUMS = ", ".join(f"round(sum({w}), 6) {w}" for w in _W)
+_SWEEP = _HEAD + f"""{_parts_sql('ph', **{w: tuple(map(str, g)) for w, g in zip(_W, _GRID)})},
+hv as (select ph.qid, pt.doc, {_SUMS}, count(*) have from ph join pt using (prefix) where g = 'and' group by all),
+wh as materialized (select hv.* from hv join (select qid, count(*) need from ph where g = 'and' group by 1) nd on hv.qid = nd.qid and have = need),
+am as (select distinct qid from wh),
+lo as (select ph.qid, pt.doc, {', '.join(f'sum({w}) {w}' for w in _W)} from ph join pt using (prefix) where (g = 'alias' and ph.qid in (select qid from am)) or (g = 'or' and ph.qid not in (select qid from am)) group by all),
+su as materialized (select qid, doc, {_SUMS} from (select qid, doc, {', '.join(_W)} from wh union all select * from lo) group by 1, 2),
+lg as (select qid, doc, unnest(range(0, {len(_W)})) w, unnest([{', '.join(_W)}]) score from su),
+m as (select c.cmd_path doc, app, position('.' in c.cmd_path) = 0 root from c join ap using (app)),
+bt as (select qid, w, app, min(pos) fts from (select *, row_number() over (partition by qid, w order by score, doc) pos from lg qualify pos <= {L.POOL_FTS}) join m using (doc) group by all),
+e as (select cmd_path doc, embedding v from commands_vec where len(embedding) = 384 and len(list_filter(embedding, lambda z: z is null or not isfinite(z))) = 0),
+kn as (select rt.qid, e2.doc, list_distance(e1.v::double[], e2.v::double[]) d from rt join e e1 on e1.doc = own join e e2 on true qualify row_number() over (partition by rt.qid order by d, e2.doc) <= {L.POOL_VEC}),
+bv as (select qid, app, min(r) vp from (select qid, app, row_number() over (partition by qid order by d, doc) r from kn join m using (doc) where root) group by all),
+bw as (select bv.*, x.w from bv, (select unnest(range(0, {len(_W)})) w) x),
+fu as (select qid, w, app, a.nm, cube, floor_, round(coalesce((floor_ + (1 - floor_) * pop) / (60 + fts), 0) + coalesce(1.0::double / (60 + vp), 0) + cube * pop * pop * pop, 9) s
+  from bt full outer join bw using (qid, w, app) join (select app, coalesce(nm, '') nm, coalesce(pop, 0) pop from ap) a using (app), (select unnest({SWEEP['cubes']}::double[]) cube) x1, (select unnest({SWEEP['floors']}::double[]) floor_) x2),
+tp as (select * from (select * from fu qualify row_number() over (partition by qid, w, cube, floor_, nm order by s desc, app) = 1) qualify row_number() over (partition by qid, w, cube, floor_ order by s desc, app) <= {L.APPS_KEPT}),
+wa as (select distinct aq.qid, lower(ap.nm) nm from aq join c on c.cmd_path = own join ap using (app) where ap.nm <> ''),
+fd as (select w, cube, floor_, count(distinct tp.qid) found from tp join wa on wa.qid = tp.qid and wa.nm = lower(tp.nm) group by all)
+select ([{', '.join(str(g[0]) for g in _GRID)}]::double[])[w + 1] name_weight, ([{', '.join(str(g[1]) for g in _GRID)}]::double[])[w + 1] text_weight, cube, floor_ "floor", (select count(distinct qid) from wa) cases, (select count(distinct qid) from wa) - coalesce(found, 0) buried
+from (select * from (select unnest(range(0, {len(_W)})) w), (select unnest({SWEEP['cubes']}::double[]) cube), (select unnest({SWEEP['floors']}::double[]) floor_)) left join fd using (w, cube, floor_)"""
 _SKILLS = f"""with fo as ({_bm25_sql(True, '5', '2')}), {_CATALOGUE.strip()},
 sk as (select cmd_path, min(lower(concat_ws(' ', split_part(cmd_path, '.', -1), cmd_path, description))) hay from arguments_raw where cmd_path is not null and lower(trim(provenance)) = 'manual' group by 1),
 ms as (select qid, cmd_path doc, 1000000 + row_number() over (partition by qid order by cmd_path) o from aq, sk where len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '' and not contains(hay, w))) = 0),
@@ -324,7 +360,7 @@ select row_id, '{{' || {_J(('cmd_path', 'cmd_path'), ('confidence', 'confidence'
 QUERIES = {
     "bm25_and_topk": bm25_and_topk, "bm25_or_topk": bm25_or_topk, "bm25_weighted_fields": bm25_weighted_fields, "tokenize_stats": tokenize_stats, "token_corrected": token_corrected, "query_terms": query_terms,
     "exact_lookup": exact_lookup, "knn_l2_topk": knn_l2_topk, "knn_filtered_after": knn_filtered_after, "vec_fit": vec_fit, "rrf_fusion": rrf_fusion, "path_match_score": path_match_score, "confidence_bands": confidence_bands,
-    "app_name_dedup": app_name_dedup, "per_app_cap": per_app_cap, "cascade_search": cascade_search, "search_with_skills": search_with_skills, "presets": presets,
+    "app_name_dedup": app_name_dedup, "per_app_cap": per_app_cap, "cascade_search": cascade_search, "search_with_skills": search_with_skills, "ranking_sweeps": ranking_sweeps, "presets": presets,
 }
 ORACLE = {
     "bm25_and_topk": _bm25_sql(True, "5", "2"), "bm25_or_topk": _bm25_sql(False, "5", "2"), "bm25_weighted_fields": _bm25_sql(True, "10", "1"),
@@ -344,5 +380,5 @@ select qid, case when d > 1.15 and qid % 3 <> 0 then 'none' when d > 1.10 then '
 select lower(nm) nm, app from a qualify row_number() over (partition by lower(nm) order by coalesce(pop, 0) desc, app) = 1""",
     "per_app_cap": """with c as (select cmd_path doc, lower(trim(app_id)) app from arguments where cmd_path is not null qualify row_number() over (partition by cmd_path order by row_id) = 1)
 select app, doc, nth from (select app, doc, row_number() over (partition by app order by doc) nth from c where app <> '') where nth <= 3""",
-    "cascade_search": _CASCADE, "search_with_skills": _SKILLS, "presets": _PRESETS,
+    "cascade_search": _CASCADE, "search_with_skills": _SKILLS, "ranking_sweeps": _SWEEP, "presets": _PRESETS,
 }
