@@ -104,7 +104,7 @@ def _banded(most: int, parts: int, flush: int = 2_000_000):
     def packed(held):
         owner_ids, held_bands, held_places = (np.concatenate(x) for x in held)
         part = ((held_bands >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((held_bands, part))
+        order = np.argsort(part, kind="stable")  # keys of one text stay together, so their places compress to nothing
         bands, places, part = held_bands[order].astype(np.uint32), held_places[order].astype(np.uint16), part[order]
         edges = np.searchsorted(part, np.arange(parts + 1))
         rows = [(k, bands[x:y].tobytes(), places[x:y].tobytes()) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
