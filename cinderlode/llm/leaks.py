@@ -112,21 +112,28 @@ class ItemBlock:
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                    length: int = 12, shard_words: int = 1_500_000, item_block: int = 5_000, items_limit: int = 50_000, letters_limit: int = 50_000_000) -> DataFrame:
+                    length: int = 12, shard_words: int = 1_500_000, item_block: int = 5_000, items_held: int = 50_000, letters_held: int = 50_000_000) -> DataFrame:
     """The longest passage of at least length words that each document shares with each item.
 
     Result: doc_id, item_id, words, doc_word, item_word (word offsets). Words are maximal runs of letters and digits, lower-cased.
-    The items are the stated query set: they reach the executors in blocks, after a check that there are no more than items_limit of letters_limit letters together.
+    The items are the stated query set: they reach the executors in parts of about items_held items of letters_held letters, a scan of all documents each.
     Null or blank texts, and items of fewer words, match nothing; repeated documents each give their own rows (equal ids collapse
     into one row each); other columns are ignored. A shard is closed after shard_words words, so memory does not grow with the input.
     """
-    listed = items.select(F.col(item_id).cast("long"), F.col(item_text)).where(F.col(item_text).isNotNull()).limit(items_limit + 1).collect()
-    if len(listed) > items_limit:
-        raise ValueError(f"more than {items_limit} evaluation items; raise items_limit or search them in several calls")
-    pairs = [(r[0], r[1]) for r in listed if r[0] is not None]
-    if sum(len(t) for _, t in pairs) > letters_limit:
-        raise ValueError(f"evaluation items of more than {letters_limit} letters; search them in several calls")
-    blocks = [pairs[i:i + item_block] for i in range(0, len(pairs), item_block)]
+    asked = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("letters")).first()
+    rounds, found = max(1, -(-size["n"] // items_held), -(-size["letters"] // letters_held)), None
+    source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    for part in range(rounds):
+        pairs = [(r[0], r[1]) for r in asked.where(f"pmod(xxhash64(i, t), {rounds}) = {part}").collect()]
+        some = _scan(source, [pairs[i:i + item_block] for i in range(0, len(pairs), item_block)], length, shard_words)
+        found = some if found is None else found.unionByName(some)
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", (-F.col("item_word")).alias("i"), (-F.col("doc_word")).alias("d"))).alias("m")).select(
+        "doc_id", "item_id", "m.words", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"))
+
+
+def _scan(source: DataFrame, blocks: list[list[tuple[int, str]]], length: int, shard_words: int) -> DataFrame:
+    """Matches of bounded blocks of items in all documents."""
     schema = "doc_id long, item_id long, words int, doc_word int, item_word int"
 
     def scan(batches):
@@ -168,10 +175,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
                     total = 0
         yield close()
 
-    source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    found = source.mapInArrow(scan, schema)
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", (-F.col("item_word")).alias("i"), (-F.col("doc_word")).alias("d"))).alias("m")).select(
-        "doc_id", "item_id", "m.words", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"))
+    return source.mapInArrow(scan, schema)
 
 
 def decontaminated(documents: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -45,12 +45,14 @@ def plan_shares(sizes: DataFrame, targets: DataFrame, budget: int | None = None,
         .withColumn("budget", F.lit(float(budget)) if budget else F.floor(F.min(F.when(F.col("usable"), F.col("have") * F.col("max_repeats") / F.col("share"))).over(every)).cast("double"))
         .withColumn("demand", F.when(F.col("usable"), F.least(F.col("share") * F.col("budget"), (F.col("have") * F.col("max_repeats")).cast("double"))).otherwise(0.0))
         .withColumn("raw_tilt", F.coalesce(given[F.col("source")], F.lit(0.0)) if tilts else F.lit(0.0))
-        .withColumn("tilt", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("raw_tilt") - F.sum(F.col("share") * F.col("raw_tilt")).over(every))))
-        .drop("raw_tilt")
+        .withColumn("centred", F.col("raw_tilt") - F.sum(F.col("share") * F.col("raw_tilt")).over(every))
+        # All are made smaller alike where one is too steep, so that the weights sum to 1 at every moment.
+        .withColumn("tilt", F.col("centred") / F.greatest(F.lit(1.0), F.max(F.abs("centred")).over(every)))
+        .drop("raw_tilt", "centred")
     )
 
 
-def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None, tilts: dict[str, float] | None = None, seed: int = 20240, slices: int = 512, path: str = VOCABULARY, counts: DataFrame | None = None, targets_limit: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None, tilts: dict[str, float] | None = None, seed: int = 20240, slice_rows: int = 100_000, path: str = VOCABULARY, counts: DataFrame | None = None, targets_limit: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     Mixture: position (the token at which the copy is due, of the whole budget), doc_id, source, repeat_no (from 1), n_tokens;
@@ -67,6 +69,7 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None,
     counted = stage(counts)
     sizes = counted.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("n_docs"))
     plan = stage(plan_shares(sizes, targets, budget, tilts))
+    slices = 1 << max(9, (counted.count() // slice_rows).bit_length())  # of each source, a power of two
     # Prefix sums in two steps: whole slices of each source first, then within a slice, so that no task holds a source.
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     placed = counted.withColumn("h", order).withColumn("slice", F.shiftrightunsigned("h", 64 - (slices - 1).bit_length()).cast("int"))

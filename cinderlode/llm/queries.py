@@ -143,5 +143,10 @@ rc(tbl, k, g) as (select tbl, a, a from ed union select ed.tbl, ed.b, rc.g from
     "p4_found": _VECTORS,
     "p6_found": _SURVIVORS,
     "p7_found": _LEAKS + "select doc_id, item_id from l",
+    "p7_items": _LEAKS + """, ip as (select item_id, i j, hash(w[i:i+11]) g from (select item_id, w, unnest(range(1, len(w) - 10)) i from iw where len(w) >= 12)),
+dp as (select doc_id, i, hash(w[i:i+11]) g from (select doc_id, w, unnest(range(1, len(w) - 10)) i from dw where len(w) >= 12)),
+m as (select distinct doc_id, item_id, i, i - j d from dp join ip using (g)), s as (select doc_id, item_id, d, i - row_number() over (partition by doc_id, item_id, d order by i) k from m),
+r as (select doc_id, item_id, count(*) + 11 n from s group by doc_id, item_id, d, k), p as (select item_id, count(distinct doc_id) n_docs, max(n)::int longest from r group by 1)
+select distinct item_set, item_id, coalesce(n_docs, 0) n_docs, coalesce(longest, 0) longest from eval_items left join p using (item_id)""",
     "p7_clean": _LEAKS + "select doc_id from documents where doc_id not in (select doc_id from l)",
 }
