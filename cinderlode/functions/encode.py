@@ -39,17 +39,31 @@ def basic_words(text: str) -> list[str]:
     return spaced.split()
 
 
-def word_pieces(text: Column, path: str, length: int = LENGTH) -> Column:
-    """Piece ids between the first and last mark, cut to length; a text that is cut loses its last mark."""
+def word_pieces(text: Column, path: str, length: int = LENGTH, instruction: str = "", pad: bool = False) -> Column:
+    """Piece ids between the first and last mark, cut to length; a text that is cut loses its last mark.
+
+    instruction: what a query, but no passage, is preceded by. pad: ids are filled with zeros to length; see mask_of.
+    """
 
     @F.pandas_udf(Ty.ArrayType(Ty.IntegerType()))
     def run(s: pd.Series) -> pd.Series:
         known = vocabulary(path)
-        return s.map(lambda t: [FIRST, *(i for w in basic_words(t or "") for i in pieces(w, known)), LAST][:length])
+        lead = [i for w in basic_words(instruction) for i in pieces(w, known)]
+
+        def ids(t):
+            told = [FIRST, *lead, *(i for w in basic_words(t or "") for i in pieces(w, known)), LAST][:length]
+            return told + [0] * (length - len(told)) if pad else told
+
+        return s.map(ids)
 
     return run(text)
 
 
+def mask_of(ids: Column) -> Column:
+    """1 where there is a piece, 0 where ids were filled up."""
+    return F.transform(ids, lambda i: F.when(i != 0, 1).otherwise(0))
+
+
 def unit(column: Column) -> Column:
     """A vector at length one; a zero vector stays."""
     norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x * x))

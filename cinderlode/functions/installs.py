@@ -88,3 +88,15 @@ def binary_name(aliases: Column, os: str, name: Column) -> Column:
     """The binary's name on an OS by a JSON map of aliases, a text or a list whose first entry counts; else the name."""
     told = F.get_json_object(aliases, f"$.{os}")
     return F.coalesce(F.when(told.startswith("["), F.get_json_object(told, "$[0]")).otherwise(told), name)
+
+
+def reclassified(m: Column, package: Column, official: Column, users: Column) -> Column:
+    """An install map (sorted by key) whose pacman entry is made a whole command if its package is official, becomes a yay and a paru entry if
+    it is one of the users' repository, and goes otherwise; a map without that entry, or without a package, stays as it is.
+    """
+    rest = F.map_filter(m, lambda k, v: k != "pacman")
+    own = F.create_map(F.lit("pacman"), F.concat(F.lit("pacman -S "), package))
+    theirs = F.create_map(F.lit("yay"), F.concat(F.lit("yay -S "), package), F.lit("paru"), F.concat(F.lit("paru -S "), package))
+    others = F.map_filter(rest, lambda k, v: ~k.isin("yay", "paru"))
+    made = F.when(official, F.map_concat(rest, own)).when(users, F.map_concat(others, theirs)).otherwise(rest)
+    return F.map_from_entries(F.array_sort(F.map_entries(F.when(F.map_contains_key(m, F.lit("pacman")) & package.isNotNull(), made).otherwise(m))))

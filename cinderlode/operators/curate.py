@@ -142,6 +142,23 @@ def fabrications(arguments: DataFrame, apps: DataFrame, real_namespaces: list[st
     return odd.where("tool <> ''").join(below, "ancestor").select("app_id", "binary_root", F.col("ancestor").alias("probe_sub_path"), "cmd_count", "probe_sub_count")
 
 
+def without_apps(arguments: DataFrame, apps: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """arguments and apps without those of the found apps (app_id): what a sweep deletes once its report is accepted."""
+    gone = found.select("app_id").distinct()
+    return arguments.join(gone, "app_id", "left_anti").select(*arguments.columns), apps.join(gone, "app_id", "left_anti").select(*apps.columns)
+
+
+def examples_repaired(arguments: DataFrame, repair) -> DataFrame:
+    """arguments with the examples that call another binary or stray replaced by repair (a function of path, description and example
+    columns, such as a look-up in landed answers); a repair that is null or faulty itself is not taken.
+    """
+    p, e = F.col("cmd_path"), F.col("example_template")
+    faulty = T.example_fault(p, e).isNotNull() & (F.coalesce("provenance", F.lit("inferred")) == "inferred")
+    new = repair(p, F.col("description"), e)
+    taken = faulty & new.isNotNull() & T.example_fault(p, new).isNull()
+    return arguments.withColumn("example_template", F.when(taken, new).otherwise(e))
+
+
 def donors(apps: DataFrame, borrowers: tuple[str, ...] = ("com.github.", "com.gitlab."), last: tuple[str, ...] = ("org.archlinux.", "org.tldr.")) -> DataFrame:
     """Install data that apps of the borrowing namespaces lack, from an app of the same name: app_id, install_instructions, donor.
 

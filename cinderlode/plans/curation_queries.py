@@ -187,12 +187,21 @@ def install_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def arch_reclassified(spark: SparkSession, folder: str) -> DataFrame:
-    """A pacman entry stays if the package is official, becomes yay and paru if it is a user's, and goes otherwise."""
-    apps = _apps(spark, folder).select("app_id", I.install_map(F.col("install_instructions")).alias("m")).where("m['pacman'] is not null").select("app_id", I.package_of(F.col("m")["pacman"]).alias("pkg"))
-    official = _apps(spark, folder).where("app_id like 'org.archipel.%'").select(F.substring_index("app_id", ".", -1).alias("pkg")).distinct()
-    users = _apps(spark, folder).where("app_id not like 'org.archipel.%' and pop >= 0.3").select(F.substring_index("app_id", ".", -1).alias("pkg")).distinct()
+    """Install maps after their pacman entries are reclassified: official is what one registry lists, users' what popular apps of others are called."""
+    apps = _apps(spark, folder).select("app_id", I.install_map(F.col("install_instructions")).alias("m")).where("m is not null").withColumn("pkg", I.package_of(F.col("m")["pacman"]))
+    last = F.substring_index("app_id", ".", -1).alias("pkg")
+    official = _apps(spark, folder).where("app_id like 'org.archipel.%'").select(last).distinct()
+    users = _apps(spark, folder).where("app_id not like 'org.archipel.%' and pop >= 0.3").select(last).distinct()
     tagged = apps.join(official.withColumn("o", F.lit(True)), "pkg", "left").join(users.withColumn("u", F.lit(True)), "pkg", "left")
-    return tagged.select("app_id", F.when(F.col("o"), F.concat(F.lit("pacman -S "), "pkg")).when(F.col("u"), F.concat(F.lit("yay -S "), "pkg", F.lit("; paru -S "), "pkg")).alias("command"))
+    return tagged.select("app_id", F.to_json(I.reclassified(F.col("m"), F.col("pkg"), F.coalesce("o", F.lit(False)), F.coalesce("u", F.lit(False)))).alias("install_instructions"))
+
+
+def examples_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Faulty examples of commands that get the example of the command before them (by row_id), repaired by the command's own path."""
+    rows = _arguments(spark, folder)
+    other = rows.select((F.col("row_id") + 1).alias("row_id"), F.col("example_template").alias("example_template"))
+    mixed = rows.drop("example_template").join(other, "row_id")
+    return C.examples_repaired(mixed, lambda p, d, e: F.translate(p, ".", " ")).select("row_id", "example_template")
 
 
 def repository_managers(spark: SparkSession, folder: str) -> DataFrame:
@@ -333,6 +342,8 @@ gone as (select cmd_path from f where exists (select 1 from hm where f.cmd_path
 ih as (select "name", ii from a where length(ii) > 2 qualify row_number() over (partition by "name" order by case when app_id like 'org.archipel.%' then 1 when app_id like 'sh.tapline.%' then 2 else 3 end, length(ii) desc, app_id) = 1)
 """
 
+# A command's own path is a sound example of it unless a segment looks like a flag or a placeholder, which would end it.
+_SOUND = "len(list_filter(string_split(cmd_path, '.'), lambda y: y = '' or regexp_matches(y, '\\s'))) = 0"
 _PKG = "split_part(trim(cmd), ' ', -1)"
 _DUMP = f"""du as (select ([{', '.join(repr(x) for x in REPOSITORIES)}])[row_id % {len(REPOSITORIES)} + 1] repo, split_part(cmd_path, '.', 1) eff, split_part(cmd_path, '.', -1) own, row_id from arguments where cmd_path is not null),
 k0 as (select distinct app_id, lower({_PKG}) "key" from en where pm in {_q(L.PACKAGE_MANAGERS)} and {_PKG} <> '')"""
@@ -355,7 +366,7 @@ f as (select l.*, a."name" nm, translate(cmd_path, '.-', '  ') pw, regexp_replac
 
 QUERIES = {f.__name__: f for f in (
     path_functions, risk_from_verbs, example_faults, embed_and_index_text, topics_parsed, clean_registry, canonical_dedup, reanchor_roots, overrides_applied, library_noise, clean_index, index_orphans, registry_import, subtree_replaced,
-    broken_prefix_twins, fabrication_sweep, install_donors, deep_import_commands, deep_import_apps, strip_json_nulls, install_commands, install_merge, arch_reclassified, repository_managers, popularity_lognorm, consensus_package, name_score_best, probe_targets, work_queue, vector_reuse, dump_installs, dump_popularity, build_commands, build_apps)}
+    broken_prefix_twins, fabrication_sweep, install_donors, deep_import_commands, deep_import_apps, strip_json_nulls, install_commands, install_merge, arch_reclassified, examples_repaired, repository_managers, popularity_lognorm, consensus_package, name_score_best, probe_targets, work_queue, vector_reuse, dump_installs, dump_popularity, build_commands, build_apps)}
 ORACLE = {
     "path_functions": f"select row_id, {_clean('cmd_path')} clean, case when position('.' in cmd_path) > 0 then 'sub' else 'root' end kind, split_part(cmd_path, '.', -1) leaf, split_part(cmd_path, '.', 1) root, {_NOISE.format(p='cmd_path')} noise, {_canon('cmd_path')} canon, translate(cmd_path, '._-', '   ') words from arguments where cmd_path is not null",
     "risk_from_verbs": f"with h as (select *, lower(split_part(cmd_path, '.', -1)) || ' ' || lower(coalesce(description, '')) hay from arguments where cmd_path is not null), d as (select *, case when {_HAS(L.DANGEROUS)} then 'dangerous' when {_HAS(L.MEDIUM)} then 'medium' else 'safe' end derived from h) select row_id, case when risk_level is not null and risk_level not in ('safe', '') then risk_level else derived end risk, derived from d",
@@ -431,9 +442,18 @@ select app_id, case when json_valid(ii) and trim(ii) like '{{%' then js else 'br
 coalesce(case when json_type(os, '$.linux') = 'ARRAY' then os ->> '$.linux[0]' else os ->> '$.linux' end, "name") linux_binary from (select * replace (case when json_valid(os) then os end as os) from a) a""",
     "install_merge": f"""with {_APPS}, {_ENTRIES}, n as (select app_id, pm, cmd from en where cmd is not null union all select a.app_id, x.pm, x.c || split_part(a.app_id, '.', -1) from a, (values ('apt', 'apt install '), ('snap', 'snap install ')) x(pm, c) where not exists (select 1 from en where en.app_id = a.app_id and en.pm = x.pm and en.cmd is not null))
 select app_id, '{{' || string_agg(to_json(pm) || ':' || to_json(cmd), ',' order by pm) || '}}' merged from n group by 1""",
-    "arch_reclassified": f"""with {_APPS}, {_ENTRIES}, x as (select app_id, split_part(trim(cmd), ' ', -1) pkg from en where pm = 'pacman' and cmd is not null),
-o as (select distinct split_part(app_id, '.', -1) pkg from a where app_id like 'org.archipel.%'), u as (select distinct split_part(app_id, '.', -1) pkg from a where app_id not like 'org.archipel.%' and pop >= 0.3)
-select app_id, case when pkg in (select pkg from o) then 'pacman -S ' || pkg when pkg in (select pkg from u) then 'yay -S ' || pkg || '; paru -S ' || pkg end command from x""",
+    "arch_reclassified": f"""with {_APPS}, {_ENTRIES}, x as (select app_id, {_PKG} pkg from en where pm = 'pacman' and cmd is not null),
+o as (select distinct split_part(app_id, '.', -1) pkg from a where app_id like 'org.archipel.%'), u as (select distinct split_part(app_id, '.', -1) pkg from a where app_id not like 'org.archipel.%' and pop >= 0.3),
+k as (select app_id, pkg, case when pkg in (select pkg from o) then 'o' when pkg in (select pkg from u) then 'u' else '' end c from x),
+n as (select en.app_id, pm, cmd from en left join k using (app_id) where k.app_id is null or (pm <> 'pacman' and not (c = 'u' and pm in ('yay', 'paru'))) union all select app_id, 'pacman', 'pacman -S ' || pkg from k where c = 'o' union all select app_id, z, z || ' -S ' || pkg from k, (select unnest(['yay', 'paru']) z) where c = 'u')
+select a.app_id, coalesce('{{' || string_agg(to_json(pm) || ':' || to_json(cmd), ',' order by pm) filter (cmd is not null) || '}}', '{{}}') install_instructions from a left join n using (app_id) where ii is not null and json_valid(ii) and trim(ii) like '{{%' group by 1""",
+    "examples_repaired": f"""with {_ARGS}, x as (select g.row_id, g.cmd_path, g.provenance, o.example_template e from g join g o on g.row_id = o.row_id + 1),
+t as (select *, list_filter(regexp_split_to_array(trim(e), '\\s+'), lambda z: z <> '') z from x),
+u as (select *, case when z[1] = 'sudo' then z[2:] else z end k, lower(split_part(cmd_path, '.', 1)) b, string_split(lower(cmd_path), '.')[2:] s from t),
+v as (select *, list_position(list_transform(k[2:], lambda y: starts_with(y, '-') or contains(y, '{{{{') or contains(y, '=') or y in {_q(L.SHELL_OPERATORS)}), true) st from u),
+w as (select *, case when st > 0 then k[2:][:st - 1] else k[2:] end bare from v),
+f as (select *, coalesce(len(k) > 0 and (lower(k[1]) not in (b, './' || b) or (position('.' in cmd_path) > 0 and len(list_filter(bare, lambda y, i: s[i] is distinct from lower(y))) > 0)), false) faulty from w)
+select row_id, case when faulty and coalesce(provenance, 'inferred') = 'inferred' and {_SOUND} then replace(cmd_path, '.', ' ') else e end example_template from f""",
     "repository_managers": f"""with {_APPS}, x as (select *, split_part(app_id, '.', 2) repo from a), y as (select *, case {' '.join(f"when starts_with(lower(repo), '{p}') then '{m}'" for p, m in L.REPOSITORY_PREFIXES)} end pm from x)
 select repo, pm, count(*) n, arg_min(app_id, (loaded_at, app_id)) first_app from y where pm is not null group by all""",
     "popularity_lognorm": "with n as (select l_partkey k, count(distinct l_suppkey) n from lineitem group by 1), k as (select p_partkey, unnest([p_partkey, p_partkey - 1]) k from part) select p_partkey, round(max(least(1.0::double, ln(1 + n::double) / ln(101::double))), 8) popularity from k join n using (k) group by 1",
