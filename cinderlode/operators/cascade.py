@@ -7,9 +7,9 @@ whether the nearest vector is near enough.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderlode.core import stage
@@ -30,6 +30,14 @@ class Settings:
     dims: int = 384
     drop_out_of_domain: bool = False
 
+    @classmethod
+    def of(cls, spark: SparkSession, **given) -> "Settings":
+        """Settings by the session's configuration (cinderlode.search.<name>), and over it those given."""
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        told = {n: spark.conf.get(f"cinderlode.search.{n}", None) for n in kinds}
+        read = {n: (v.strip().lower() == "true") if kinds[n] is bool else kinds[n](v) for n, v in told.items() if v is not None}
+        return cls(**(read | given))
+
 
 def phrases_of(queries: DataFrame) -> DataFrame:
     """qid, group, prefix for the groups and, or (with concept synonyms) and alias; a prefix with underscores is a phrase of its parts."""

@@ -98,6 +98,18 @@ def suggestions(query):
     return F.array_join(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*L.REPORT_STOP_WORDS))), " ")
 
 
+BURIALS = ("canonical_burial", "inferred_attractor")
+
+
+def override_suggestions(failures: DataFrame, queries: DataFrame) -> DataFrame:
+    """failures (qid, target, category) with the words of their query that an override could append to the target's topics.
+
+    Only for targets that others bury; null for other failures, and where the query has no such word.
+    """
+    words = F.nullif(suggestions(F.col("text")), F.lit(""))
+    return failures.join(queries.select("qid", "text"), "qid").select("qid", "target", "category", F.when(F.col("category").isin(*BURIALS), words).alias("topics_append"))
+
+
 def json_in_prose(text):
     """The object between the first { and the last } of a text, parsed as a map; null where there is none."""
     return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), "map<string,string>")

@@ -44,11 +44,35 @@ def ordered(apps: DataFrame, slices: int = 64, spread: int = 64) -> DataFrame:
     return cut.withColumn("own", own).join(F.broadcast(before), ["slice", "piece"]).withColumn("place", F.col("before") + F.col("own")).drop("slice", "piece", "flat", "own", "before")
 
 
-def sitemap(apps: DataFrame, per_file: int = 50_000) -> DataFrame:
-    """app_id, part (from 0) and the URL entry with the popularity as priority."""
+def sitemap(apps: DataFrame, per_file: int = 50_000, base_url: str = "", changed: str = "") -> DataFrame:
+    """app_id, part (from 1), place and the URL entry with the date of the change and the popularity as priority."""
     priority = F.format_number(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("popularity", F.lit(0.0)))), 1)
-    entry = F.concat(F.lit("<url><loc>/"), T.xml_escaped(F.col("app_id")), F.lit("</loc><priority>"), priority, F.lit("</priority></url>"))
-    return ordered(apps).select("app_id", F.floor((F.col("place") - 1) / per_file).cast("int").alias("part"), entry.alias("entry"))
+    address = T.xml_escaped(F.concat(F.lit(f"{base_url}/c/"), "app_id"))
+    entry = F.concat(F.lit("  <url><loc>"), address, F.lit(f"</loc><lastmod>{changed}</lastmod><priority>"), priority, F.lit("</priority></url>"))
+    return ordered(apps).select("app_id", (F.floor((F.col("place") - 1) / per_file) + 1).cast("int").alias("part"), "place", entry.alias("entry"))
+
+
+#: Heads and tails of the files.
+URLS = ('<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</urlset>")
+MAPS = ('<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</sitemapindex>")
+
+
+def write_sitemaps(apps: DataFrame, folder: str, base_url: str, changed: str, per_file: int = 50_000) -> int:
+    """Gzip files of at most per_file addresses below folder/part=N, the index and the robots file; returns the number of parts.
+
+    A part is one file by its nature, so it is written by one task; parts are written side by side.
+    """
+    entries = stage(sitemap(apps, per_file, base_url, changed).select("part", "place", F.col("entry").alias("value")))
+    parts = max(1, -(-entries.count() // per_file))
+    numbers = apps.sparkSession.range(1, parts + 1).select(F.col("id").cast("int").alias("part"))
+    ends = [numbers.select("part", F.lit(at).cast("long").alias("place"), F.lit(line).alias("value")) for at, line in ((0, URLS[0]), (2**62, URLS[1]))]
+    lines = entries.select("part", F.col("place").cast("long").alias("place"), "value").unionByName(ends[0]).unionByName(ends[1])
+    lines.repartitionByRange(parts, "part").sortWithinPartitions("part", "place").drop("place").write.mode("overwrite").partitionBy("part").option("compression", "gzip").text(f"{folder}/parts")
+    refs = [f"  <sitemap><loc>{base_url}/sitemaps/sitemap-{n}.xml.gz</loc><lastmod>{changed}</lastmod></sitemap>" for n in range(1, parts + 1)]  # one line a file of per_file addresses
+    robots = ["User-agent: *", "Allow: /c/", "Allow: /commands/", f"Sitemap: {base_url}/sitemaps/sitemap-index.xml"]
+    for name, told in (("index", [MAPS[0], *refs, MAPS[1]]), ("robots", robots)):
+        apps.sparkSession.createDataFrame([("\n".join(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    return parts
 
 
 def contract_presets(contracts: DataFrame, there: DataFrame, os: str, managers: list[str]) -> DataFrame:

@@ -138,6 +138,10 @@ def verdict_counts(spark: SparkSession, folder: str) -> DataFrame:
     return E.verdict_counts(coverage_verdicts(spark, folder))
 
 
+def override_suggestions(spark: SparkSession, folder: str) -> DataFrame:
+    return E.override_suggestions(failure_report(spark, folder), _asked(spark, folder))
+
+
 def dist_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     return E.quantiles(table(spark, folder, "events"), "value", "event_type").select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("least", "p25", "median", "p75", "p90", "most")))
 
@@ -170,7 +174,7 @@ def index_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sitemap_parts(spark: SparkSession, folder: str) -> DataFrame:
-    return X.sitemap(_apps(spark, folder).select("app_id", F.col("pop").alias("popularity")), 50)
+    return X.sitemap(_apps(spark, folder).select("app_id", F.col("pop").alias("popularity")), 50, "https://tools.example", "2025-01-01")
 
 
 _TOLD = {"apps": ["app_id", "name", "os_aliases", "install_instructions"], "commands_vec": ["cmd_path"],
@@ -229,7 +233,7 @@ _G = "(" + " or ".join(f"starts_with(lower(d), '{p}')" for p in L.BAD_DESCRIPTIO
 _NODE = "'{\"cmd_path\":' || to_json(cmd_path) || ',\"node_type\":' || to_json(node_type) || ',\"description\":' || to_json(coalesce(description, '')) || ',\"risk_level\":' || to_json(coalesce(risk_level, 'safe')) || coalesce(',\"example_template\":' || to_json(example_template), '') || '}'"
 
 QUERIES = {f.__name__: f for f in (
-    snapshot_diff, delta_apply, delta_apply_apps, delta_equivalence, vector_delta, sync_mode, quality_checks, index_consistency, expected_coverage, subcommand_histogram, tool_depth, recall_mrr, coverage_verdicts, verdict_counts, failure_report, dist_quantiles, threshold_sweep,
+    snapshot_diff, delta_apply, delta_apply_apps, delta_equivalence, vector_delta, sync_mode, quality_checks, index_consistency, expected_coverage, subcommand_histogram, tool_depth, recall_mrr, coverage_verdicts, verdict_counts, failure_report, override_suggestions, dist_quantiles, threshold_sweep,
     query_suggestions, json_in_prose, shard_tree, index_order, sitemap_parts, manifest, skill_match, help_descriptions, help_subcommands, event_counts, streaming_apply)}
 ORACLE = {
     "snapshot_diff": _DIFF + " select step, app_id, change from d",
@@ -267,6 +271,11 @@ select cat category, count(*) cases, round(avg((rank is not null)::int), 6) foun
     "failure_report": _VERDICT + """, att as (select blocker from vd where status <> 'pass' and blocker is not null group by 1 having count(*) >= 3),
 c as (select qid, target, case when blocker in (select blocker from att) then 'inferred_attractor' else category end category from vd where status <> 'pass')
 select qid, target, category, case category when 'not_found' then 0 when 'canonical_burial' then 1 when 'inferred_attractor' then 1 when 'sibling_misorder' then 2 else 3 end severity from c""",
+    "override_suggestions": _VERDICT + f""", att as (select blocker from vd where status <> 'pass' and blocker is not null group by 1 having count(*) >= 3),
+c as (select qid, target, case when blocker in (select blocker from att) then 'inferred_attractor' else category end category from vd where status <> 'pass'),
+tx as (select row_id qid, translate(case when regexp_extract(cmd_path, '^[^.]*\\.(.*)$', 1) = '' then cmd_path else regexp_extract(cmd_path, '^[^.]*\\.(.*)$', 1) end, '.-', '  ') text from arguments where cmd_path is not null and row_id % 20 = 0),
+z as (select c.*, list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '^[.,()\\[\\]<>]+|[.,()\\[\\]<>]+$', '', 'g')), lambda w: length(w) > 1 and w not in {_q(L.REPORT_STOP_WORDS)}) z from c join tx using (qid))
+select qid, target, category, case when category in ('canonical_burial', 'inferred_attractor') then nullif(array_to_string(list_filter(z, lambda x, i: list_position(z, x) = i), ' '), '') end topics_append from z""",
     "dist_quantiles": """with s as (select event_type, list_sort(list(value)) l from events where value is not null group by 1)
 select event_type, len(l)::bigint n, round(l[1], 6) least, round(l[floor(len(l) * 0.25)::int + 1], 6) p25, round(list_median(l), 6) median, round(l[floor(len(l) * 0.75)::int + 1], 6) p75, round(l[floor(len(l) * 0.9)::int + 1], 6) p90, round(l[-1], 6) most from s""".replace("list_median(l)", "(l[floor((len(l) - 1) / 2)::int + 1] + l[floor(len(l) / 2)::int + 1]) / 2"),
     "threshold_sweep": f"""with k as (select * from (select *, row_number() over (partition by qid order by d, vec_id) r from ({_EMB})) where r <= 10 and qid <> vec_id), w as (select d, x.label = y.label wanted from k join embeddings x on x.vec_id = k.qid join embeddings y on y.vec_id = k.vec_id)
@@ -281,7 +290,8 @@ tl as (select app_id, d, list_filter(regexp_split_to_array(tp, '\\s+'), lambda x
 select a.app_id, coalesce(n, 0)::int nodes, '{{"app_id":' || to_json(a.app_id) || coalesce(',"name":' || to_json(a."name"), '') || ',"description":' || to_json(coalesce(tl.d, '')) || ',"topics":' || to_json(coalesce(z, [])) || coalesce(',"popularity":"' || pop::decimal(10,6)::varchar || '"', '') || ',"tree":[' || coalesce(tr, '') || ']}}' shard
 from a left join t using (app_id) left join tl using (app_id)""",
     "index_order": f"with {_APPS} select app_id, row_number() over (order by coalesce(pop, 0) desc, app_id) place from a",
-    "sitemap_parts": f"with {_APPS}, o as (select *, row_number() over (order by coalesce(pop, 0) desc, app_id) place from a) select app_id, ((place - 1) // 50)::int part, '<url><loc>/' || app_id || '</loc><priority>' || format('{{:.1f}}', least(1, greatest(0, coalesce(pop, 0)))) || '</priority></url>' entry from o",
+    "sitemap_parts": f"""with {_APPS}, o as (select *, row_number() over (order by coalesce(pop, 0) desc, app_id) place from a)
+select app_id, ((place - 1) // 50 + 1)::int part, place, '  <url><loc>https://tools.example/c/' || app_id || '</loc><lastmod>2025-01-01</lastmod><priority>' || format('{{:.1f}}', least(1, greatest(0, coalesce(pop, 0)))) || '</priority></url>' entry from o""",
     "manifest": " union all ".join(f"select '{n}' \"table\", count(*) \"rows\", sum(('0x' || md5(concat_ws(chr(31), {', '.join(f'coalesce({c}, chr(30))' for c in sorted(columns))}))[1:12])::bigint)::bigint checksum from {n}" for n, columns in _TOLD.items()),
     "skill_match": "select row_id from arguments where contains(lower(concat_ws(' ', node_name, cmd_path, description)), 'archive') and contains(lower(concat_ws(' ', node_name, cmd_path, description)), 'data')",
     "event_counts": "select date_trunc('hour', ts) \"start\", event_type, count(*) n from events group by 1, 2",

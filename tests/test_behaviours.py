@@ -13,6 +13,7 @@ from cinderlode.functions import text as T
 from cinderlode.operators import curate as C
 from cinderlode.operators import enrich as X2
 from cinderlode.operators import evaluate as E
+from cinderlode.operators import export as X
 from cinderlode.operators import intake as N
 from cinderlode.operators import sync as S
 from cinderlode.operators.cascade import Settings, search, with_skills
@@ -222,6 +223,44 @@ def test_artefact_and_its_integrity(spark, tmp_path):
     assert {r["state"] for r in S.damaged(spark, str(tmp_path / "d"), 7, list(parts)).collect()} == {"changed"}
 
 
+def test_sitemap_files_and_settings(spark, tmp_path):
+    apps = spark.createDataFrame([(f"a{i}", None if i == 3 else i / 10) for i in range(7)], "app_id string, popularity double")
+    assert X.write_sitemaps(apps, str(tmp_path / "s"), "https://x.example", "2025-01-01", 3) == 3
+    first = [r[0] for r in spark.read.text(str(tmp_path / "s" / "parts" / "part=1")).collect()]
+    assert [line[:5] for line in first] == ["<?xml", "<urls", "  <ur", "  <ur", "  <ur", "</url"] and "/c/a6</loc>" in first[2] and "<priority>0.6" in first[2]
+    assert "sitemap-3.xml.gz" in "".join(r[0] for r in spark.read.text(str(tmp_path / "s" / "index")).collect()) and spark.read.text(str(tmp_path / "s" / "robots")).count() == 4
+    flat = spark.createDataFrame([(f"b{i:04}", 0.5) for i in range(500)], "app_id string, popularity double")
+    assert [r["place"] for r in X.ordered(flat).orderBy("app_id").collect()] == list(range(1, 501))
+    spark.conf.set("cinderlode.search.verified_bonus", "3")
+    spark.conf.set("cinderlode.search.drop_out_of_domain", "true")
+    told = Settings.of(spark, limit=7)
+    spark.conf.unset("cinderlode.search.verified_bonus"), spark.conf.unset("cinderlode.search.drop_out_of_domain")
+    assert (told.verified_bonus, told.drop_out_of_domain, told.limit, told.danger) == (3, True, 7, 0.75)
+
+
+def test_snapshot_as_one_document(spark):
+    apps = spark.createDataFrame([("a", "A"), ("b", None)], "app_id string, name string")
+    told = X.snapshot_document(apps, spark.createDataFrame([("a.x", "a")], "cmd_path string, app_id string").limit(1)).orderBy("n").collect()
+    assert json.loads("\n".join(r["line"] for r in told)) == {"apps": [{"app_id": "a", "name": "A"}, {"app_id": "b"}], "arguments": [{"cmd_path": "a.x", "app_id": "a"}]}
+    empty = X.snapshot_document(apps.limit(0), apps.limit(0)).orderBy("n").collect()
+    assert json.loads("\n".join(r["line"] for r in empty)) == {"apps": [], "arguments": []}
+
+
+def test_repairs_and_reclassification(spark):
+    rows_ = spark.createDataFrame([("git.push", "d", "git pull", "inferred"), ("git.log", "d", "git log", None), ("git", "d", "hg x", "probe"), ("hg.up", "d", "git up", "inferred")], "cmd_path string, description string, example_template string, provenance string")
+    fixed = C.examples_repaired(rows_, lambda p, d, e: F.when(p == "git.push", F.lit("git push")).when(p == "hg.up", F.lit("svn up")))
+    assert [r["example_template"] for r in fixed.orderBy("cmd_path").collect()] == ["hg x", "git log", "git push", "git up"]
+    kept = C.without_apps(rows_.withColumn("app_id", F.col("cmd_path")), rows_.select(F.col("cmd_path").alias("app_id")), spark.createDataFrame([("git",)], "app_id string"))
+    assert [k.count() for k in kept] == [3, 3]
+
+    def made(js, official, users):
+        return one(spark, lambda m: F.to_json(I.reclassified(I.install_map(m), I.package_of(I.install_map(m)["pacman"]), F.lit(official), F.lit(users))), js)
+
+    js = '{"pacman": "fd", "apt": "apt install fd"}'
+    assert made(js, True, True) == '{"apt":"apt install fd","pacman":"pacman -S fd"}' and made(js, False, True) == '{"apt":"apt install fd","paru":"paru -S fd","yay":"yay -S fd"}'
+    assert made(js, False, False) == '{"apt":"apt install fd"}' and made('{"apt": "x"}', True, True) == '{"apt":"x"}'
+
+
 def test_vectors_in_differences(spark):
     apps = spark.createDataFrame([("a", "A"), ("b", "B")], "app_id string, name string")
     g = spark.createDataFrame([("a.x", "a"), ("b.x", "b")], "cmd_path string, app_id string")
