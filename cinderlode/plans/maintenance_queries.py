@@ -197,8 +197,12 @@ def help_descriptions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def help_subcommands(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").where("text is not null").select("doc_id", "text", F.array_compact(F.array(F.substring_index("app_id", ".", -1))).alias("prefix"))
-    return d.select("doc_id", F.explode(H.subcommands_of("text", "prefix")).alias("s")).select("doc_id", "s.name", "s.description")
+    """Subcommands that pages list: the documents, and a page of each command that lists it by its leaf and description."""
+    d = table(spark, folder, "documents").where("text is not null").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("page"), "text", F.array_compact(F.array(F.substring_index("app_id", ".", -1))).alias("prefix"))
+    p = F.col("cmd_path")
+    page = F.concat(F.lit("A page.\n\nCommands:\n  "), T.leaf(p), F.lit("   "), F.coalesce("description", F.lit("")), F.lit("\nOptions:\n  --all   everything\n"))
+    g = table(spark, folder, "arguments").where("instr(cmd_path, '.') > 0").select(F.lit("arguments").alias("origin"), F.col("row_id").alias("page"), page.alias("text"), F.array(T.root(p)).alias("prefix"))
+    return d.unionByName(g).select("origin", "page", F.explode(H.subcommands_of("text", "prefix")).alias("s")).select("origin", "page", "s.name", "s.description")
 
 
 def event_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -294,6 +298,8 @@ from a left join t using (app_id) left join tl using (app_id)""",
 select app_id, ((place - 1) // 50 + 1)::int part, place, '  <url><loc>https://tools.example/c/' || app_id || '</loc><lastmod>2025-01-01</lastmod><priority>' || format('{{:.1f}}', least(1, greatest(0, coalesce(pop, 0)))) || '</priority></url>' entry from o""",
     "manifest": " union all ".join(f"select '{n}' \"table\", count(*) \"rows\", sum(('0x' || md5(concat_ws(chr(31), {', '.join(f'coalesce({c}, chr(30))' for c in sorted(columns))}))[1:12])::bigint)::bigint checksum from {n}" for n, columns in _TOLD.items()),
     "skill_match": "select row_id from arguments where contains(lower(concat_ws(' ', node_name, cmd_path, description)), 'archive') and contains(lower(concat_ws(' ', node_name, cmd_path, description)), 'data')",
+    "help_subcommands": """with g as (select row_id, split_part(cmd_path, '.', 1) rt, split_part(cmd_path, '.', -1) lf, description from arguments where position('.' in cmd_path) > 0)
+select 'arguments' origin, row_id page, lf "name", nullif(trim(regexp_replace(trim(coalesce(description, '')), '^[→:-]+', '')), '') description from g where lf <> rt and regexp_full_match(lf, '[\\p{L}\\p{N}][\\p{L}\\p{N}_-]*|_[\\p{L}\\p{N}_-]*') and lf not in ('See', 'EXPERIMENTAL')""",
     "event_counts": "select date_trunc('hour', ts) \"start\", event_type, count(*) n from events group by 1, 2",
     "streaming_apply": "select user_id, event_id, event_type from (select * from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) where event_type <> 'logout'",
 }
