@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +101,7 @@ def contract_presets(contracts: DataFrame, there: DataFrame, os: str, managers:
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """table, rows and an order-free checksum of the contents of each table: the sum of the first 48 bits of each row's MD5.
+    """table, rows and an order-free checksum of the contents of each table: the sum of the first 48 bits of each row's MD5, modulo 2**63.
 
     A row's text is its columns in the order of their names, joined by the unit separator, null as the record separator; columns that are
     not text are cast.
@@ -108,7 +110,9 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in sorted(df.columns)))
         number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
-        one = df.select(number.alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).alias("checksum")).select(F.lit(name).alias("table"), "rows", "checksum")
+        # A long holds the plain sum of some 65,000 rows only: it is summed as a decimal, exactly.
+        total = F.coalesce(F.sum(F.col("h").cast("decimal(15,0)")), F.lit(0).cast("decimal(25,0)")) % F.lit(Decimal(2**63))
+        one = df.select(number.alias("h")).agg(F.count("*").alias("rows"), total.cast("long").alias("checksum")).select(F.lit(name).alias("table"), "rows", "checksum")
         out = one if out is None else out.unionByName(one)
     return out
 

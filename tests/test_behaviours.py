@@ -376,3 +376,12 @@ def test_windowed_counts_on_a_batch(spark):
 
 def test_registry_is_whole():
     assert set(registry.ORACLE) <= set(registry.QUERIES) and len(registry.QUERIES) > 70
+
+
+def test_manifest_sums_beyond_a_long(spark):
+    import hashlib
+
+    told = X.manifest({"many": spark.range(140_000).select(F.col("id").cast("string").alias("k")), "none": spark.range(0).select(F.col("id").cast("string").alias("k"))})
+    total = sum(int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) for i in range(140_000))
+    assert total > 2**63 and dict(told.dtypes)["checksum"] == "bigint"
+    assert rows(told) == [("many", 140_000, total % 2**63), ("none", 0, 0)]
