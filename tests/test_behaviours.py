@@ -1,12 +1,14 @@
 """Behaviours of the reference's operators on small tables of our own."""
 
 import json
+import pathlib
 import random
 
 import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
 
+from cinderlode.core import shared_folder
 from cinderlode.functions import helptext as H
 from cinderlode.functions import installs as I
 from cinderlode.functions import text as T
@@ -19,6 +21,7 @@ from cinderlode.operators import sync as S
 from cinderlode.operators.cascade import Settings, search, with_skills
 from cinderlode.operators.index import best_with_any, build_index, prefix_hits, ranked, shares, with_all
 from cinderlode.operators.knn import knn, pack, unpack
+from cinderlode.operators.scan import best_any, words_of
 from cinderlode.plans import registry
 from cinderlode.sources import catalogue as K
 from cinderlode.sources import registries as R
@@ -385,3 +388,23 @@ def test_manifest_sums_beyond_a_long(spark):
     total = sum(int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) for i in range(140_000))
     assert total > 2**63 and dict(told.dtypes)["checksum"] == "bigint"
     assert rows(told) == [("many", 140_000, total % 2**63), ("none", 0, 0)]
+
+
+def test_any_word_search_keeps_pairs_in_its_tasks(spark):
+    """Exact beside the joined shares, for phrases and ties too; of a word that all documents hold, no task hands on more than the best."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(30)] + ["all", "w1x", "é"]
+    texts = [(f"d{i:03}", rnd.choice(words), "all " + " ".join(words[min(32, int(rnd.expovariate(0.2)))] for _ in range(rnd.randrange(9)))) for i in range(400)]
+    docs = spark.createDataFrame([*texts, ("e", None, None)], "doc string, n string, t string").repartition(6)
+    asked = spark.createDataFrame([(q, w) for q in range(40) for w in {*rnd.sample(words, 3), "all", *(("w1_w", "w2_w3_w", "none") if q % 3 == 0 else ())}] + [(q, w) for q in (98, 99) for w in ("all", "w1")] + [(100, "none")], "qid int, prefix string")
+    index = build_index(docs, "doc", "n", "t")
+    plain = asked.join(shares(index, asked, score=(5.0, 2.0)), "prefix").groupBy("qid", "doc").agg(F.round(F.sum("score"), 6).alias("score"))
+    want = rows(ranked(plain, ["score", "doc"], 7).select("qid", "doc", "score", "pos"))
+    for held, task_docs in ((5000, 1000), (9, 100)):
+        found = best_any(words_of(index.words), asked, 7, 5.0, 2.0, held, task_docs)
+        assert [r[:2] + r[3:] for r in rows(found)] == [r[:2] + r[3:] for r in want] and [r[2] for r in rows(found)] == pytest.approx([r[2] for r in want])
+    before = {p.name for p in pathlib.Path(shared_folder(spark).removeprefix("file://")).iterdir()}
+    registry.QUERIES["bm25_or_topk"](spark, SF).count()
+    new = [p for p in pathlib.Path(shared_folder(spark).removeprefix("file://")).iterdir() if p.name not in before]
+    assert new and all({"prefix", "doc"} - set(spark.read.parquet(f"file://{p}").columns) for p in new)
+    assert best_any(words_of(index.words.limit(0)), asked, 7, 5.0, 2.0).count() == 0 and best_any(words_of(index.words), asked.limit(0), 7, 5.0, 2.0).count() == 0
