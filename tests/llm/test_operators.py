@@ -171,6 +171,20 @@ def test_copied_votes_count_little(spark):
     assert score > majority + 20 and score > 100
 
 
+def test_strict_order_estimates_no_votes(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("votes are estimated, though they cannot change what is taken")
+
+    monkeypatch.setattr(Q, "posteriors", never)
+    found = rows(Q.QUERIES["p6_found"](spark, SF).select("canon_path", "field_name", "rec_id"))
+    claimed = Q.command_claims(spark.read.parquet(f"{SF}/arguments_raw.parquet"), spark.read.parquet(f"{SF}/apps.parquet")).collect()
+    best = {}
+    for r in claimed:
+        at = (r["tier"], r["at"] is None, -r["at"].timestamp() if r["at"] else 0, r["record"])
+        best[r["grp"], r["field"]] = min(best.get((r["grp"], r["field"]), at), at)
+    assert found == sorted(((*k, v[-1]) for k, v in best.items()), key=str) and found
+
+
 # 7: leaks
 def test_suffix_array_and_search_against_brute_force():
     rnd = random.Random(5)
