@@ -408,3 +408,12 @@ def test_any_word_search_keeps_pairs_in_its_tasks(spark):
     new = [p for p in pathlib.Path(shared_folder(spark).removeprefix("file://")).iterdir() if p.name not in before]
     assert new and all({"prefix", "doc"} - set(spark.read.parquet(f"file://{p}").columns) for p in new)
     assert best_any(words_of(index.words.limit(0)), asked, 7, 5.0, 2.0).count() == 0 and best_any(words_of(index.words), asked.limit(0), 7, 5.0, 2.0).count() == 0
+
+
+@pytest.mark.parametrize("name", ["failure_report"])
+def test_evaluations_store_no_pairs_of_words_and_documents(spark, name):
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    assert registry.QUERIES[name](spark, SF).count()
+    new = [p for p in folder.iterdir() if p.name not in before]
+    assert new and all({"prefix", "doc"} - set(spark.read.parquet(f"file://{p}").columns) for p in new)
