@@ -410,7 +410,7 @@ def test_any_word_search_keeps_pairs_in_its_tasks(spark):
     assert best_any(words_of(index.words.limit(0)), asked, 7, 5.0, 2.0).count() == 0 and best_any(words_of(index.words), asked.limit(0), 7, 5.0, 2.0).count() == 0
 
 
-@pytest.mark.parametrize("name", ["failure_report", "verdict_counts", "coverage_verdicts", "override_suggestions"])
+@pytest.mark.parametrize("name", ["failure_report", "verdict_counts", "coverage_verdicts", "override_suggestions", "recall_mrr"])
 def test_evaluations_store_no_pairs_of_words_and_documents(spark, name):
     folder = pathlib.Path(shared_folder(spark).removeprefix("file://"))
     before = {p.name for p in folder.iterdir()} if folder.exists() else set()
