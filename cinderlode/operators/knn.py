@@ -60,16 +60,18 @@ def _schema(df: DataFrame, others: list[str], last: str) -> str:
     return ", ".join([*(f"`{c}` {types[c]}" for c in others), last])
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, dims: int, qid: str = "qid", query_vec: str = "vec", doc: str = "doc", vec: str = "embedding", block: int = 1024, held: int = 20_000) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, dims: int, qid: str = "qid", query_vec: str = "vec", doc: str = "doc", vec: str = "embedding", block: int = 1024, held: int = 20_000, task_rows: int = 100_000) -> DataFrame:
     """The k nearest documents of each query by Euclidean distance: qid, doc, distance, pos. Ties go to the smaller doc.
 
     The query set reaches the executors in parts of about held queries, a scan each; each task keeps the k best per query of all
-    documents it reads and only these are shuffled. Vectors with a null or non-finite component, and null vectors, are left out;
+    documents it reads and only these are shuffled. As every task hands on k rows a query, a scan has no more tasks than there are cores, or
+    than are needed for about task_rows documents each. Vectors with a null or non-finite component, and null vectors, are left out;
     others are cut or filled to dims.
     """
     asked = queries.select(F.col(qid).cast("string").alias("q"), fitted(F.col(query_vec), dims).alias("v")).where(f"{query_vec} is not null")
     source = vectors.select(F.col(doc).cast("string").alias("doc"), fitted(F.col(vec), dims).alias("v")).where(f"doc is not null and {vec} is not null")
     rounds, found = max(1, -(-asked.count() // held)), None
+    source = source.coalesce(max(vectors.sparkSession.sparkContext.defaultParallelism, -(-source.count() // task_rows)))
     for part in range(rounds):
         some = _scan(asked.where(f"pmod(xxhash64(q), {rounds}) = {part}").toArrow(), source, k, dims, block)
         found = some if found is None else found.unionByName(some)

@@ -417,3 +417,13 @@ def test_evaluations_store_no_pairs_of_words_and_documents(spark, name):
     registry.QUERIES[name](spark, SF).count()
     new = [p for p in folder.iterdir() if p.name not in before]
     assert new and all({"prefix", "doc"} - set(spark.read.parquet(f"file://{p}").columns) for p in new)
+
+
+def test_nearest_hand_on_few_rows(spark):
+    """However many files the vectors come in, no more tasks than cores hand on the nearest of each query."""
+    vectors = spark.createDataFrame([(f"d{i:04}", [float(i % 7), float(i)]) for i in range(900)], "doc string, embedding array<float>").repartition(40)
+    found = knn(vectors.limit(20).select(F.xxhash64("doc").alias("qid"), F.col("embedding").alias("vec")), vectors, 5, 2)
+    plan = found._jdf.queryExecution().toString()
+    cores = spark.sparkContext.defaultParallelism
+    assert f"Coalesce {cores}" in plan or f"Repartition {cores}, false" in plan
+    assert found.groupBy("qid").count().where("count = 5").count() == 20
