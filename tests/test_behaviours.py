@@ -427,3 +427,24 @@ def test_nearest_hand_on_few_rows(spark):
     cores = spark.sparkContext.defaultParallelism
     assert f"Coalesce {cores}" in plan or f"Repartition {cores}, false" in plan
     assert found.groupBy("qid").count().where("count = 5").count() == 20
+
+
+def shuffled(spark):
+    """Rows that all stages of the session have written to shuffles so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["failure_report"])
+def test_evaluations_shuffle_results_once(spark, name):
+    """The documents' texts stay where they are read, and the results where they are ranked: their paths and the results are shuffled once."""
+    folder = "/root/testdata/sf0.01"
+    paths, apps = (spark.read.parquet(f"{folder}/{n}.parquet").count() for n in ("arguments", "apps"))
+    results = registry.QUERIES["bm25_or_topk"](spark, folder).count() * 2
+    before = shuffled(spark)
+    found = registry.QUERIES[name](spark, folder)
+    found.collect()
+    assert shuffled(spark) - before < paths + apps + results and "Generate" not in found._jdf.queryExecution().toString()
