@@ -451,6 +451,21 @@ def test_evaluations_shuffle_results_once(spark, name):
     assert shuffled(spark) - before < paths + apps + results and "Generate" not in found._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("name", ["verdict_counts"])
+def test_evaluations_hand_on_the_best_once(spark, name, monkeypatch):
+    """However many parts the documents lie in, each query's best are shuffled by two tasks where as many scans as cores run, and nothing changes."""
+    folder = "/root/testdata/sf0.01"
+    paths, apps = (spark.read.parquet(f"{folder}/{n}.parquet").count() for n in ("arguments", "apps"))
+    results = registry.QUERIES["bm25_or_topk"](spark, folder).count() * 2
+    want = rows(registry.QUERIES[name](spark, folder))
+    parts = 12
+    monkeypatch.setattr(S_, "words_of", lambda docs, *shown: words_of(stage(docs.repartition(parts)), *shown))
+    monkeypatch.setattr(S_, "best_any", lambda *a, **k: best_any(*a, **k, held=5, task_docs=60))
+    before = shuffled(spark)
+    assert rows(registry.QUERIES[name](spark, folder)) == want
+    assert shuffled(spark) - before < 2 * paths + apps + 3 * results
+
+
 def test_ranking_sweeps_store_no_pairs_and_agree_in_any_parts(spark, monkeypatch):
     """Queries with all words of a document and without, in few and many tasks and scans."""
     folder = pathlib.Path(shared_folder(spark).removeprefix("file://"))
