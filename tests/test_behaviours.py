@@ -451,7 +451,7 @@ def test_evaluations_shuffle_results_once(spark, name):
     assert shuffled(spark) - before < paths + apps + results and "Generate" not in found._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["verdict_counts", "coverage_verdicts", "override_suggestions"])
+@pytest.mark.parametrize("name", ["verdict_counts", "coverage_verdicts", "override_suggestions", "recall_mrr"])
 def test_evaluations_hand_on_the_best_once(spark, name, monkeypatch):
     """However many parts the documents lie in, each query's best are shuffled by two tasks where as many scans as cores run, and nothing changes."""
     folder = "/root/testdata/sf0.01"
