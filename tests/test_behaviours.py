@@ -430,13 +430,13 @@ def test_nearest_hand_on_few_rows(spark):
     assert found.groupBy("qid").count().where("count = 5").count() == 20
 
 
-def shuffled(spark):
-    """Rows that all stages of the session have written to shuffles so far."""
+def shuffled(spark, what="shuffleWriteRecords"):
+    """Rows (or bytes) that all stages of the session have written to shuffles so far."""
     context = spark.sparkContext
     context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     none = context._gateway.new_array(context._jvm.double, 0)
     stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
 
 
 @pytest.mark.parametrize("name", ["failure_report", "verdict_counts", "coverage_verdicts", "override_suggestions", "recall_mrr"])
@@ -480,3 +480,22 @@ def test_ranking_sweeps_store_no_pairs_and_agree_in_any_parts(spark, monkeypatch
     monkeypatch.setattr(S_, "numbered_documents", lambda rows: stage(whole(rows).repartition(5)))
     monkeypatch.setattr(S_, "ranking_sweep", lambda *a, **k: sweep(*a, **k, held=2, task_docs=40))
     assert rows(registry.QUERIES["ranking_sweeps"](spark, SF)) == want and len(want) == 72
+
+
+def test_paths_delivered_again_keep_their_texts_in_place(spark, tmp_path):
+    """Where every path is delivered twice, and every tenth row twice alike, the first rows are found without a shuffle of texts."""
+    told = F.concat_ws("", *(F.sha2(F.concat_ws("-", "row_id", F.lit(i)), 512) for i in range(24)))
+    plain = spark.read.parquet(f"{SF}/arguments.parquet").where("cmd_path is not null").withColumn("description", told)
+    once = plain.withColumn("r", F.expr("row_number() over (partition by cmd_path order by row_id)")).where("r = 1").drop("r")
+    for name, df in (("once", once), ("again", plain.unionByName(plain.withColumn("row_id", F.col("row_id") + 1000)).unionByName(plain.where("row_id % 10 = 0")))):
+        df.repartition(3).write.parquet(f"{tmp_path}/{name}/arguments.parquet")
+        spark.read.parquet(f"{SF}/apps.parquet").write.parquet(f"{tmp_path}/{name}/apps.parquet")
+    want = rows(S_.catalogue(spark, f"{tmp_path}/once"))
+    assert rows(S_.catalogue(spark, f"{tmp_path}/again")) == want
+    before = shuffled(spark, "shuffleWriteBytes")
+    assert registry.QUERIES["coverage_verdicts"](spark, f"{tmp_path}/again").count()
+    assert shuffled(spark, "shuffleWriteBytes") - before < plain.count() * 24 * 128 / 4
+    for least in (0, 10):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(S_, "BESIDE", least)
+            assert rows(S_.catalogue(spark, f"{tmp_path}/again")) == want
