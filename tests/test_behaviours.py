@@ -430,13 +430,18 @@ def test_nearest_hand_on_few_rows(spark):
     assert found.groupBy("qid").count().where("count = 5").count() == 20
 
 
-def shuffled(spark, what="shuffleWriteRecords"):
-    """Rows (or bytes) that all stages of the session have written to shuffles so far."""
+def stages(spark):
+    """What all stages of the session have done so far."""
     context = spark.sparkContext
     context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     none = context._gateway.new_array(context._jvm.double, 0)
-    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
-    return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
+    told = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return [told.apply(i) for i in range(told.size())]
+
+
+def shuffled(spark, what="shuffleWriteRecords"):
+    """Rows (or bytes) that all stages of the session have written to shuffles so far."""
+    return sum(getattr(x, what)() for x in stages(spark))
 
 
 @pytest.mark.parametrize("name", ["failure_report", "verdict_counts", "coverage_verdicts", "override_suggestions", "recall_mrr"])
@@ -499,3 +504,26 @@ def test_paths_delivered_again_keep_their_texts_in_place(spark, tmp_path):
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(S_, "BESIDE", least)
             assert rows(S_.catalogue(spark, f"{tmp_path}/again")) == want
+
+
+@pytest.mark.parametrize("name", ["override_suggestions", "verdict_counts"])
+def test_evaluations_hand_on_the_best_from_one_task(spark, name, monkeypatch):
+    """With scans enough for all cores, each but the first ranks in a single task, so a query's best are shuffled once; the scans run beside each other."""
+    folder, parts = "/root/testdata/sf0.01", 12
+    want = rows(registry.QUERIES[name](spark, folder))
+    monkeypatch.setattr(S_, "words_of", lambda docs, *shown: words_of(stage(docs.repartition(parts)), *shown))
+    seen = []
+
+    def ranked_here(*a, **k):
+        top = best_any(*a, **k, held=5, task_docs=60)
+        sets = a[1].groupBy("qid").agg(F.sort_array(F.collect_set("prefix")).alias("s")).select("s").distinct().count()
+        before = {x.stageId() for x in stages(spark)}
+        kept = top.select("lead", "doc").distinct().count()
+        seen.append((sets, kept, max((x for x in stages(spark) if x.stageId() not in before), key=lambda x: x.shuffleWriteRecords())))
+        return top
+
+    monkeypatch.setattr(S_, "best_any", ranked_here)
+    assert rows(registry.QUERIES[name](spark, folder)) == want
+    (sets, kept, largest), = seen
+    assert sets // 5 > spark.sparkContext.defaultParallelism / 2 and largest.numTasks() > sets // 5
+    assert kept <= largest.shuffleWriteRecords() < 1.4 * kept
