@@ -17,6 +17,7 @@ from cinderlode.operators import enrich as X2
 from cinderlode.operators import evaluate as E
 from cinderlode.operators import export as X
 from cinderlode.operators import intake as N
+from cinderlode.operators import scan as A_
 from cinderlode.operators import sync as S
 from cinderlode.operators.cascade import Settings, search, with_skills
 from cinderlode.operators.index import best_with_any, build_index, prefix_hits, ranked, shares, with_all
@@ -527,3 +528,11 @@ def test_evaluations_hand_on_the_best_from_one_task(spark, name, monkeypatch):
     (sets, kept, largest), = seen
     assert sets // 5 > spark.sparkContext.defaultParallelism / 2 and largest.numTasks() > sets // 5
     assert kept <= largest.shuffleWriteRecords() < 1.4 * kept
+
+
+def test_evaluations_shuffle_whole_points(spark, monkeypatch):
+    """What the scans hand on has no fractions, whose digits take most of a shuffled row that has a short path."""
+    want, seen = rows(registry.QUERIES["recall_mrr"](spark, SF)), []
+    monkeypatch.setattr(A_, "ranked", lambda found, *a, **k: (seen.append(dict(found.dtypes)), ranked(found, *a, **k))[1])
+    assert rows(registry.QUERIES["recall_mrr"](spark, SF)) == want
+    assert len(seen) == 1 and set(seen[0].values()) == {"bigint", "string"}
